@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.plans import feature_queries, shape_queries, strength_queries  # noqa: F401
+from touchline.plans import feature_queries, predict_queries, shape_queries, strength_queries  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES
 
 
