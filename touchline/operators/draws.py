@@ -36,12 +36,11 @@ def team_strengths(draws: DataFrame, bin_width: float = 0.005) -> DataFrame:
         F.struct(F.lit("defence").alias("param"), F.col("t"), F.col("defence").alias("value")),
     )
     timed = draws.select("team_id", F.inline(entries))
-    # One home advantage per sample and team, however many time steps the sample has.
-    fixed = draws.groupBy(*SAMPLE, "team_id").agg(F.first("home_adv").alias("value")).select(
-        "team_id", F.lit("home_adv").alias("param"), F.lit(-1).alias("t"), "value"
-    ) if "home_adv" in draws.columns else None
-    long = timed if fixed is None else timed.unionByName(fixed)
-    return _summary(long, ["param", "team_id", "t"], bin_width)
+    if "home_adv" in draws.columns:
+        # One home advantage per sample and team, repeated on each of its time steps.
+        fixed = draws.groupBy(*SAMPLE, "team_id").agg(F.max("home_adv").alias("value"))
+        timed = timed.unionByName(fixed.select("team_id", F.lit("home_adv").alias("param"), F.lit(-1).alias("t"), "value"))
+    return _summary(timed, ["param", "team_id", "t"], bin_width)
 
 
 def _summary(long: DataFrame, group: Sequence[str], bin_width: float) -> DataFrame:

@@ -175,9 +175,9 @@ def home_advantage(
 
 def stats_until(
     rows: DataFrame, cutoffs: Sequence[int], *, decays: Mapping[str, float] | None = None, group: Sequence[str] = (),
-    t: str = "cum_round", goals: str = "goals",
+    t: str = "cum_round", goals: str = "goals", weight: Column | None = None,
 ) -> DataFrame:
-    """Sums for every cut-off T over rounds t <= T with weight decay^(T - t).
+    """Sums for every cut-off T over rounds t <= T with weight decay^(T - t), times a row `weight` if given.
 
     Rows are first summed per (team, opponent, home, interval between cut-offs); only those sums are
     copied to the later cut-offs. `cutoffs` are rounds, so the list is bounded by the calendar.
@@ -185,12 +185,13 @@ def stats_until(
     """
     cuts = F.array(*[F.lit(int(c)) for c in sorted(set(cutoffs))])
     decays = decays or {"all": 1.0}
+    own = F.lit(1) if weight is None else weight
     pair = [*group, "team", "opp_team", "is_home"]
     first = F.array_min(F.filter(cuts, lambda c: c >= F.col("_t")))
     rate = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(d)).alias("value")) for n, d in decays.items()]))
     intervals = (
         rows.groupBy(*pair, F.col(t).alias("_t"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(goals).alias("_g"))
+        .agg(F.sum(own).alias("_n"), F.sum(own * F.col(goals)).alias("_g"))
         .withColumn("_cut", first)
         .where(F.col("_cut").isNotNull())
         .withColumn("_decay", rate)

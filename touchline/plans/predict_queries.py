@@ -34,11 +34,12 @@ def posterior_mean(spark, sf):
     return rounded(D.posterior_mean(fx.strength_draws(spark, sf)), "attack", "defence", "home_adv")
 
 
-@query("team_strengths", sql("""CTE x AS (SELECT 'attack' AS param, team_id, t, attack AS v FROM dr UNION ALL SELECT 'defence', team_id, t, defence FROM dr),
+@query("team_strengths", sql("""CTE x AS (SELECT 'attack' AS param, team_id, t, attack AS v FROM dr UNION ALL SELECT 'defence', team_id, t, defence FROM dr
+  UNION ALL SELECT 'home_adv', team_id, -1, max(home_adv) FROM dr GROUP BY team_id, chain, draw),
 s AS (SELECT param, team_id, t, avg(v) AS mean, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.95) AS p95 FROM x GROUP BY 1, 2, 3)
 SELECT param, team_id, t, round(mean, 6) AS mean, round(p5, 6) AS p5, round(p95, 6) AS p95 FROM s""", "dr"))
 def team_strengths(spark, sf):
-    return rounded(D.team_strengths(fx.strength_draws(spark, sf).drop("home_adv")), "mean", "p5", "p95")
+    return rounded(D.team_strengths(fx.strength_draws(spark, sf)), "mean", "p5", "p95")
 
 
 @query("ar1_path", sql(f"""CTE p AS (SELECT chain, draw, team_id, t, {num(0.2)} * attack AS x FROM dr WHERE t = 0
