@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.plans import evaluate_queries, feature_queries, predict_queries, shape_queries, strength_queries  # noqa: F401
+from touchline.plans import (  # noqa: F401
+    diagnostic_queries,
+    evaluate_queries,
+    feature_queries,
+    predict_queries,
+    shape_queries,
+    strength_queries,
+)
 from touchline.plans.registry import ORACLES, QUERIES
 
 
