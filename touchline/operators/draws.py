@@ -40,16 +40,17 @@ def team_strengths(draws: DataFrame, bin_width: float = 0.005) -> DataFrame:
         # One home advantage per sample and team, repeated on each of its time steps.
         fixed = draws.groupBy(*SAMPLE, "team_id").agg(F.max("home_adv").alias("value"))
         timed = timed.unionByName(fixed.select("team_id", F.lit("home_adv").alias("param"), F.lit(-1).alias("t"), "value"))
-    return _summary(timed, ["param", "team_id", "t"], bin_width)
+    return summarise(timed, ["param", "team_id", "t"], bin_width)
 
 
-def _summary(long: DataFrame, group: Sequence[str], bin_width: float) -> DataFrame:
+def summarise(long: DataFrame, group: Sequence[str], bin_width: float = 0.005) -> DataFrame:
+    """Mean and exact p5 and p95 of `value` per group."""
     means = long.groupBy(*group).agg(F.avg("value").alias("mean"))
     spread = quantiles(long, group, "value", [0.05, 0.95], ["p5", "p95"], bin_width)
     return means.join(spread, list(group))
 
 
-def nest_strengths(summary: DataFrame, team: str = "team_id", digits: int = 4) -> DataFrame:
+def nest_strengths(summary: DataFrame, by: Sequence[str] = ("team_id",), digits: int = 4) -> DataFrame:
     """Store shape: per team the attack and defence paths as arrays ordered by t, and one home summary."""
     point = F.struct("t", *[F.bround(c, digits).alias(c) for c in ("mean", "p5", "p95")])
     still = F.struct(*[F.bround(c, digits).alias(c) for c in ("mean", "p5", "p95")])
@@ -57,7 +58,7 @@ def nest_strengths(summary: DataFrame, team: str = "team_id", digits: int = 4) -
     def path(param: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("param") == param, point)))
 
-    return summary.groupBy(team).agg(
+    return summary.groupBy(*by).agg(
         path("attack").alias("attack"), path("defence").alias("defence"),
         F.first(F.when(F.col("param") == "home_adv", still), ignorenulls=True).alias("home_adv"),
     )
