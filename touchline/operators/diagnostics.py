@@ -158,11 +158,12 @@ def _ess(draws: DataFrame, lags: int) -> DataFrame:
     )
     plus = F.col("_w") * (F.col("_n") - 1) / F.col("_n") + F.col("_b")
     rho = [F.lit(1.0)] + [1 - (F.col("_w") - F.col(f"_c{k}")) / F.col("_plus") for k in range(1, lags + 1)]
-    pairs = F.array(*[rho[k] + rho[k + 1] for k in range(0, lags, 2)])
+    # A pair counts only while both of its lags exist in the longest chain.
+    pairs = F.array(*[F.when(F.col("_longest") > k + 1, rho[k] + rho[k + 1]) for k in range(0, lags, 2)])
     start = F.struct(F.lit(0.0).alias("total"), F.lit(float("inf")).alias("last"), F.lit(True).alias("open"))
 
     def add(s: Column, p: Column) -> Column:
-        keep = s["open"] & (p > 0)
+        keep = s["open"] & F.coalesce(p > 0, F.lit(False))
         level = F.least(s["last"], p)
         return F.struct(
             F.when(keep, s["total"] + level).otherwise(s["total"]).alias("total"),

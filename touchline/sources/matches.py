@@ -68,7 +68,7 @@ def quarantine(spark: SparkSession, path: str, leagues: Sequence[str] | None = N
 
 def request_report(spark: SparkSession, path: str, leagues: Sequence[str], seasons: Sequence[str]) -> DataFrame:
     """Row count and status of every requested league and season."""
-    rows = scan_matches(spark, path, leagues, seasons).where(F.col(CORRUPT).isNull())
+    rows = scan_matches(spark, path, leagues, seasons).where(F.col(CORRUPT).isNull() & F.col("datetime").isNotNull())
     wanted = spark.createDataFrame([(lg, str(s)) for lg in leagues for s in seasons], "league string, season string")
     return partition_report(rows, wanted, ["league", "season"])
 
