@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 CELL = "_cell"
 BLOCK_ROWS = 1024
+# Up to this many first / last values a cell is summarised by aggregation, beyond it by its window.
+MAX_PICKS = 4
 
 
 @dataclass(frozen=True)
@@ -92,21 +94,31 @@ def running(
     rows = df.withColumns({CELL: track.cell_column(), **inputs})
     if runs:
         rows = rows.withColumn("_rn", F.row_number().over(inside))
+    failed = [~F.coalesce(F.col(f"_r{i}"), F.lit(False)) for i in range(len(runs))]
 
-    # One summary row per (entity, cell).
-    aggs: list[Column] = []
-    if rank_needed:
-        aggs.append(F.count(F.lit(1)).alias("_n"))
-    for i in range(len(sums)):
-        aggs.append(F.sum(f"_s{i}").alias(f"_cs{i}"))
-    for tag, group, pick in (("b", before, F.max_by), ("u", until, F.max_by), ("n", following, F.min_by)):
-        for i in range(len(group)):
+    # One summary row per (entity, cell): what it counts, sums up, and holds last or first.
+    picked = [*[("b", i, True) for i in range(len(before))], *[("u", i, True) for i in range(len(until))],
+              *[("n", i, False) for i in range(len(following))]]
+    if runs or len(picked) > MAX_PICKS:
+        # Many picks, or ranks: read them off the cell's window, on its first row.
+        whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        values = {"_n": F.count(F.lit(1)).over(whole)}
+        values.update({f"_cs{i}": F.sum(f"_s{i}").over(whole) for i in range(len(sums))})
+        for tag, i, last in picked:
+            end = F.last if last else F.first
+            values[f"_c{tag}{i}"] = end(f"_{tag}{i}", ignorenulls=True).over(whole)
+        values.update({f"_cr{i}": F.max(F.when(failed[i], F.col("_rn"))).over(whole) for i in range(len(runs))})
+        if not runs:
+            values["_rn"] = F.row_number().over(inside)
+        summary = rows.withColumns(values).where(F.col("_rn") == 1).select(*keys, *[v for v in values if v != "_rn"])
+    else:
+        # Few picks: sums and picks combine map-side, so a hot cell sends one row per task.
+        aggs = [F.count(F.lit(1)).alias("_n"), *[F.sum(f"_s{i}").alias(f"_cs{i}") for i in range(len(sums))]]
+        for tag, i, last in picked:
             column = F.col(f"_{tag}{i}")
+            pick = F.max_by if last else F.min_by
             aggs.append(pick(column, F.when(column.isNotNull(), order)).alias(f"_c{tag}{i}"))
-    for i in range(len(runs)):
-        failed = ~F.coalesce(F.col(f"_r{i}"), F.lit(False))
-        aggs.append(F.max(F.when(failed, F.col("_rn"))).alias(f"_cr{i}"))
-    summary = rows.groupBy(*keys).agg(*aggs)
+        summary = rows.groupBy(*keys).agg(*aggs)
 
     # Scan the summaries: what an entity has accumulated before each cell.
     scan = Window.partitionBy(*track.entity).orderBy(CELL)
@@ -143,8 +155,7 @@ def running(
     for i in range(len(following)):
         local[f"_ln{i}"] = F.first(f"_n{i}", ignorenulls=True).over(onwards)
     for i in range(len(runs)):
-        failed = ~F.coalesce(F.col(f"_r{i}"), F.lit(False))
-        local[f"_lr{i}"] = F.max(F.when(failed, F.col("_rn"))).over(earlier)
+        local[f"_lr{i}"] = F.max(F.when(failed[i], F.col("_rn"))).over(earlier)
     rows = rows.withColumns(local) if local else rows
 
     # Plain equality keeps the rows' (entity, cell) partitioning; null-safe equality would reshuffle.

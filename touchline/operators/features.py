@@ -7,10 +7,10 @@ Every feature of a row uses earlier rows of the same entity only. Histories are
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,57 +20,70 @@ from touchline.operators.cells import BLOCK_ROWS, Track, looking_back, quantiles
 POSITION = "_pos"
 LAGGED = ("goals", "xG", "goals_against", "xGA", "win", "loss", "draw", "is_home")
 METRICS = ("goals", "xG", "goals_against", "xGA")
+# Window columns of a block, from its ordered window and the row's offset in it.
+BlockColumns = Callable[[WindowSpec, Column], dict[str, Column]]
 
 
 def positioned(df: DataFrame, track: Track) -> DataFrame:
     return df if POSITION in df.columns else running(df, track, position=POSITION)
 
 
+def lag_columns(columns: Sequence[str], lags: Sequence[int]) -> BlockColumns:
+    return lambda w, _: {f"{c}_lag_{k}": F.lag(c, k).over(w) for k in lags for c in columns}
+
+
 def lag_features(
     df: DataFrame, track: Track, columns: Sequence[str] = LAGGED, lags: Sequence[int] = (1, 3, 5)
 ) -> DataFrame:
     """`<column>_lag_<k>` for every column that is present."""
-    present = [c for c in columns if c in df.columns]
     had_position = POSITION in df.columns
-    out = looking_back(
-        positioned(df, track),
-        track.entity,
-        POSITION,
-        max(lags),
-        lambda w, _: {f"{c}_lag_{k}": F.lag(c, k).over(w) for k in lags for c in present},
-    )
+    present = [c for c in columns if c in df.columns]
+    out = looking_back(positioned(df, track), track.entity, POSITION, max(lags), lag_columns(present, lags))
     return out if had_position else out.drop(POSITION)
 
 
-def ewm_features(df: DataFrame, track: Track, columns: Mapping[str, str], span: float, long_gaps: bool = True) -> DataFrame:
-    """Exponentially weighted mean of earlier rows; `columns` maps output name -> input column.
+def ewm_reach(span: float) -> tuple[float, int, int]:
+    """Decay per row, rows until a weight is below double precision, and rows a block may have.
 
-    Weights fall by 1 - 2/(span + 1) per row, rows without a value still age the others. Within a
-    block the mean is a ratio of two prefix sums with growing weights. Copied rows reach back to
-    where a weight is below double precision. When no value lies that close, the mean has not
-    changed since, and `long_gaps` carries it over (one more pass, only needed with NULL inputs).
+    Growing weights must not overflow within a block and its copied rows.
     """
-    alpha = 2.0 / (span + 1.0)
-    decay = 1.0 - alpha
-    if decay <= 0.0:
-        return running(df, track, last_before={out: F.col(c) for out, c in columns.items()})
-    near = math.ceil(53 * math.log(2) / -math.log(decay))
-    rows_per_block = max(2 * near, min(BLOCK_ROWS, int(600 / -math.log(decay)) - 2 * near))
+    decay = 1.0 - 2.0 / (span + 1.0)
+    rate = -math.log(decay)
+    near = math.ceil(53 * math.log(2) / rate)
+    return decay, near, max(2 * near, min(BLOCK_ROWS, int(600 / rate) - 2 * near))
+
 
-    def weighted(w, offset) -> dict[str, Column]:
+def ewm_columns(columns: Mapping[str, str], span: float) -> BlockColumns:
+    """Ratio of two prefix sums with growing weights; NULL where the last value lies too far back."""
+    decay, near, _ = ewm_reach(span)
+
+    def build(w: WindowSpec, offset: Column) -> dict[str, Column]:
         before = w.rowsBetween(Window.unboundedPreceding, -1)
-        close = w.rowsBetween(-near, -1)
         growth = F.pow(F.lit(1.0 / decay), offset.cast("double"))
         out = {}
         for name, c in columns.items():
             x = F.col(c).cast("double")
             top = F.sum(x * growth).over(before)
             bottom = F.sum(F.when(x.isNotNull(), growth)).over(before)
-            out[name] = F.when(F.count(x).over(close) > 0, top / bottom)
+            latest = F.max(F.when(x.isNotNull(), offset)).over(before)
+            out[name] = F.when(latest >= offset - near, top / bottom)
         return out
 
+    return build
+
+
+def ewm_features(df: DataFrame, track: Track, columns: Mapping[str, str], span: float, long_gaps: bool = True) -> DataFrame:
+    """Exponentially weighted mean of earlier rows; `columns` maps output name -> input column.
+
+    Weights fall by 1 - 2/(span + 1) per row, rows without a value still age the others. Copied rows
+    reach twice as far back as a weight matters. When no value lies within that, the mean has not
+    changed since, and `long_gaps` carries it over (one more pass, only needed with NULL inputs).
+    """
+    if span <= 1:
+        return running(df, track, last_before={out: F.col(c) for out, c in columns.items()})
+    _, near, rows_per_block = ewm_reach(span)
     had_position = POSITION in df.columns
-    out = looking_back(positioned(df, track), track.entity, POSITION, 2 * near, weighted, rows_per_block)
+    out = looking_back(positioned(df, track), track.entity, POSITION, 2 * near, ewm_columns(columns, span), rows_per_block)
     if long_gaps:
         out = running(out, track, last_until={name: F.col(name) for name in columns})
     return out if had_position else out.drop(POSITION)
@@ -99,12 +112,12 @@ def efficiency_ratios(df: DataFrame) -> DataFrame:
 
 
 def venue_win_rates(df: DataFrame, track: Track, span: float = 5, win: str = "win", is_home: str = "is_home") -> DataFrame:
-    """Weighted win rate over earlier home rows (on home rows) and earlier away rows (on away rows)."""
+    """Weighted win rate over earlier home rows (on home rows) and earlier away rows (on away rows).
+
+    A position column already on the rows must count within the venue.
+    """
     by_venue = replace(track, entity=[*track.entity, is_home])
-    base = df.withColumnRenamed(POSITION, "_kept") if POSITION in df.columns else df
-    out = ewm_features(base, by_venue, {"_rate": win}, span, long_gaps=False)
-    if "_kept" in out.columns:
-        out = out.withColumnRenamed("_kept", POSITION)
+    out = ewm_features(df, by_venue, {"_rate": win}, span, long_gaps=False)
     return out.withColumns(
         {
             "home_win_rate": F.when(F.col(is_home) == 1, F.col("_rate")),
@@ -113,17 +126,15 @@ def venue_win_rates(df: DataFrame, track: Track, span: float = 5, win: str = "wi
     ).drop("_rate")
 
 
+def form_columns(games: int, name: str = "recent_form") -> BlockColumns:
+    points = F.col("win") * 3 + F.col("draw")
+    return lambda w, _: {name: F.sum(points).over(w.rowsBetween(-games, -1))}
+
+
 def recent_form(df: DataFrame, track: Track, games: int = 5, name: str = "recent_form") -> DataFrame:
     """Three per win and one per draw over the previous `games` rows; NULL on the first row."""
     had_position = POSITION in df.columns
-    points = F.col("win") * 3 + F.col("draw")
-    out = looking_back(
-        positioned(df, track),
-        track.entity,
-        POSITION,
-        games,
-        lambda w, _: {name: F.sum(points).over(w.rowsBetween(-games, -1))},
-    )
+    out = looking_back(positioned(df, track), track.entity, POSITION, games, form_columns(games, name))
     return out if had_position else out.drop(POSITION)
 
 
@@ -197,6 +208,26 @@ def validate_features(df: DataFrame) -> None:
         raise ValueError(f"No numeric columns found; expected at least one of {list(METRICS)}")
 
 
+def _bounded_features(
+    df: DataFrame, track: Track, lags: Sequence[int], span: int, means: Mapping[str, str], form: bool
+) -> DataFrame:
+    """Lags, weighted means and form from one pass over the blocks."""
+    parts = [lag_columns([c for c in LAGGED if c in df.columns], lags)]
+    reach, size = max([*lags, span]), BLOCK_ROWS
+    if span > 1:
+        _, near, size = ewm_reach(span)
+        reach = max(reach, 2 * near)
+        parts.append(ewm_columns(means, span))
+    if form:
+        parts.append(form_columns(span))
+
+    def columns(w: WindowSpec, offset: Column) -> dict[str, Column]:
+        return {name: column for part in parts for name, column in part(w, offset).items()}
+
+    out = looking_back(df, track.entity, POSITION, reach, columns, size)
+    return out if span > 1 else ewm_features(out, track, means, span)
+
+
 def feature_table(
     df: DataFrame,
     *,
@@ -220,6 +251,7 @@ def feature_table(
     track = Track(["team"], "datetime", tuple(tiebreak), unit)
     metrics = [c for c in METRICS if c in has]
     flags = {"win", "draw", "loss"} <= has and add_form_streaks
+    venues = {"win", "is_home"} <= has and add_win_rates
 
     runs = {"win_streak": F.col("win") != 0, "loss_streak": F.col("loss") != 0} if flags else {}
     if flags:
@@ -229,7 +261,11 @@ def feature_table(
         df,
         track,
         position=POSITION,
-        sum_before={f"cumsum_{c}": F.col(c) for c in metrics},
+        sum_before={
+            **{f"cumsum_{c}": F.col(c) for c in metrics},
+            # Earlier rows at either venue: the row's position within its own venue follows from them.
+            **({"_homes": F.col("is_home"), "_aways": 1 - F.col("is_home")} if venues else {}),
+        },
         last_before={"_previous": previous},
         run_before=runs,
     )
@@ -238,12 +274,11 @@ def feature_table(
         gap = F.unix_micros("datetime") - F.unix_micros("_previous._at")
         derived["days_since_last_match"] = F.floor(gap / F.lit(86_400_000_000)).cast("int")
     out = out.withColumns(derived).drop("_previous")
-    out = lag_features(out, track, lags=lags)
-    out = ewm_features(out, track, {f"rolling_{c}_avg": c for c in metrics}, rolling_window, long_gaps=False)
-    if flags:
-        out = recent_form(out, track, rolling_window)
+    out = _bounded_features(out, track, lags, rolling_window, {f"rolling_{c}_avg": c for c in metrics}, flags)
     out = efficiency_ratios(out)
-    if add_win_rates and {"win", "is_home"} <= has:
+    if venues:
+        played = F.when(F.col("is_home") == 1, F.col("_homes")).otherwise(F.col("_aways"))
+        out = out.withColumn(POSITION, F.coalesce(played, F.lit(0)) + 1).drop("_homes", "_aways")
         out = venue_win_rates(out, track, rolling_window)
     out = out.drop(POSITION)
     return fill(out, track, numeric_columns(out, skip=["team"]), fill_method)

@@ -79,18 +79,23 @@ def posterior_predictive_mean(rates: DataFrame, by: Sequence[str] = ("obs_id",))
 
 
 def pointwise_loglik(rates: DataFrame, by: Sequence[str] = ("obs_id",)) -> DataFrame:
-    """Log mean likelihood per observation (`goals_home`, `goals_away` on the rows).
+    """Log mean likelihood and mean log likelihood per observation (`goals_home`, `goals_away` on the rows).
 
-    The likelihood is scaled by its largest possible value for those goals, so it cannot overflow
-    and one pass suffices.
+    The likelihood is taken relative to the largest it can be for those goals. That cannot overflow
+    and drops the factorials from the rows, so one pass suffices.
     """
-    best = S.poisson_logpmf(F.col("goals_home"), F.col("goals_home").cast("double")) + S.poisson_logpmf(
-        F.col("goals_away"), F.col("goals_away").cast("double"))
-    ll = S.poisson_logpmf(F.col("goals_home"), F.col("lambda_home")) + S.poisson_logpmf(F.col("goals_away"), F.col("lambda_away"))
-    rows = rates.withColumns({"_best": best, "_ll": ll})
-    return rows.groupBy(*by).agg(
-        (F.max("_best") + F.log(F.avg(F.exp(F.col("_ll") - F.col("_best"))))).alias("log_mean_likelihood"), F.avg("_ll").alias("mean_loglik")
+
+    def shortfall(k: str, rate: str) -> Column:
+        goals, lam = F.col(k).cast("double"), F.col(rate)
+        return F.when(goals > 0, goals * (F.log(lam) - F.log(goals)) - lam + goals).otherwise(-lam)
+
+    loss = shortfall("goals_home", "lambda_home") + shortfall("goals_away", "lambda_away")
+    best = S.poisson_logpmf(F.col("_h"), F.col("_h").cast("double")) + S.poisson_logpmf(F.col("_a"), F.col("_a").cast("double"))
+    agg = rates.withColumn("_loss", loss).groupBy(*by).agg(
+        F.max("goals_home").alias("_h"), F.max("goals_away").alias("_a"),
+        F.log(F.avg(F.exp("_loss"))).alias("_rel"), F.avg("_loss").alias("_mean"),
     )
+    return agg.select(*by, (best + F.col("_rel")).alias("log_mean_likelihood"), (best + F.col("_mean")).alias("mean_loglik"))
 
 
 def grid_size(rates: DataFrame, tail: float = 1e-10) -> int:
@@ -124,13 +129,32 @@ def score_grid(rates: DataFrame, max_goals: int | None = None, by: Sequence[str]
     return sums.select(*by, "home_goals", cells)
 
 
-def outcome_probabilities(grid: DataFrame, by: Sequence[str] = ("match_id",)) -> DataFrame:
-    """Home win, draw and away win, and the mass beyond the grid."""
-    h, a, p = F.col("home_goals"), F.col("away_goals"), F.col("probability")
-    out = grid.groupBy(*by).agg(
-        F.sum(F.when(h > a, p).otherwise(0.0)).alias("home_win"),
-        F.sum(F.when(h == a, p).otherwise(0.0)).alias("draw"),
-        F.sum(F.when(h < a, p).otherwise(0.0)).alias("away_win"),
+def outcome_probabilities(rates: DataFrame, by: Sequence[str] = ("match_id",), max_goals: int | None = None) -> DataFrame:
+    """Home win, draw and away win: mean over draws of sums over one side's goals, no grid of scores.
+
+    P(home win) = sum over a of P(away = a) P(home > a). Without `max_goals` the sum runs to where less
+    than 1e-10 is left; `beyond` is what the sums do not cover.
+    """
+    top = grid_size(rates) if max_goals is None else max_goals
+    rows = rates.select(
+        *by,
+        *[S.poisson_pmf(k, F.col("lambda_home")).alias(f"_h{k}") for k in range(top + 1)],
+        *[S.poisson_pmf(k, F.col("lambda_away")).alias(f"_a{k}") for k in range(top + 1)],
+    )
+
+    def above(own: str, other: str) -> Column:
+        """P(own > other) for one draw."""
+        reached, total = F.lit(0.0), F.lit(0.0)
+        for k in range(top + 1):
+            reached = reached + F.col(f"{own}{k}")
+            total = total + F.col(f"{other}{k}") * (1 - reached)
+        return total
+
+    level = F.lit(0.0)
+    for k in range(top + 1):
+        level = level + F.col(f"_h{k}") * F.col(f"_a{k}")
+    out = rows.groupBy(*by).agg(
+        F.avg(above("_h", "_a")).alias("home_win"), F.avg(level).alias("draw"), F.avg(above("_a", "_h")).alias("away_win")
     )
     return out.withColumn("beyond", 1 - F.col("home_win") - F.col("draw") - F.col("away_win"))
 
@@ -197,7 +221,7 @@ def prediction_records(fixtures: DataFrame, rates: DataFrame, *, max_goals: int
         return F.first(F.when(F.col("side") == name, record), ignorenulls=True).alias(f"expected_goals_{name}")
 
     expected = summary.groupBy("match_id").agg(side("home"), side("away"))
-    odds = outcome_probabilities(grid).select(
+    odds = outcome_probabilities(rates).select(
         "match_id", F.struct(*[F.bround(c, 4).alias(c) for c in ("home_win", "draw", "away_win")]).alias("outcome_probabilities")
     )
     entry = F.struct("rank", "score", F.bround("probability", 4).alias("probability"))

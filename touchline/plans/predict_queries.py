@@ -101,7 +101,7 @@ def score_distribution(spark, sf):
 @query("outcome_probabilities", sql("""SELECT match_id, round(sum(CASE WHEN h > a THEN p ELSE 0 END), 6) AS home_win, round(sum(CASE WHEN h = a THEN p ELSE 0 END), 6) AS draw,
   round(sum(CASE WHEN h < a THEN p ELSE 0 END), 6) AS away_win FROM wide GROUP BY 1""", *RATES, "wide"))
 def outcome_probabilities(spark, sf):
-    out = P.outcome_probabilities(P.score_grid(rates(spark, sf)))
+    out = P.outcome_probabilities(rates(spark, sf))
     return rounded(out.drop("beyond"), "home_win", "draw", "away_win")
 
 
@@ -113,10 +113,10 @@ def top_scores(spark, sf):
 
 @query("prediction_records", sql("""CTE e AS (SELECT match_id, round(avg(lambda_home), 2) AS mean_home, round(quantile_cont(lambda_home, 0.5), 2) AS median_home, round(stddev_pop(lambda_home), 2) AS std_home,
   round(quantile_cont(lambda_away, 0.05), 2) AS p5_away, round(quantile_cont(lambda_away, 0.95), 2) AS p95_away FROM rates GROUP BY 1),
-o AS (SELECT match_id, round(sum(CASE WHEN h > a THEN p ELSE 0 END), 4) AS home_win, round(sum(CASE WHEN h = a THEN p ELSE 0 END), 4) AS draw FROM grid GROUP BY 1),
+o AS (SELECT match_id, round(sum(CASE WHEN h > a THEN p ELSE 0 END), 4) AS home_win, round(sum(CASE WHEN h = a THEN p ELSE 0 END), 4) AS draw FROM wide GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 6) DESC, h, a) AS rank FROM grid)
 SELECT match_id, round, home_id AS home_team, away_id AS away_team, mean_home, median_home, std_home, p5_away, p95_away, home_win, draw, h || '-' || a AS top_score, round(p, 4) AS top_probability
-FROM fx JOIN e USING (match_id) JOIN o USING (match_id) JOIN r USING (match_id) WHERE rank = 1""", *RATES, "grid"))
+FROM fx JOIN e USING (match_id) JOIN o USING (match_id) JOIN r USING (match_id) WHERE rank = 1""", *RATES, "grid", "wide"))
 def prediction_records(spark, sf):
     out = P.prediction_records(fx.pairings(spark, sf), rates(spark, sf), max_goals=10)
     return out.select(
@@ -135,17 +135,23 @@ def mc_outcomes(spark, sf):
 
 # Observations: both perspectives of every meeting, alike ones counted once.
 view("ob", """SELECT least(CAST(season AS INT) - 1995, 4) AS t, team AS team_id, opp_team AS opp_id, is_home, goals, goals_against, CAST(count(*) AS BIGINT) AS n_obs,
-  CAST(sum(xg_c) AS DOUBLE) / count(*) / 100 AS xg, CAST(sum(xga_c) AS DOUBLE) / count(*) / 100 AS xga FROM l GROUP BY 1, 2, 3, 4, 5, 6""")
+  CAST(sum(xg_c) AS BIGINT) AS xg, CAST(sum(xga_c) AS BIGINT) AS xga FROM l GROUP BY 1, 2, 3, 4, 5, 6""")
 view("obm", """SELECT t, team_id, opp_id, is_home, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM ob GROUP BY 1, 2, 3, 4""")
 OBS = ("m", "l0", "l", "dr", "ob")
 
 
-def observations(spark, sf, *extra: str):
+def observations(spark, sf):
+    """One row per (t, team, opponent, home): mean expected goals and the scores seen, each with its count."""
     rows = fx.team_rows(spark, sf).withColumn("t", F.least(F.col("season").cast("int") - 1995, F.lit(4)))
-    keys = [F.col("t"), F.col("team").alias("team_id"), F.col("opp_team").alias("opp_id"), F.col("is_home")]
-    n = F.count(F.lit(1))
-    return rows.groupBy(*keys, *extra).agg(
-        n.alias("n_obs"), (F.sum("xg_c").cast("double") / n / 100).alias("xG_home"), (F.sum("xga_c").cast("double") / n / 100).alias("xG_away")
+    keys = ["t", "team_id", "opp_id", "is_home"]
+    by_score = rows.groupBy("t", F.col("team").alias("team_id"), F.col("opp_team").alias("opp_id"), "is_home",
+                            F.col("goals").alias("goals_home"), F.col("goals_against").alias("goals_away")).agg(
+        F.count(F.lit(1)).alias("n_obs"), F.sum("xg_c").alias("_x"), F.sum("xga_c").alias("_y"))
+    n = F.sum("n_obs")
+    return by_score.groupBy(*keys).agg(
+        (F.sum("_x").cast("double") / n / 100).alias("xG_home"), (F.sum("_y").cast("double") / n / 100).alias("xG_away"),
+        # At most one entry per distinct score.
+        F.collect_list(F.struct("goals_home", "goals_away", "n_obs")).alias("scores"),
     ).withColumn("home", F.col("is_home"))
 
 
@@ -158,21 +164,21 @@ OBS_ID = "CAST(o.t * 100000 + o.team_id * 1000 + o.opp_id * 10 + o.is_home AS BI
 PAIR = """JOIN dr h ON h.t = o.t AND h.team_id = o.team_id JOIN dr a ON a.t = h.t AND a.chain = h.chain AND a.draw = h.draw AND a.team_id = o.opp_id"""
 
 
-@query("linear_predictor", sql(f"""CTE o AS (SELECT t, team_id, opp_id, is_home, CAST(sum(xg * n_obs) / sum(n_obs) AS DOUBLE) AS xg, CAST(sum(xga * n_obs) / sum(n_obs) AS DOUBLE) AS xga FROM ob GROUP BY 1, 2, 3, 4),
+@query("linear_predictor", sql(f"""CTE o AS (SELECT t, team_id, opp_id, is_home, CAST(sum(xg) AS DOUBLE) / sum(n_obs) / 100 AS xg, CAST(sum(xga) AS DOUBLE) / sum(n_obs) / 100 AS xga FROM ob GROUP BY 1, 2, 3, 4),
 e AS (SELECT {OBS_ID} AS obs_id, h.chain, h.draw, h.attack - a.defence + h.home_adv * o.is_home + {num(0.9)} * ln(xg + {num(0.01)}) AS th, a.attack - h.defence + {num(0.9)} * ln(xga + {num(0.01)}) AS ta FROM o {PAIR})
 SELECT obs_id, chain, draw, round({num(2.0)} * tanh(th / {num(2.0)}), 6) AS theta_home, round({num(2.0)} * tanh(ta / {num(2.0)}), 6) AS theta_away FROM e""", *OBS))
 def linear_predictor(spark, sf):
-    obs = key_columns(observations(spark, sf)).drop("n_obs", "is_home")
+    obs = key_columns(observations(spark, sf)).drop("scores", "is_home")
     out = P.linear_predictor(obs, fx.strength_draws(spark, sf), xg_weight=0.9, clip=2.0)
     return rounded(out.drop("lambda_home", "lambda_away"), "theta_home", "theta_away")
 
 
-@query("opponent_adjusted_xg", sql(f"""CTE o AS (SELECT t, team_id, opp_id, is_home, CAST(sum(xg * n_obs) / sum(n_obs) AS DOUBLE) AS xg, CAST(sum(xga * n_obs) / sum(n_obs) AS DOUBLE) AS xga FROM ob GROUP BY 1, 2, 3, 4),
+@query("opponent_adjusted_xg", sql(f"""CTE o AS (SELECT t, team_id, opp_id, is_home, CAST(sum(xg) AS DOUBLE) / sum(n_obs) / 100 AS xg, CAST(sum(xga) AS DOUBLE) / sum(n_obs) / 100 AS xga FROM ob GROUP BY 1, 2, 3, 4),
 e AS (SELECT {OBS_ID} AS obs_id, h.attack - a.defence + h.home_adv * o.is_home + {num(0.9)} * greatest({num(0.5)}, least({num(1.5)}, 1 + {num(0.3)} * a.defence)) * ln(xg + {num(0.01)}) AS th,
   a.attack - h.defence + {num(0.9)} * greatest({num(0.5)}, least({num(1.5)}, 1 + {num(0.3)} * h.defence)) * ln(xga + {num(0.01)}) AS ta FROM o {PAIR})
 SELECT obs_id, round(avg(exp({num(2.0)} * tanh(th / {num(2.0)}))), 6) AS pred_home, round(avg(exp({num(2.0)} * tanh(ta / {num(2.0)}))), 6) AS pred_away FROM e GROUP BY 1""", *OBS))
 def opponent_adjusted_xg(spark, sf):
-    obs = key_columns(observations(spark, sf)).drop("n_obs", "is_home")
+    obs = key_columns(observations(spark, sf)).drop("scores", "is_home")
     out = P.linear_predictor(obs, fx.strength_draws(spark, sf), xg_weight=0.9, adjustment=0.3, clip=2.0)
     return rounded(P.posterior_predictive_mean(out), "pred_home", "pred_away")
 
@@ -180,7 +186,7 @@ def opponent_adjusted_xg(spark, sf):
 @query("posterior_predictive_mean", sql(f"""CTE e AS (SELECT {OBS_ID} AS obs_id, h.attack - a.defence + h.home_adv * o.is_home AS th, a.attack - h.defence AS ta FROM obm o {PAIR})
 SELECT obs_id, round(avg(exp({num(2.0)} * tanh(th / {num(2.0)}))), 6) AS pred_home, round(avg(exp({num(2.0)} * tanh(ta / {num(2.0)}))), 6) AS pred_away FROM e GROUP BY 1""", *OBS, "obm"))
 def posterior_predictive_mean(spark, sf):
-    obs = key_columns(observations(spark, sf)).drop("n_obs", "is_home")
+    obs = key_columns(observations(spark, sf)).drop("scores", "is_home")
     out = P.linear_predictor(obs, fx.strength_draws(spark, sf), clip=2.0)
     return rounded(P.posterior_predictive_mean(out), "pred_home", "pred_away")
 
@@ -189,8 +195,10 @@ def posterior_predictive_mean(spark, sf):
   exp({num(2.0)} * tanh((a.attack - h.defence) / {num(2.0)})) AS la FROM ob o {PAIR})
 SELECT obs_id, goals AS goals_home, goals_against AS goals_away, n_obs, round(ln(avg(exp({logpmf_sql('goals', 'lh')} + {logpmf_sql('goals_against', 'la')}))), 6) AS log_mean_likelihood FROM e GROUP BY 1, 2, 3, 4""", *OBS))
 def pointwise_loglik(spark, sf):
-    obs = key_columns(observations(spark, sf, "goals", "goals_against")).drop("is_home").withColumnsRenamed({"goals": "goals_home", "goals_against": "goals_away"})
-    out = P.pointwise_loglik(P.linear_predictor(obs, fx.strength_draws(spark, sf), clip=2.0), ["obs_id", "goals_home", "goals_away", "n_obs"])
+    obs = key_columns(observations(spark, sf)).drop("is_home")
+    rates = P.linear_predictor(obs, fx.strength_draws(spark, sf), clip=2.0)
+    by = ["obs_id", "goals_home", "goals_away", "n_obs"]
+    out = P.pointwise_loglik(rates.select("obs_id", "lambda_home", "lambda_away", F.inline("scores")), by)
     return rounded(out.drop("mean_loglik"), "log_mean_likelihood")
 
 
