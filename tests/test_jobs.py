@@ -85,6 +85,14 @@ def test_store_replaces_only_its_rounds(spark, tmp_path):
     assert inv == {1: False, 2: False}
 
 
+def test_round_folders(spark, tmp_path):
+    for n in (3, 12):
+        os.makedirs(tmp_path / f"round_{n}")
+        (tmp_path / f"round_{n}" / "actuals.json").write_text(json.dumps({"actuals": [{"home_team": "A", "goals_home": n}]}, indent=2))
+    df = store.read_round_folders(spark, str(tmp_path), "actuals.json", "actuals array<struct<home_team string, goals_home int>>")
+    assert sorted((r["round"], r["actuals"][0]["goals_home"]) for r in df.collect()) == [(3, 3), (12, 12)]
+
+
 def test_round_selection(spark):
     done = spark.createDataFrame([(r,) for r in range(1, 11)], "round int")
     pick = lambda **k: sorted(r[0] for r in store.rounds_to_process(done, **k).collect())
@@ -119,6 +127,12 @@ def test_train_then_predict(spark, feed, tmp_path):
     assert len(out) == 2 and {r["round"] for r in out} == {7}
     with pytest.raises(LookupError, match="no trained run"):
         store.load_run(spark, root, "r2", "draws")
+    thin = pipelines.predict_next(rows, as_of, draws, StrengthConfig(max_goals=8, sample_draws=2, top_scores=3)).first()
+    assert len(thin["most_likely_scores"]) == 3
+    obs = store.load_run(spark, root, "r1", "observations").limit(4)
+    named = obs.withColumns({"t": F.lit(6), "team_id": F.lit("A"), "opp_id": F.lit("B")})
+    config = StrengthConfig(use_xg=True, use_opponent_adjusted_xg=True, use_form_decomposition=True)
+    assert pipelines.fitted_rates(named, draws, config).count() == 4 * 3 and config.fit_decay == config.form_decay
     status = store.run_status(store.read_table(spark, root, "runs")).first()
     assert status["model_trained"] and status["run_id"] == "r1"
     with pytest.raises(ValueError, match="no upcoming"):

@@ -210,9 +210,17 @@ def simulated_outcomes(goals: DataFrame, by: Sequence[str] = ("match_id",)) -> D
     )
 
 
-def prediction_records(fixtures: DataFrame, rates: DataFrame, *, max_goals: int | None = None, k: int = 10, keep: Sequence[str] = ("round",)) -> DataFrame:
-    """Nested record per match: rate summaries, outcome probabilities and likeliest scores."""
-    grid = score_grid(rates, max_goals)
+def prediction_records(
+    fixtures: DataFrame, rates: DataFrame, *, max_goals: int | None = None, k: int = 10, keep: Sequence[str] = ("round",),
+    scored: DataFrame | None = None,
+) -> DataFrame:
+    """Nested record per match: rate summaries, outcome probabilities and likeliest scores.
+
+    `scored` are the draws to take scores and outcomes from (a thinned set), all of them by default.
+    """
+    scored = rates if scored is None else scored
+    top = grid_size(scored) if max_goals is None else max_goals
+    grid = score_grid(scored, top)
     summary = rate_summary(rates)
 
     def side(name: str) -> Column:
@@ -221,7 +229,7 @@ def prediction_records(fixtures: DataFrame, rates: DataFrame, *, max_goals: int
         return F.first(F.when(F.col("side") == name, record), ignorenulls=True).alias(f"expected_goals_{name}")
 
     expected = summary.groupBy("match_id").agg(side("home"), side("away"))
-    odds = outcome_probabilities(rates).select(
+    odds = outcome_probabilities(scored).select(
         "match_id", F.struct(*[F.bround(c, 4).alias(c) for c in ("home_win", "draw", "away_win")]).alias("outcome_probabilities")
     )
     entry = F.struct("rank", "score", F.bround("probability", 4).alias("probability"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
+from touchline.operators.cells import Track, running
 from touchline.session import broadcast_within
 
 FEED_METRICS = {"goals": ("h_g", "a_g"), "xG": ("h_xG", "a_xG")}
@@ -129,15 +130,15 @@ def first_seen(rows: DataFrame, columns: Sequence[str] = ("team", "opp_team"), t
 def team_index(rows: DataFrame, columns: Sequence[str] = ("team", "opp_team"), ts: str = "datetime") -> DataFrame:
     """`team -> team_id`, 0-based in order of first appearance, name as tiebreak.
 
-    The rank is one global window over the distinct names, each already reduced to a single row.
+    Names are ranked within the day they first appear and offset by the days before, so the global
+    rank needs no single sorted partition.
     """
-    order = Window.orderBy("first_seen", "team")
-    return first_seen(rows, columns, ts).withColumn("team_id", (F.row_number().over(order) - 1).cast("int"))
+    ranked = running(first_seen(rows, columns, ts), Track([], "first_seen", ("team",)), position="_rank")
+    return ranked.select("team", "first_seen", (F.col("_rank") - 1).cast("int").alias("team_id"))
 
 
 def add_team_ids(rows: DataFrame, teams: DataFrame) -> DataFrame:
     """Look both sides up in the index."""
     index = broadcast_within(teams.select("team", "team_id"))
-    own = index.withColumnRenamed("team_id", "team_id")
     other = index.withColumnsRenamed({"team": "opp_team", "team_id": "opp_id"})
-    return rows.join(own, "team", "left").join(other, "opp_team", "left")
+    return rows.join(index, "team", "left").join(other, "opp_team", "left")

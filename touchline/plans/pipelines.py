@@ -29,7 +29,7 @@ def strength_table(rows: DataFrame, cutoffs: Sequence[int], config: StrengthConf
     fanned = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(config.replicates))))
     weight = S.poisson_one(S.mixed_uniform(config.seed, F.col("match_id"), F.col("replicate")))
     drawn = fanned.withColumn("_weight", weight).where(F.col("_weight") > 0)
-    stats = strength.stats_until(drawn, cutoffs, decays={"all": config.decay}, group=["replicate"], weight=F.col("_weight"))
+    stats = strength.stats_until(drawn, cutoffs, decays={"all": config.fit_decay}, group=["replicate"], weight=F.col("_weight"))
     fit = strength.home_advantage(
         stats.drop("decay"), ["replicate", "cutoff"], prior=config.prior_weight, pool=config.home_prior_weight,
         steps=config.steps, tolerance=config.tolerance,
@@ -72,7 +72,16 @@ def predict_next(rows: DataFrame, as_of: Column, draws: DataFrame, config: Stren
 def predict_rounds(rows: DataFrame, wanted: Sequence[int], draws: DataFrame, config: StrengthConfig) -> DataFrame:
     fixtures = fixtures_of(rows, wanted)
     rates = predict.goal_rates(fixtures, draws)
-    return predict.prediction_records(fixtures, rates, max_goals=config.max_goals, k=config.top_scores)
+    scored = D.subsample(rates, config.sample_draws, seed=config.seed) if config.sample_draws else None
+    return predict.prediction_records(fixtures, rates, max_goals=config.max_goals, k=config.top_scores, scored=scored)
+
+
+def fitted_rates(observations: DataFrame, draws: DataFrame, config: StrengthConfig = StrengthConfig()) -> DataFrame:
+    """Training-form rates of every (observation, draw) under the configured terms."""
+    return predict.linear_predictor(
+        observations, draws, clip=config.clip_theta, xg_weight=config.xg_weight if config.use_xg else None,
+        adjustment=config.xg_adjustment_strength if config.use_opponent_adjusted_xg else None,
+    )
 
 
 def backtest_season(

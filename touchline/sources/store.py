@@ -99,6 +99,21 @@ def rounds_to_process(
     return chosen if finished is None else chosen.join(finished.select("round"), "round", "left_anti")
 
 
+def round_from_path(path: Column) -> Column:
+    """N from a folder name `round_N` in a file path; NULL without one."""
+    found = F.regexp_extract(path, r"round_(\d+)(?:/|$)", 1)
+    return F.when(found != "", found).cast("int")
+
+
+def read_round_folders(spark: SparkSession, root: str, file: str, schema: str | None = None) -> DataFrame:
+    """Files laid out as `round_N/<file>`, one JSON document each, with the round taken from the folder."""
+    reader = spark.read.option("multiLine", True)
+    if schema:
+        reader = reader.schema(schema)
+    df = reader.json(f"{root}/round_*/{file}")
+    return df.withColumn("round", round_from_path(F.col("_metadata.file_path")))
+
+
 def run_registry(rows: DataFrame, run_id: Column, created_at: Column | None = None) -> DataFrame:
     """One row per trained cut-off: observations, distinct teams and the last kickoff."""
     stats = rows.groupBy(F.col("round").alias("round")).agg(
