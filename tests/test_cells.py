@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from touchline.operators.cells import Track, looking_back, quantiles, running
+from touchline.operators.cells import Track, looking_back, measured, quantiles, running
 
 
 @pytest.fixture(scope="module")
@@ -26,9 +26,12 @@ def series(spark):
 TRACK = Track(["entity"], "ts", ("id",))
 
 
-@pytest.mark.parametrize("unit", ["hour", "day", "month"])
+@pytest.mark.parametrize("unit", ["hour", "day", "month", "plain"])
 def test_running_equals_plain_window(series, unit):
     track = Track(["entity"], "ts", ("id",), unit)
+    if unit == "plain":
+        track = measured(series, track)
+        assert track.plain and not measured(series, track, 100).plain
     got = running(
         series, track, position="pos", sum_before={"s": F.col("x")}, last_before={"lb": F.col("x")},
         last_until={"lu": F.col("x")}, next_from={"nf": F.col("x")}, run_before={"run": F.col("x") > 0},

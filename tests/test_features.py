@@ -58,8 +58,9 @@ def test_ewm_with_nulls_and_long_gaps(spark):
     assert np.allclose(got["e"].astype(float), want, equal_nan=True, atol=1e-12)
 
 
-def test_feature_table_matches_pandas(df, pdf):
-    got = ordered(features.feature_table(df, fill_method="none"))
+@pytest.mark.parametrize("largest", [10, 1000])
+def test_feature_table_matches_pandas(df, pdf, largest):
+    got = ordered(features.feature_table(df, fill_method="none", max_entity_rows=largest))
     p = pdf.sort_values(["team", "datetime"]).reset_index(drop=True)
     g = p.groupby("team")
     want = pd.DataFrame({
@@ -82,6 +83,12 @@ def test_feature_table_matches_pandas(df, pdf):
         assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True, atol=1e-9), c
 
 
+def test_small_entities_need_one_shuffle(df):
+    plan = lambda largest: features.feature_table(df, max_entity_rows=largest)._jdf.queryExecution().executedPlan().toString()
+    assert plan(1000).count("Exchange hashpartitioning") == 1
+    assert plan(10).count("Exchange hashpartitioning") > 1
+
+
 def test_unknown_past_can_count_as_a_hit(spark):
     rows = [("A", i, w) for i, w in enumerate([1, 1, 0, 1])]
     df = spark.createDataFrame(rows, "team string, t int, win int").withColumn("datetime", F.timestamp_seconds(F.col("t") * 90000))

@@ -10,13 +10,15 @@ decides the run time. The two tools here split an entity's history instead:
 * `looking_back` cuts it into *blocks* of a fixed number of consecutive rows and copies the last few
   rows of each block into the next one. Any window with a bounded look-back is then local to a block.
 
-Both give the same values as the plain window; only the distribution differs.
+Both give the same values as the plain window; only the distribution differs. Where the largest
+entity is known to be small (`measured`), the plain window is used instead: it needs one shuffle by
+entity, which all later steps on the same entity share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ CELL = "_cell"
 BLOCK_ROWS = 1024
 # Up to this many first / last values a cell is summarised by aggregation, beyond it by its window.
 MAX_PICKS = 4
+# An entity of up to this many rows may be windowed in one task.
+PLAIN_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -33,7 +37,8 @@ class Track:
 
     `unit` is the calendar unit of a cell: fine enough that one entity's rows within it fit a task,
     coarse enough that an entity has far fewer cells than rows. `cell` overrides it with any column
-    that never decreases along the order (needed when `ts` is not a time).
+    that never decreases along the order (needed when `ts` is not a time). With `plain` an entity is
+    not cut at all; set it through `measured`, which checks that entities are small.
     """
 
     entity: Sequence[str]
@@ -41,6 +46,7 @@ class Track:
     tiebreak: Sequence[str] = ()
     unit: str = "day"
     cell: Column | None = field(default=None, compare=False)
+    plain: bool = False
 
     @property
     def order(self) -> list[str]:
@@ -50,6 +56,40 @@ class Track:
         return self.cell if self.cell is not None else F.date_trunc(self.unit, F.col(self.ts))
 
 
+def measured(df: DataFrame, track: Track, max_rows: int = PLAIN_ROWS) -> Track:
+    """The track, marked `plain` if no entity has more than `max_rows` rows.
+
+    One count per entity, combined map-side over the entity columns alone.
+    """
+    if not track.entity:
+        return track
+    largest = df.groupBy(*track.entity).count().agg(F.max("count")).first()[0]
+    return replace(track, plain=largest is None or largest <= max_rows)
+
+
+def _plain_running(df: DataFrame, track: Track, position, sums, before, until, following, runs) -> DataFrame:
+    """`running` with one window per entity."""
+    w = Window.partitionBy(*track.entity).orderBy(*track.order)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    onwards = w.rowsBetween(0, Window.unboundedFollowing)
+    rank = position or "_rank"
+    out = {
+        **({rank: F.row_number().over(w).cast("long")} if position or runs else {}),
+        **{n: F.sum(c).over(earlier) for n, c in sums.items()},
+        **{n: F.last(c, ignorenulls=True).over(earlier) for n, c in before.items()},
+        **{n: F.last(c, ignorenulls=True).over(upto) for n, c in until.items()},
+        **{n: F.first(c, ignorenulls=True).over(onwards) for n, c in following.items()},
+    }
+    rows = df.withColumns({f"_r{i}": ~F.coalesce(c, F.lit(False)) for i, c in enumerate(runs.values())}) if runs else df
+    rows = rows.withColumns(out)
+    if runs:
+        failed_at = [F.coalesce(F.max(F.when(F.col(f"_r{i}"), F.col(rank))).over(earlier), F.lit(0)) for i in range(len(runs))]
+        rows = rows.withColumns({n: F.col(rank) - 1 - at for n, at in zip(runs, failed_at)})
+        rows = rows.drop(*[f"_r{i}" for i in range(len(runs))], *([] if position else [rank]))
+    return rows
+
+
 def running(
     df: DataFrame,
     track: Track,
@@ -78,6 +118,8 @@ def running(
     following = dict(next_from or {})
     runs = dict(run_before or {})
     rank_needed = bool(position or runs)
+    if track.plain:
+        return _plain_running(df, track, position, sums, before, until, following, runs)
 
     keys = [*track.entity, CELL]
     inside = Window.partitionBy(*keys).orderBy(*track.order)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.functions import scalars as S
-from touchline.operators.cells import BLOCK_ROWS, Track, looking_back, quantiles, running
+from touchline.operators.cells import BLOCK_ROWS, PLAIN_ROWS, Track, looking_back, measured, quantiles, running
 
 POSITION = "_pos"
 LAGGED = ("goals", "xG", "goals_against", "xGA", "win", "loss", "draw", "is_home")
@@ -239,16 +239,18 @@ def feature_table(
     add_rest_days: bool = True,
     fill_method: str = "ffill",
     unit: str = "day",
+    max_entity_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """All features of team rows in one plan; steps whose inputs are absent are left out.
 
     The position is computed once together with sums, streaks and rest; lags, means and form then
-    share one block pass.
+    share one block pass. Team sizes are counted first: if none exceeds `max_entity_rows`, every step
+    runs on a single shuffle by team, otherwise histories are split by `unit`.
     """
     validate_features(df)
     original = df.columns
     has = set(original)
-    track = Track(["team"], "datetime", tuple(tiebreak), unit)
+    track = measured(df, Track(["team"], "datetime", tuple(tiebreak), unit), max_entity_rows)
     metrics = [c for c in METRICS if c in has]
     flags = {"win", "draw", "loss"} <= has and add_form_streaks
     venues = {"win", "is_home"} <= has and add_win_rates
