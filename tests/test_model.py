@@ -125,11 +125,12 @@ def test_grid_sums_to_one_and_agrees_with_simulation(spark):
 
 def test_clipped_rates_and_small_grid_report_the_rest(spark):
     rates = spark.createDataFrame([(1, 0, 0, 10.0, 0.01)], "match_id long, chain int, draw int, lambda_home double, lambda_away double")
-    out = P.outcome_probabilities(rates, max_goals=1).first()
-    # The away side scores at most one goal, so home goals past the limit are still counted.
-    assert abs(out["beyond"]) < 1e-3 and out["home_win"] > 0.99
     assert P.score_grid(rates, 5).agg(F.sum("probability")).first()[0] < 0.1
-    assert abs(P.outcome_probabilities(rates).first()["beyond"]) < 1e-9
+    assert abs(P.score_grid(rates).agg(F.sum("probability")).first()[0] - 1) < 1e-9
+    out = P.outcome_probabilities(rates).first()
+    assert abs(out["home_win"] + out["draw"] + out["away_win"] - 1) < 1e-12
+    # Away goals are 0 with e^-0.01, so the home side fails to win almost only at 0-0.
+    assert out["home_win"] > 0.99 and out["draw"] == pytest.approx(math.exp(-10.01) * 1.1, rel=0.01)
 
 
 def test_prediction_record_shape(small):
@@ -143,7 +144,20 @@ def test_prediction_record_shape(small):
     assert abs(odds["home_win"] + odds["draw"] + odds["away_win"] - 1) < 2e-4
 
 
-def test_team_strengths_nested(small):
+@pytest.mark.parametrize("largest", [None, 100])
+def test_rate_summary_is_exact_either_way(small, largest):
+    draws, fixtures, _ = small
+    rates = P.goal_rates(fixtures, draws)
+    assert P.draws_per_match(draws) == 100
+    got = P.rate_summary(rates, largest=largest).where("match_id = 1 and side = 'away'").first()
+    x = rates.where("match_id = 1").toPandas().lambda_away
+    assert np.allclose([got[c] for c in ("mean", "std", "p5", "median", "p95")], [x.mean(), x.std(ddof=0), *np.percentile(x, [5, 50, 95])])
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_team_strengths_nested(small, held, monkeypatch):
+    if not held:
+        monkeypatch.setattr(D, "GATHER_ROWS", 10)
     draws, _, d = small
     one = {r["team_id"]: r for r in D.nest_strengths(D.team_strengths(draws)).collect()}[2]
     assert [p["t"] for p in one["attack"]] == [0, 1, 2] and one["home_adv"]["mean"] == 0.25

@@ -29,6 +29,8 @@ BLOCK_ROWS = 1024
 MAX_PICKS = 4
 # An entity of up to this many rows may be windowed in one task.
 PLAIN_ROWS = 2_000_000
+# A group of up to this many values may be held by one aggregation buffer.
+GATHER_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,11 @@ class Track:
         return self.cell if self.cell is not None else F.date_trunc(self.unit, F.col(self.ts))
 
 
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Row count of the largest group: a count per group, combined map-side."""
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+
+
 def measured(df: DataFrame, track: Track, max_rows: int = PLAIN_ROWS) -> Track:
     """The track, marked `plain` if no entity has more than `max_rows` rows.
 
@@ -63,8 +70,7 @@ def measured(df: DataFrame, track: Track, max_rows: int = PLAIN_ROWS) -> Track:
     """
     if not track.entity:
         return track
-    largest = df.groupBy(*track.entity).count().agg(F.max("count")).first()[0]
-    return replace(track, plain=largest is None or largest <= max_rows)
+    return replace(track, plain=largest_group(df, track.entity) <= max_rows)
 
 
 def _plain_running(df: DataFrame, track: Track, position, sums, before, until, following, runs) -> DataFrame:

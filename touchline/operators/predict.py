@@ -5,23 +5,32 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.functions import scalars as S
-from touchline.operators.cells import quantiles
+from touchline.operators.cells import GATHER_ROWS, largest_group, quantiles
 from touchline.session import broadcast_within
 
 SAMPLE = ["chain", "draw"]
+# Sums over goals stop here at the latest; clipped rates need about 45.
+MOST_GOALS = 400
 
 
 def pair_draws(fixtures: DataFrame, draws: DataFrame, home: str = "home_id", away: str = "away_id") -> DataFrame:
     """Each fixture with each sample's strengths of both sides, at the fixture's own `t`.
 
     Draws are partitioned by sample once and serve both lookups: the second join's key contains the
-    sample, so neither side moves again. Fixtures are broadcast only when few.
+    sample, so neither side moves again. Fixtures are broadcast only when few. The partition count is
+    explicit because every draw fans out to its fixtures: AQE sees the small input and would merge it
+    into too few tasks.
     """
-    by_sample = draws.repartition(*SAMPLE)
+    spark = draws.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    by_sample = draws.repartition(tasks, *SAMPLE)
     small = broadcast_within(fixtures)
     host = by_sample.withColumnsRenamed({"team_id": home, "attack": "home_attack", "defence": "home_defence"})
     guest = by_sample.select(
@@ -129,34 +138,32 @@ def score_grid(rates: DataFrame, max_goals: int | None = None, by: Sequence[str]
     return sums.select(*by, "home_goals", cells)
 
 
-def outcome_probabilities(rates: DataFrame, by: Sequence[str] = ("match_id",), max_goals: int | None = None) -> DataFrame:
-    """Home win, draw and away win: mean over draws of sums over one side's goals, no grid of scores.
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("home_win", "draw", "away_win")]))
+def _outcomes(home: pd.Series, away: pd.Series) -> pd.DataFrame:
+    """Win, draw and loss of two Poisson counts per row, summed until both tails are negligible."""
+    h_rate, a_rate = home.to_numpy(), away.to_numpy()
+    h, a = np.exp(-h_rate), np.exp(-a_rate)
+    h_to, a_to = np.zeros_like(h), np.zeros_like(a)
+    win, level, loss = np.zeros_like(h), np.zeros_like(h), np.zeros_like(h)
+    k = 0
+    while len(h) and (k == 0 or min(h_to.min(), a_to.min()) < 1 - 1e-13) and k < MOST_GOALS:
+        h_to, a_to = h_to + h, a_to + a
+        win += a * (1 - h_to)
+        level += h * a
+        loss += h * (1 - a_to)
+        k += 1
+        h, a = h * h_rate / k, a * a_rate / k
+    return pd.DataFrame({"home_win": win, "draw": level, "away_win": loss})
 
-    P(home win) = sum over a of P(away = a) P(home > a). Without `max_goals` the sum runs to where less
-    than 1e-10 is left; `beyond` is what the sums do not cover.
-    """
-    top = grid_size(rates) if max_goals is None else max_goals
-    rows = rates.select(
-        *by,
-        *[S.poisson_pmf(k, F.col("lambda_home")).alias(f"_h{k}") for k in range(top + 1)],
-        *[S.poisson_pmf(k, F.col("lambda_away")).alias(f"_a{k}") for k in range(top + 1)],
-    )
 
-    def above(own: str, other: str) -> Column:
-        """P(own > other) for one draw."""
-        reached, total = F.lit(0.0), F.lit(0.0)
-        for k in range(top + 1):
-            reached = reached + F.col(f"{own}{k}")
-            total = total + F.col(f"{other}{k}") * (1 - reached)
-        return total
-
-    level = F.lit(0.0)
-    for k in range(top + 1):
-        level = level + F.col(f"_h{k}") * F.col(f"_a{k}")
-    out = rows.groupBy(*by).agg(
-        F.avg(above("_h", "_a")).alias("home_win"), F.avg(level).alias("draw"), F.avg(above("_a", "_h")).alias("away_win")
-    )
-    return out.withColumn("beyond", 1 - F.col("home_win") - F.col("draw") - F.col("away_win"))
+def outcome_probabilities(rates: DataFrame, by: Sequence[str] = ("match_id",)) -> DataFrame:
+    """Home win, draw and away win: mean over draws of the exact probabilities of each draw's rates.
+
+    Spark has no Poisson distribution function and unrolled sums grow with the square of the goals,
+    so a batch of draws is summed with arrays; only two numbers per draw travel.
+    """
+    rows = rates.select(*by, _outcomes("lambda_home", "lambda_away").alias("_o"))
+    return rows.groupBy(*by).agg(*[F.avg(f"_o.{c}").alias(c) for c in ("home_win", "draw", "away_win")])
 
 
 def top_scores(grid: DataFrame, k: int = 10, by: Sequence[str] = ("match_id",), digits: int = 6) -> DataFrame:
@@ -166,40 +173,61 @@ def top_scores(grid: DataFrame, k: int = 10, by: Sequence[str] = ("match_id",),
     return ranked.select(*by, "rank", S.score_text(F.col("home_goals"), F.col("away_goals")).alias("score"), "probability")
 
 
-def rate_summary(rates: DataFrame, by: Sequence[str] = ("match_id",), bin_width: float = 0.01) -> DataFrame:
-    """Mean, median, population deviation, p5 and p95 of both goal rates per match; quantiles exact."""
-    by = list(by)
+def draws_per_match(draws: DataFrame) -> int:
+    """How many samples a match can have: the samples of one team at one step, counted on the draws alone."""
+    return largest_group(draws, ["t", "team_id"])
+
+
+def rate_summary(
+    rates: DataFrame, by: Sequence[str] = ("match_id",), bin_width: float = 0.01, largest: int | None = None
+) -> DataFrame:
+    """Mean, median, population deviation, p5 and p95 of both goal rates per match; quantiles exact.
+
+    `largest` is a known bound on draws per match. If it fits an aggregation buffer, everything comes
+    from one pass; otherwise quantiles are located by histogram.
+    """
+    by = [*by, "side"]
     sides = F.array(
         F.struct(F.lit("home").alias("side"), F.col("lambda_home").alias("rate")),
         F.struct(F.lit("away").alias("side"), F.col("lambda_away").alias("rate")),
     )
-    long = rates.select(*by, F.inline(sides))
-    moments = long.groupBy(*by, "side").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std"))
-    spread = quantiles(long, [*by, "side"], "rate", [0.05, 0.5, 0.95], ["p5", "median", "p95"], bin_width)
-    return moments.join(spread, [*by, "side"])
-
-
-def simulate_goals(rates: DataFrame, *, seed: int = 7, by: Sequence[str] = ("match_id",), limit: int | None = None) -> DataFrame:
+    long = rates.select(*by[:-1], F.inline(sides))
+    probs, names = [0.05, 0.5, 0.95], ["p5", "median", "p95"]
+    moments = [F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std")]
+    if largest is not None and largest <= GATHER_ROWS:
+        held = long.groupBy(*by).agg(*moments, F.percentile("rate", probs).alias("_q"))
+        return held.select(*by, "mean", "std", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    return long.groupBy(*by).agg(*moments).join(quantiles(long, by, "rate", probs, names, bin_width), by)
+
+
+@F.pandas_udf(T.IntegerType())
+def _inverse_poisson(u: pd.Series, rate: pd.Series) -> pd.Series:
+    """Smallest k with P(K <= k) > u."""
+    target, lam = u.to_numpy(), rate.to_numpy()
+    goals = np.zeros(len(lam), dtype=np.int32)
+    term = np.exp(-lam)
+    total = term.copy()
+    for k in range(1, MOST_GOALS):
+        beyond = target >= total
+        if not beyond.any():
+            break
+        goals[beyond] = k
+        term = term * lam / k
+        total = np.where(beyond, total + term, total)
+    return pd.Series(goals)
+
+
+def simulate_goals(rates: DataFrame, *, seed: int = 7, by: Sequence[str] = ("match_id",)) -> DataFrame:
     """One simulated score per draw by inverting the Poisson distribution at a hashed uniform.
 
-    `limit` is the largest goal count stepped through, by default the grid size of the rates.
+    The uniform depends on the row's identity only, so a repeated task simulates the same score.
     """
-    top = grid_size(rates, 1e-12) if limit is None else limit
 
-    def drawn(rate: Column, salt: int) -> Column:
+    def drawn(rate: str, salt: int) -> Column:
         u = S.hashed_uniform(seed + salt, *[F.col(c) for c in by], F.col("chain"), F.col("draw"))
-        start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("total"), F.lit(0).alias("goals"))
-
-        def step(s: Column, k: Column) -> Column:
-            term = s["term"] * rate / k.cast("double")
-            return F.struct(
-                term.alias("term"), (s["total"] + term).alias("total"),
-                F.when(u >= s["total"], k).otherwise(s["goals"]).alias("goals"),
-            )
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(top)), start, step, lambda s: s["goals"])
+        return _inverse_poisson(u, F.col(rate))
 
-    return rates.select(*by, *SAMPLE, drawn(F.col("lambda_home"), 0).alias("goals_home"), drawn(F.col("lambda_away"), 1).alias("goals_away"))
+    return rates.select(*by, *SAMPLE, drawn("lambda_home", 0).alias("goals_home"), drawn("lambda_away", 1).alias("goals_away"))
 
 
 def simulated_outcomes(goals: DataFrame, by: Sequence[str] = ("match_id",)) -> DataFrame:
@@ -212,16 +240,17 @@ def simulated_outcomes(goals: DataFrame, by: Sequence[str] = ("match_id",)) -> D
 
 def prediction_records(
     fixtures: DataFrame, rates: DataFrame, *, max_goals: int | None = None, k: int = 10, keep: Sequence[str] = ("round",),
-    scored: DataFrame | None = None,
+    scored: DataFrame | None = None, largest: int | None = None,
 ) -> DataFrame:
     """Nested record per match: rate summaries, outcome probabilities and likeliest scores.
 
-    `scored` are the draws to take scores and outcomes from (a thinned set), all of them by default.
+    `scored` are the draws to take scores and outcomes from (a thinned set), all of them by default;
+    `largest` bounds the draws per match, see `rate_summary`.
     """
     scored = rates if scored is None else scored
     top = grid_size(scored) if max_goals is None else max_goals
     grid = score_grid(scored, top)
-    summary = rate_summary(rates)
+    summary = rate_summary(rates, largest=largest)
 
     def side(name: str) -> Column:
         parts = [("mean", "mean"), ("median", "median"), ("std", "std"), ("percentile_5", "p5"), ("percentile_95", "p95")]

@@ -73,7 +73,10 @@ def predict_rounds(rows: DataFrame, wanted: Sequence[int], draws: DataFrame, con
     fixtures = fixtures_of(rows, wanted)
     rates = predict.goal_rates(fixtures, draws)
     scored = D.subsample(rates, config.sample_draws, seed=config.seed) if config.sample_draws else None
-    return predict.prediction_records(fixtures, rates, max_goals=config.max_goals, k=config.top_scores, scored=scored)
+    return predict.prediction_records(
+        fixtures, rates, max_goals=config.max_goals, k=config.top_scores, scored=scored,
+        largest=predict.draws_per_match(draws),
+    )
 
 
 def fitted_rates(observations: DataFrame, draws: DataFrame, config: StrengthConfig = StrengthConfig()) -> DataFrame:
@@ -123,7 +126,7 @@ def _strengths_by_round(draws: DataFrame, wanted: Sequence[int]) -> DataFrame:
     Summaries are one row per (param, team, cut-off); only those are copied to later rounds.
     """
     params = F.array(*[F.struct(F.lit(p).alias("param"), F.col("t"), F.col(p).alias("value")) for p in ("attack", "defence", "home_adv")])
-    summary = D.summarise(draws.select("team_id", F.inline(params)), ["param", "team_id", "t"])
+    summary = D.summarise(draws.select("team_id", F.inline(params)), ["param", "team_id", "t"], largest=predict.draws_per_match(draws))
     rounds_after = F.filter(F.array(*[F.lit(int(r)) for r in wanted]), lambda r: r - 1 >= F.col("t"))
     spread = summary.withColumn("round", F.explode(rounds_after))
     latest = (F.col("param") != "home_adv") | (F.col("t") == F.col("round") - 1)

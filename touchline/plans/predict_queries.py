@@ -81,7 +81,8 @@ def draw_subsample(spark, sf):
 SELECT match_id, side, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.5), 6) AS median,
   round(quantile_cont(v, 0.95), 6) AS p95 FROM x GROUP BY 1, 2""", *RATES))
 def expected_goals_summary(spark, sf):
-    return rounded(P.rate_summary(rates(spark, sf)), "mean", "std", "p5", "median", "p95")
+    largest = P.draws_per_match(fx.strength_draws(spark, sf))
+    return rounded(P.rate_summary(rates(spark, sf), largest=largest), "mean", "std", "p5", "median", "p95")
 
 
 def grid_view(top: int) -> str:
@@ -118,7 +119,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 6) DE
 SELECT match_id, round, home_id AS home_team, away_id AS away_team, mean_home, median_home, std_home, p5_away, p95_away, home_win, draw, h || '-' || a AS top_score, round(p, 4) AS top_probability
 FROM fx JOIN e USING (match_id) JOIN o USING (match_id) JOIN r USING (match_id) WHERE rank = 1""", *RATES, "grid", "wide"))
 def prediction_records(spark, sf):
-    out = P.prediction_records(fx.pairings(spark, sf), rates(spark, sf), max_goals=10)
+    largest = P.draws_per_match(fx.strength_draws(spark, sf))
+    out = P.prediction_records(fx.pairings(spark, sf), rates(spark, sf), max_goals=10, largest=largest)
     return out.select(
         "match_id", "round", "home_team", "away_team", F.col("expected_goals_home.mean").alias("mean_home"),
         F.col("expected_goals_home.median").alias("median_home"), F.col("expected_goals_home.std").alias("std_home"),
