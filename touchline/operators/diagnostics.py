@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.cells import Track, looking_back, quantiles, running
-from touchline.session import settle
+from touchline.session import settle, small_side
 
 CHAIN = ["param", "chain"]
 # Coefficients of Acklam's rational approximation of the normal quantile.
@@ -40,7 +40,7 @@ def normal_quantile(p: Column) -> Column:
 
 def _halves(draws: DataFrame) -> DataFrame:
     """Tag each draw with the half of its chain; with an odd length the first half is the shorter."""
-    length = draws.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("_length"))
+    length = small_side(draws.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("_length")))
     return draws.join(length, CHAIN).withColumn("half", (F.col("draw") > F.floor(F.col("_length") / 2)).cast("int")).drop("_length")
 
 
@@ -94,7 +94,7 @@ def draw_summary(draws: DataFrame, batches: int = 10) -> DataFrame:
 
     A batch is one of `batches` equal stretches of a chain.
     """
-    length = draws.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("_length"))
+    length = small_side(draws.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("_length")))
     batch = F.floor((F.col("draw") - 1) * batches / F.col("_length"))
     parts = draws.join(length, CHAIN).withColumn("_batch", batch).groupBy(*CHAIN, "_batch").agg(F.avg("x").alias("_m"))
     error = parts.groupBy("param").agg((F.stddev_samp("_m") / F.sqrt(F.count(F.lit(1)))).alias("mcse_mean"))
@@ -110,7 +110,7 @@ def shortest_interval(draws: DataFrame, mass: float = 0.94, bin_width: float = 1
     """
     track = Track(["param"], "x", ("chain", "draw"), cell=F.floor(F.col("x") / bin_width))
     ranked = running(draws.select(*CHAIN, "draw", "x"), track, position="_pos").select("param", "_pos", "x")
-    total = draws.groupBy("param").agg(F.count(F.lit(1)).alias("_total"))
+    total = small_side(draws.groupBy("param").agg(F.count(F.lit(1)).alias("_total")))
     low = ranked.join(total, "param").withColumn("_to", F.col("_pos") + F.floor(F.lit(float(mass)) * F.col("_total")))
     high = ranked.select("param", F.col("_pos").alias("_to"), F.col("x").alias("_high"))
     pairs = low.join(high, ["param", "_to"])
@@ -120,7 +120,7 @@ def shortest_interval(draws: DataFrame, mass: float = 0.94, bin_width: float = 1
 
 def _autocovariance(draws: DataFrame, lags: int) -> DataFrame:
     """Per (param, chain): length, mean and autocovariances at lags 0..lags, products taken inside blocks."""
-    mean = draws.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("_n"), F.avg("x").alias("_mean"))
+    mean = small_side(draws.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("_n"), F.avg("x").alias("_mean")))
     centred = draws.join(mean, CHAIN).select(*CHAIN, "draw", "_n", "_mean", (F.col("x") - F.col("_mean")).alias("_d"))
     products = looking_back(
         centred, CHAIN, "draw", -max(lags, 1),

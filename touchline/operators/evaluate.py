@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
 from touchline.operators import strength
-from touchline.session import broadcast_within
+from touchline.session import broadcast_within, small_side
 
 LN10 = math.log(10.0)
 
@@ -40,7 +40,7 @@ def team_average_predictions(rows: DataFrame, train: Column, test: Column) -> Da
     """Rates from team averages, (scored[team] + conceded[opp]) / 2 and its mirror; unseen teams get the overall mean."""
     train_rows = rows.where(train)
     means = train_rows.agg(F.avg("goals").alias("_mh"), F.avg("goals_against").alias("_ma"))  # one row
-    averages = broadcast_within(team_averages(train_rows))
+    averages = small_side(team_averages(train_rows))
     own = averages.select("team", F.col("scored").alias("_ts"), F.col("conceded").alias("_tc"))
     opp = averages.select(F.col("team").alias("opp_team"), F.col("scored").alias("_os"), F.col("conceded").alias("_oc"))
     joined = rows.where(test).join(own, "team", "left").join(opp, "opp_team", "left").crossJoin(F.broadcast(means))
@@ -54,7 +54,7 @@ def strength_predictions(rows: DataFrame, strengths: DataFrame, *, xg_weight: fl
 
     `xg_weight` adds the match's own expected goals, which makes it a description, not a forecast.
     """
-    point = broadcast_within(strengths.select("team", "attack", "defence", "home_adv"))
+    point = small_side(strengths.select("team", "attack", "defence", "home_adv"))
     own = point.withColumnsRenamed({"attack": "_ta", "defence": "_td", "home_adv": "_th"})
     opp = point.select(F.col("team").alias("opp_team"), F.col("attack").alias("_oa"), F.col("defence").alias("_od"))
     home = F.col("_ta") - F.col("_od") + F.when(F.col("is_home") == 1, F.col("_th")).otherwise(0.0)

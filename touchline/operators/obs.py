@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.reshape import add_team_ids
+from touchline.session import small_side
+
 DEFAULT_XG = 1.5
 
 
@@ -52,7 +55,11 @@ def expanding_grid(
 
 
 def xg_baseline(rows: DataFrame, means: DataFrame, *, t: str = "cum_round") -> DataFrame:
-    """Pre-match expected goals of host and visitor on both kinds of row."""
+    """Pre-match expected goals of host and visitor on both kinds of row.
+
+    `means` has one row per (team, t); it is computed once for both lookups.
+    """
+    means = small_side(means)
     host = F.when(F.col("is_home") == 1, F.col("team")).otherwise(F.col("opp_team"))
     guest = F.when(F.col("is_home") == 1, F.col("opp_team")).otherwise(F.col("team"))
     h = means.select(F.col("team").alias("_host"), F.col("t").alias("_ht"), F.col("xg_avg").alias("_hx"), F.col("xga_avg").alias("_ha"))
@@ -70,8 +77,6 @@ def xg_baseline(rows: DataFrame, means: DataFrame, *, t: str = "cum_round") -> D
 
 def observations(rows: DataFrame, teams: DataFrame, max_round: int | None = None) -> DataFrame:
     """Model observations: ids, home flag, own and opponent goals, pre-match baselines."""
-    from touchline.operators.reshape import add_team_ids
-
     train = rows if max_round is None else rows.where(F.col("round") <= max_round)
     means = expanding_means(train)
     with_base = xg_baseline(train, means)

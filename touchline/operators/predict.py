@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from touchline.functions import scalars as S
 from touchline.operators.cells import GATHER_ROWS, largest_group, quantiles
-from touchline.session import broadcast_within
+from touchline.session import small_side
 
 SAMPLE = ["chain", "draw"]
 # Sums over goals stop here at the latest; clipped rates need about 45.
@@ -31,7 +31,7 @@ def pair_draws(fixtures: DataFrame, draws: DataFrame, home: str = "home_id", awa
     spark = draws.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     by_sample = draws.repartition(tasks, *SAMPLE)
-    small = broadcast_within(fixtures)
+    small = small_side(fixtures)
     host = by_sample.withColumnsRenamed({"team_id": home, "attack": "home_attack", "defence": "home_defence"})
     guest = by_sample.select(
         *SAMPLE, "t", F.col("team_id").alias(away), F.col("attack").alias("away_attack"), F.col("defence").alias("away_defence")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
 from touchline.operators.cells import Track, running
-from touchline.session import broadcast_within
+from touchline.session import small_side
 
 FEED_METRICS = {"goals": ("h_g", "a_g"), "xG": ("h_xG", "a_xG")}
 FEED_AGAINST = {"goals": "goals_against", "xG": "xGA"}
@@ -139,6 +139,6 @@ def team_index(rows: DataFrame, columns: Sequence[str] = ("team", "opp_team"), t
 
 def add_team_ids(rows: DataFrame, teams: DataFrame) -> DataFrame:
     """Look both sides up in the index."""
-    index = broadcast_within(teams.select("team", "team_id"))
+    index = small_side(teams.select("team", "team_id"))
     other = index.withColumnsRenamed({"team": "opp_team", "team_id": "opp_id"})
     return rows.join(index, "team", "left").join(other, "opp_team", "left")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
-from touchline.session import broadcast_within, settle
+from touchline.session import broadcast_within, settle, small_side
 
 
 def suffstats(
@@ -282,7 +282,7 @@ def xg_weight(
          "_home": F.col("is_home").cast("double"), "_y": F.col("goals").cast("double")}
     )
     if strengths is not None:
-        opp = broadcast_within(strengths.select(F.col("team").alias("opp_team"), F.col("defence").alias("_d")))
+        opp = small_side(strengths.select(F.col("team").alias("opp_team"), F.col("defence").alias("_d")))
         factor = S.hard_clip(1 + F.lit(adjustment) * F.col("_d"), *S.OPPONENT_FACTOR_BOUNDS)
         base = base.join(opp, "opp_team").withColumn("_lx", F.col("_lx") * factor)
     stages = [

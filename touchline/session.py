@@ -62,3 +62,11 @@ def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
     """
     rows = df.limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A reduced table (an aggregate, a dimension) computed once, settled, and broadcast if it is small.
+
+    Saves shuffling the large side for it; past `max_rows` the join is left to AQE.
+    """
+    return broadcast_within(settle(df), max_rows)
