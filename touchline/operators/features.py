@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from touchline.functions import scalars as S
 from touchline.operators.cells import BLOCK_ROWS, PLAIN_ROWS, Track, looking_back, measured, quantiles, running
+from touchline.operators.reshape import require
 
 POSITION = "_pos"
 LAGGED = ("goals", "xG", "goals_against", "xGA", "win", "loss", "draw", "is_home")
@@ -201,11 +202,9 @@ def fill(df: DataFrame, track: Track, columns: Sequence[str], method: str = "ffi
 
 
 def validate_features(df: DataFrame) -> None:
-    missing = [c for c in ("team", "datetime") if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing required columns: {missing}")
-    if not any(c in df.columns for c in METRICS):
-        raise ValueError(f"No numeric columns found; expected at least one of {list(METRICS)}")
+    require(df, ["team", "datetime"])
+    if not set(METRICS) & set(df.columns):
+        raise ValueError(f"nothing to derive features from: give at least one of {list(METRICS)}")
 
 
 def _bounded_features(

@@ -18,7 +18,7 @@ FEED_AGAINST = {"goals": "goals_against", "xG": "xGA"}
 def require(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"input lacks columns {missing}")
 
 
 def flatten_matches(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

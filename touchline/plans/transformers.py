@@ -12,7 +12,7 @@ from touchline.operators import features, reshape
 
 
 class _Settable(Params):
-    """`set_params` with the reference error for unknown names."""
+    """Parameters by name; unknown names are an error."""
 
     def set_params(self, **values):
         for name, value in values.items():
