@@ -64,6 +64,14 @@ def test_looking_back_equals_plain_window(series, block, reach):
     assert both.where(~F.col("y").eqNullSafe(F.col("z"))).count() == 0
 
 
+@pytest.mark.parametrize("largest,unit", [(100, "day"), (30, "hour"), (2, "second")])
+def test_measured_refines_the_unit_for_dense_entities(series, largest, unit):
+    fitted = measured(series, TRACK, largest)
+    assert (fitted.plain, fitted.unit) == (False, unit)
+    got = running(series, fitted, position="pos").where("entity = 'hot'").agg(F.max("pos"), F.count_distinct("pos")).first()
+    assert got[0] == got[1] == series.where("entity = 'hot'").count()
+
+
 def test_running_without_entity_ranks_globally(series):
     got = running(series.select("ts", "id"), Track([], "ts", ("id",)), position="pos")
     assert got.agg(F.count_distinct("pos"), F.min("pos"), F.max("pos")).first() == (600, 1, 600)

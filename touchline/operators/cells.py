@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CELL = "_cell"
+UNITS = ("year", "month", "week", "day", "hour", "minute", "second")
 BLOCK_ROWS = 1024
 # Up to this many first / last values a cell is summarised by aggregation, beyond it by its window.
 MAX_PICKS = 4
@@ -64,13 +65,20 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
 
 
 def measured(df: DataFrame, track: Track, max_rows: int = PLAIN_ROWS) -> Track:
-    """The track, marked `plain` if no entity has more than `max_rows` rows.
+    """The track fitted to the data: `plain` if no entity has more than `max_rows` rows, else split.
 
-    One count per entity, combined map-side over the entity columns alone.
+    A split track keeps its `unit` if no cell exceeds `max_rows` and otherwise takes the first finer
+    unit that holds it. Each look is one count, combined map-side over the key columns alone.
     """
-    if not track.entity:
-        return track
-    return replace(track, plain=largest_group(df, track.entity) <= max_rows)
+    if track.entity and largest_group(df, track.entity) <= max_rows:
+        return replace(track, plain=True)
+    if track.cell is not None or track.unit not in UNITS:
+        return replace(track, plain=False)
+    for unit in UNITS[UNITS.index(track.unit):]:
+        fitted = replace(track, unit=unit, plain=False)
+        if largest_group(df.withColumn(CELL, fitted.cell_column()), [*track.entity, CELL]) <= max_rows:
+            break
+    return fitted
 
 
 def _plain_running(df: DataFrame, track: Track, position, sums, before, until, following, runs) -> DataFrame:
