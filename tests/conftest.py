@@ -8,10 +8,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from touchline.session import build_session
 
-    session = build_session("local[8]", 4, spark__driver__memory="6g", spark__sql__warehouse__dir="/tmp/touchline-warehouse")
+    shared = tmp_path_factory.mktemp("shared")
+    session = build_session(
+        "local[8]", 4, spark__driver__memory="6g",
+        spark__sql__warehouse__dir=f"{shared}/warehouse", spark__checkpoint__dir=f"{shared}/checkpoints",
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
