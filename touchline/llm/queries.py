@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import token_planes
+from touchline.llm import bpe_automaton, simhash, token_planes
 from touchline.llm.common import table, tokenizer_path
 from touchline.session import checkpoint_dir
 
@@ -33,3 +33,23 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_documents(spark, path).select(
         "doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the automaton, then decoded from its ids; digests of both."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    ids = table(spark, sf_dir, "documents").select("doc_id", bpe_automaton.encode("text", path).alias("ids"))
+    return ids.withColumn("decoded", bpe_automaton.decode("ids", path)).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
