@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe_automaton, simhash, token_planes
+from touchline.llm import bpe_automaton, piece_counts, simhash, token_planes
 from touchline.llm.common import table, tokenizer_path
 from touchline.session import checkpoint_dir
 
@@ -35,6 +35,13 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    counts = piece_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
