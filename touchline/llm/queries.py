@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe_automaton, piece_counts, simhash, token_planes
+from touchline.llm import bpe_automaton, oracles, piece_counts, risk_rules, simhash, token_planes, url_rules
 from touchline.llm.common import table, tokenizer_path
 from touchline.session import checkpoint_dir
 
@@ -35,6 +35,20 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL by four rules."""
+    rules = spark.sql(
+        "select * from values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), "
+        "('org', '/fr/', 'allow') as r(host, path, verdict)"
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op2_url_rules"] = oracles.URL_RULES
+
+
 @query
 def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
@@ -42,6 +56,16 @@ def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query
+def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether it is kept; strata are languages."""
+    judged = risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op8_risk_rules"] = oracles.RISK_RULES
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
