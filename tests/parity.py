@@ -16,10 +16,16 @@ TABLES = (
 ).split()
 
 
+def path(sf_dir: str, name: str) -> str:
+    """A table is one file or a folder of files."""
+    at = f"{sf_dir}/{name}.parquet"
+    return f"{at}/*.parquet" if os.path.isdir(at) else at
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path(sf_dir, t)}'")
     return con
 
 
