@@ -19,6 +19,19 @@ select u.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') as verdict
 from u left join (select * from fits where k = 1) f on u.page_id = f.page_id
 """
 
+WARC = """
+with p as (select page_id, url, coalesce(html, '') as body, strlen(coalesce(html, '')) as n from pages),
+f as (select *, case when n >= 100 then min(page_id) over (partition by body) end as first from p),
+k as (select *, case when url is null or not contains(url, '://') then coalesce(url, '')
+    else array_to_string(list_reverse(string_split(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.')), ',')
+      || ')' || regexp_extract(url, '://[^/?#]*([^#]*)', 1) end as url_key from f)
+select page_id, n as payload_bytes, sha256(body) as payload_digest,
+  case when first is not null and first <> page_id then 'revisit' else 'response' end as record_type,
+  case when first <> page_id then first end as refers_to, url_key,
+  row_number() over (order by url_key, page_id) - 1 as position
+from k
+"""
+
 _VALUES = ", ".join(
     f"('{r}', case when {b} > 0 then cast(floor(1000 * {a} / {b}) as bigint) else -1 end)" for r, (a, b) in risk_rules.RULES.items()
 )

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe_automaton, oracles, piece_counts, risk_rules, simhash, token_planes, url_rules
+from touchline.llm import bpe_automaton, oracles, piece_counts, risk_rules, simhash, token_planes, url_rules, warc
 from touchline.llm.common import table, tokenizer_path
 from touchline.session import checkpoint_dir
 
@@ -49,6 +49,26 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_url_rules"] = oracles.URL_RULES
 
 
+@query
+def op4_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through archives and back, in the order of the merged capture histories.
+
+    `pages` has no time of capture; page p counts as captured p seconds after the start of 2024.
+    """
+    path = scratch(spark, "warc")
+    start = F.unix_seconds(F.lit("2024-01-01T00:00:00Z").cast("timestamp"))
+    captures = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.timestamp_seconds(start + F.col("page_id")).alias("captured_at"), F.col("html").alias("payload")
+    )
+    warc.write_archives(captures, path)
+    return warc.merge_runs(warc.read_captures(spark, path)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position"
+    )
+
+
+ORACLES["op4_warc_histories"] = oracles.WARC
+
+
 @query
 def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
