@@ -1,66 +1,93 @@
 """Ids of white-space-delimited pieces of text, encoded by the tokenizers library once and remembered.
 
-A tokenizer whose pre-tokenizer never joins what white space separates gives a text the ids of its
-pieces, one after the other. Pieces repeat, so a worker remembers them, up to a fixed number.
+A tokenizer whose pre-tokenizer never joins what white space separates, and drops the white space,
+gives a text the ids of its pieces, one after the other. Pieces repeat, so a worker remembers them, up to a fixed number.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
 import numpy as np
 
-#: Most pieces remembered by a worker, and the longest of them; others are encoded where they occur.
-MOST_PIECES, LONGEST_PIECE = 600_000, 64
+#: Most pieces in each of a worker's two generations, and the longest; others are encoded where they occur.
+MOST_PIECES, LONGEST_PIECE = 500_000, 64
+#: A character that stands between pieces when many are encoded in one call.
+MARK = "\x01"
 
 
 class PieceCache:
-    """Piece -> its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode_batch):
-        self.known: dict[str, bytes] = {}
-        self.encode_batch = encode_batch
-
-    def ids(self, texts_pieces: list[list[str]]) -> list[bytes]:
-        """Ids of texts given as pieces. A full memory is emptied first, so that all of the batch is in it."""
-        missing = {p for pieces in texts_pieces for p in pieces if p not in self.known}
-        if len(self.known) + len(missing) > MOST_PIECES:
-            self.known.clear()
-            missing = {p for pieces in texts_pieces for p in pieces}
-        words = list(missing)
-        for start in range(0, len(words), 10_000):
-            part = words[start : start + 10_000]
-            self.known.update(zip(part, self.encode_batch(part)))
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in texts_pieces]
-        for p in words:
+    """Piece -> its ids as little-endian unsigned 32-bit integers.
+
+    When the young generation is full it becomes the old one, so pieces in use survive.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        self.lowers = any(s["type"] == "Lowercase" for s in steps)
+        mark = self._encode([MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces a hundred at a time, told apart by the mark's id."""
+        plain = [p for p in pieces if MARK not in p] if self.mark is not None else []
+        for start in range(0, len(plain), 100):
+            part = plain[start : start + 100]
+            ids = np.array(self._encode([f" {MARK} ".join(part)])[0], "<u4")
+            at, raw = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
+            self.young.update(zip(part, [raw[i:j] for i, j in zip([0, *(k + 4 for k in at)], [*at, len(raw)])], strict=True))
+        for p in pieces if self.mark is None else [p for p in pieces if MARK in p]:
+            self.young[p] = np.array(self._encode([p])[0], "<u4").tobytes()
+
+    def pieces(self, text: str) -> list[str]:
+        """A text cut at spaces and line feeds. A-Z are lowered first where the tokenizer does so anyway."""
+        if self.lowers:
+            low = text.lower() if text.isascii() else text.encode().lower().decode()
+            text = text if any(s.lower() in low for s in self.special) else low
+        return text.replace("\n", " ").split(" ")
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        cut = [self.pieces(t) for t in texts]
+        wanted = {p for pieces in cut for p in pieces if p not in self.young}
+        if wanted and len(self.young) + len(wanted) > MOST_PIECES:
+            self.old, self.young = self.young, {}
+            wanted = {p for pieces in cut for p in pieces}
+        kept = {p: i for p in wanted if (i := self.old.get(p)) is not None}
+        self.young.update(kept)
+        new = [p for p in wanted if p not in kept]
+        self._learn(new)
+        out = [b"".join(map(self.young.__getitem__, pieces)) for pieces in cut]
+        for p in new:
             if len(p) > LONGEST_PIECE:
-                del self.known[p]
+                del self.young[p]
         return out
 
 
-@lru_cache(maxsize=4)
-def library_cache(path: str) -> PieceCache:
+@lru_cache(maxsize=2)
+def piece_cache(path: str) -> PieceCache:
     """A worker's memory for the tokenizer file at `path`."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    def encode(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    return PieceCache(encode)
+    return PieceCache(path)
 
 
 def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
-    """Ids of every whole text (NULL: of the empty text), 256 texts at a time.
-
-    Texts are cut at spaces and line feeds, which the tokenizers used with this drop.
-    """
-    cache, out = library_cache(path), []
+    """Ids of every whole text (NULL: of the empty text), 256 texts at a time."""
+    cache, out = piece_cache(path), []
     for start in range(0, len(texts), 256):
-        out += cache.ids([(t or "").replace("\n", " ").split(" ") for t in texts[start : start + 256]])
+        out += cache.ids([t or "" for t in texts[start : start + 256]])
     return out
