@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import boosted_quality, bpe_automaton, crf_language, oracles, piece_counts, risk_rules, simhash, token_planes, url_rules, warc
+from touchline.llm import boosted_quality, bpe_automaton, crf_language, decontaminate, oracles, piece_counts, risk_rules, simhash, token_planes, url_rules, warc
 from touchline.llm.common import in_fold, settle, table, tokenizer_path
 from touchline.session import checkpoint_dir
 
@@ -86,6 +86,16 @@ def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item it holds."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", *decontaminate.split_item("text"))
+    found = decontaminate.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    return found.select("doc_id", F.explode("hits").alias("_h")).select(
+        "doc_id", "_h.item_id", "_h.score", "_h.question_overlap", "_h.answer_overlap", "_h.passage"
+    )
+
+
 @query
 def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a field learned outside the held-out fold."""
