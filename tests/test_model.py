@@ -110,22 +110,51 @@ def test_rates_use_the_round_before_or_the_last_step(small):
         assert math.isclose(r.lambda_home, math.exp(att - dfn + 0.25), rel_tol=1e-12)
 
 
-def test_grid_sums_to_one_and_agrees_with_simulation(spark):
-    rates = spark.createDataFrame([(1, 0, i, 1.4, 0.9) for i in range(20000)], "match_id long, chain int, draw int, lambda_home double, lambda_away double")
+def exact_outcomes(home, away):
+    def pmf(rate):
+        return np.array([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(int(rate + 20 * math.sqrt(rate) + 60))])
+
+    n = max(len(pmf(home)), len(pmf(away)))
+    grid = np.outer(np.pad(pmf(home), (0, n - len(pmf(home)))), np.pad(pmf(away), (0, n - len(pmf(away)))))
+    return [np.tril(grid, -1).sum(), np.trace(grid), np.triu(grid, 1).sum()]
+
+
+def test_grid_sums_to_one_and_agrees_with_outcomes(spark):
+    rates = spark.createDataFrame([(1, 0, i, 1.4, 0.9) for i in range(200)], "match_id long, chain int, draw int, lambda_home double, lambda_away double")
     grid = P.score_grid(rates)
     assert abs(grid.agg(F.sum("probability")).first()[0] - 1) < 1e-9
-    exact = P.outcome_probabilities(rates).first()
-    seen = P.simulated_outcomes(P.simulate_goals(rates)).first()
-    for c in ("home_win", "draw", "away_win"):
-        sd = math.sqrt(exact[c] * (1 - exact[c]) / 20000)
-        assert abs(exact[c] - seen[c]) < 4 * sd
-    goals = P.simulate_goals(rates).agg(F.avg("goals_home"), F.var_samp("goals_home")).first()
-    assert abs(goals[0] - 1.4) < 0.04 and abs(goals[1] - 1.4) < 0.08
+    h, a = F.col("home_goals"), F.col("away_goals")
+    sums = grid.agg(*[F.sum(F.when(c, F.col("probability"))) for c in (h > a, h == a, h < a)]).first()
+    out = P.outcome_probabilities(rates).first()
+    for k, c in enumerate(("home_win", "draw", "away_win")):
+        assert out[c] == pytest.approx(sums[k], abs=1e-9) and out[c] == pytest.approx(exact_outcomes(1.4, 0.9)[k], abs=1e-12)
+
+
+def test_outcomes_of_large_and_missing_rates(spark):
+    rows = [(1, 2.0, 1.0), (1, None, 1.0), (2, 800.0, 700.0), (3, None, None), (4, 0.0, 0.0), (5, 0.0, 3.0), (6, 1000.0, 1000.0)]
+    rates = spark.createDataFrame(rows, "match_id long, lambda_home double, lambda_away double")
+    got = {r["match_id"]: r for r in P.outcome_probabilities(rates).collect()}
+    for match, home, away in ((1, 2.0, 1.0), (2, 800.0, 700.0), (6, 1000.0, 1000.0)):
+        want = exact_outcomes(home, away)
+        assert [got[match][c] for c in ("home_win", "draw", "away_win")] == pytest.approx(want, abs=1e-9)
+    assert got[3]["home_win"] is None and got[4]["draw"] == 1.0 and got[5]["draw"] == pytest.approx(math.exp(-3))
+    assert P.goals_to_cover(800.0) > 900 and P.goals_to_cover(0.0) == 1
+
+
+def test_weights_are_random(spark):
+    from touchline.functions import scalars as S
+
+    drawn = spark.range(15_000).select(*[S.poisson_one(S.mixed_uniform(42, F.col("id"), F.lit(r))).alias(f"r{r}") for r in range(1, 41)]).toPandas()
+    totals, league = drawn.sum(), drawn.iloc[:380].sum()
+    assert 0.4 < totals.var() / 15_000 < 2.0 and 0.4 < league.var() / 380 < 2.0
+    pairs = np.corrcoef(drawn.T.to_numpy())[np.triu_indices(40, 1)]
+    assert abs(pairs).max() < 0.05 and abs(pairs.mean()) < 0.005
 
 
 def test_clipped_rates_and_small_grid_report_the_rest(spark):
     rates = spark.createDataFrame([(1, 0, 0, 10.0, 0.01)], "match_id long, chain int, draw int, lambda_home double, lambda_away double")
-    assert P.score_grid(rates, 5).agg(F.sum("probability")).first()[0] < 0.1
+    small = P.score_grid(rates, 5).agg(F.sum("probability"), F.max("tail"), F.min("tail")).first()
+    assert small[0] < 0.1 and small[1] == small[2] == pytest.approx(1 - small[0])
     assert abs(P.score_grid(rates).agg(F.sum("probability")).first()[0] - 1) < 1e-9
     out = P.outcome_probabilities(rates).first()
     assert abs(out["home_win"] + out["draw"] + out["away_win"] - 1) < 1e-12

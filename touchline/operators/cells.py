@@ -58,6 +58,13 @@ class Track:
     def cell_column(self) -> Column:
         return self.cell if self.cell is not None else F.date_trunc(self.unit, F.col(self.ts))
 
+    def placed(self) -> Column:
+        """Whether a row has its entity and its time. Rows without either belong to no history."""
+        found = F.col(self.ts).isNotNull()
+        for c in self.entity:
+            found = found & F.col(c).isNotNull()
+        return found
+
 
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     """Row count of the largest group: a count per group, combined map-side."""
@@ -82,21 +89,25 @@ def measured(df: DataFrame, track: Track, max_rows: int = PLAIN_ROWS) -> Track:
 
 
 def _plain_running(df: DataFrame, track: Track, position, sums, before, until, following, runs) -> DataFrame:
-    """`running` with one window per entity."""
+    """`running` with one window per entity; rows without a time come first in it and count for nothing."""
+    ok = track.placed()
     w = Window.partitionBy(*track.entity).orderBy(*track.order)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     onwards = w.rowsBetween(0, Window.unboundedFollowing)
     rank = position or "_rank"
+    counted = F.sum(F.when(ok, 1).otherwise(0)).over(upto)
+    sums, before, until, following = ({n: F.when(ok, c) for n, c in group.items()} for group in (sums, before, until, following))
     out = {
-        **({rank: F.row_number().over(w).cast("long")} if position or runs else {}),
+        **({rank: F.when(ok, counted).cast("long")} if position or runs else {}),
         **{n: F.sum(c).over(earlier) for n, c in sums.items()},
         **{n: F.last(c, ignorenulls=True).over(earlier) for n, c in before.items()},
         **{n: F.last(c, ignorenulls=True).over(upto) for n, c in until.items()},
         **{n: F.first(c, ignorenulls=True).over(onwards) for n, c in following.items()},
     }
     rows = df.withColumns({f"_r{i}": ~F.coalesce(c, F.lit(False)) for i, c in enumerate(runs.values())}) if runs else df
-    rows = rows.withColumns(out)
+    masked = {n: F.when(ok, c) for n, c in out.items()}
+    rows = rows.withColumns(masked)
     if runs:
         failed_at = [F.coalesce(F.max(F.when(F.col(f"_r{i}"), F.col(rank))).over(earlier), F.lit(0)) for i in range(len(runs))]
         rows = rows.withColumns({n: F.col(rank) - 1 - at for n, at in zip(runs, failed_at)})
@@ -117,7 +128,8 @@ def running(
 ) -> DataFrame:
     """Add unbounded running values per entity; every keyword maps output name -> input column.
 
-    Entity and order columns must not be NULL, and the order must be unique within an entity.
+    The order must be unique within an entity. Rows whose entity or time is NULL stay, with NULL in every
+    added column, and do not count for others, split or not.
 
     position     1-based rank of the row
     sum_before   sum over the rows strictly before (NULL when there is no value yet)
@@ -146,8 +158,8 @@ def running(
     inputs: dict[str, Column] = {}
     for tag, group in (("s", sums), ("b", before), ("u", until), ("n", following), ("r", runs)):
         for i, column in enumerate(group.values()):
-            inputs[f"_{tag}{i}"] = column
-    rows = df.withColumns({CELL: track.cell_column(), **inputs})
+            inputs[f"_{tag}{i}"] = column if tag == "r" else F.when(track.placed(), column)
+    rows = df.withColumns({CELL: track.cell_column(), "_ok": track.placed(), **inputs})
     if runs:
         rows = rows.withColumn("_rn", F.row_number().over(inside))
     failed = [~F.coalesce(F.col(f"_r{i}"), F.lit(False)) for i in range(len(runs))]
@@ -158,7 +170,7 @@ def running(
     if runs or len(picked) > MAX_PICKS:
         # Many picks, or ranks: read them off the cell's window, on its first row.
         whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        values = {"_n": F.count(F.lit(1)).over(whole)}
+        values = {"_n": F.count(F.when(F.col("_ok"), 1)).over(whole)}
         values.update({f"_cs{i}": F.sum(f"_s{i}").over(whole) for i in range(len(sums))})
         for tag, i, last in picked:
             end = F.last if last else F.first
@@ -169,7 +181,7 @@ def running(
         summary = rows.withColumns(values).where(F.col("_rn") == 1).select(*keys, *[v for v in values if v != "_rn"])
     else:
         # Few picks: sums and picks combine map-side, so a hot cell sends one row per task.
-        aggs = [F.count(F.lit(1)).alias("_n"), *[F.sum(f"_s{i}").alias(f"_cs{i}") for i in range(len(sums))]]
+        aggs = [F.count(F.when(F.col("_ok"), 1)).alias("_n"), *[F.sum(f"_s{i}").alias(f"_cs{i}") for i in range(len(sums))]]
         for tag, i, last in picked:
             column = F.col(f"_{tag}{i}")
             pick = F.max_by if last else F.min_by
@@ -215,6 +227,7 @@ def running(
     rows = rows.withColumns(local) if local else rows
 
     # Plain equality keeps the rows' (entity, cell) partitioning; null-safe equality would reshuffle.
+    # Rows it misses, without an entity or a time, have no history and get NULL below.
     match = [rows[k] == carry[f"_k{j}"] for j, k in enumerate(keys)]
     joined = rows.join(carry, match, "left")
 
@@ -233,7 +246,7 @@ def running(
         failed_at = F.coalesce(F.col("_rows") + F.col(f"_lr{i}"), F.col(f"_pr{i}"), F.lit(0))
         outputs[name] = F.col("_rows") + F.col("_rn") - 1 - failed_at
     kept = [c for c in df.columns if c not in outputs]
-    return joined.select(*[rows[c] for c in kept], *[c.alias(n) for n, c in outputs.items()])
+    return joined.select(*[rows[c] for c in kept], *[F.when(rows["_ok"], c).alias(n) for n, c in outputs.items()])
 
 
 def looking_back(
@@ -251,7 +264,9 @@ def looking_back(
     """
     reach = abs(lookback)
     size = max(block_rows, reach)
-    block = F.floor((F.col(position) - 1) / size)
+    # rows without a position are in no history: many small blocks of their own, and NULL in every added column
+    apart = -1 - F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(4096))
+    block = F.coalesce(F.floor((F.col(position) - 1) / size), apart)
     within = (F.col(position) - 1) % size
     if lookback >= 0:
         also, neighbour = within >= size - reach, block + 1
@@ -262,8 +277,9 @@ def looking_back(
     )
     window = Window.partitionBy(*entity, "_block").orderBy(position)
     offset = F.col(position) - 1 - F.col("_block") * size
+    placed = F.col(position).isNotNull()
     return (
-        rows.withColumns(dict(columns(window, offset)))
+        rows.withColumns({n: F.when(placed, c) for n, c in columns(window, offset).items()})
         .where(F.col("_block") == F.col("_own"))
         .drop("_block", "_own")
     )

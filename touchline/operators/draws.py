@@ -116,7 +116,7 @@ def subsample(draws: DataFrame, n: int, *, by: Sequence[str] = ("match_id",), se
     each task sends at most `n` rows per group.
     """
     key = by[0]
-    mixed = S.mixed_uniform(seed, F.col(key), F.col("chain") * 1000003 + F.col("draw"))
+    mixed = S.mixed_uniform(seed, F.col(key), F.col("chain"), F.col("draw"))
     w = Window.partitionBy(*by).orderBy("_u", *SAMPLE)
     return (
         draws.withColumn("_u", mixed).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_u", "_rank")

@@ -20,7 +20,7 @@ def expanding_means(
     Rows are first summed to one per (team, t); the running sum then scans at most one row per round.
     """
     sums = rows.groupBy(F.col(team).alias("team"), F.col(t).alias("t")).agg(
-        F.sum(value).alias("_own"), F.sum(against).alias("_other"), F.count(value).alias("_n")
+        F.sum(value).alias("_own"), F.sum(against).alias("_other"), F.count(value).alias("_n_own"), F.count(against).alias("_n_other")
     )
     return _means(sums, default)
 
@@ -29,7 +29,7 @@ def _means(sums: DataFrame, default: float) -> DataFrame:
     before = Window.partitionBy("team").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
 
     def mean(c: str):
-        return F.coalesce(F.try_divide(F.sum(c).over(before), F.sum("_n").over(before)), F.lit(float(default)))
+        return F.coalesce(F.try_divide(F.sum(c).over(before), F.sum(f"_n{c}").over(before)), F.lit(float(default)))
 
     return sums.select("team", "t", mean("_own").alias("xg_avg"), mean("_other").alias("xga_avg"))
 
@@ -43,7 +43,7 @@ def expanding_grid(
     The grid is teams x rounds, both reduced from the rows first.
     """
     sums = rows.groupBy(F.col(team).alias("team"), F.col(t).alias("t")).agg(
-        F.sum(value).alias("_own"), F.sum(against).alias("_other"), F.count(value).alias("_n")
+        F.sum(value).alias("_own"), F.sum(against).alias("_other"), F.count(value).alias("_n_own"), F.count(against).alias("_n_other")
     )
     last = sums.agg(F.max("t").alias("_last"))
     grid = (

@@ -5,19 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from touchline.functions import scalars as S
 from touchline.operators.cells import GATHER_ROWS, largest_group, quantiles
 from touchline.session import small_side
 
 SAMPLE = ["chain", "draw"]
-# Sums over goals stop here at the latest; clipped rates need about 45.
-MOST_GOALS = 400
 
 
 def pair_draws(fixtures: DataFrame, draws: DataFrame, home: str = "home_id", away: str = "away_id") -> DataFrame:
@@ -107,25 +102,35 @@ def pointwise_loglik(rates: DataFrame, by: Sequence[str] = ("obs_id",)) -> DataF
     return agg.select(*by, (best + F.col("_rel")).alias("log_mean_likelihood"), (best + F.col("_mean")).alias("mean_loglik"))
 
 
-def grid_size(rates: DataFrame, tail: float = 1e-10) -> int:
-    """Goals up to which the largest rate leaves less than `tail` probability outside."""
-    top = rates.agg(F.max(F.greatest("lambda_home", "lambda_away"))).first()[0] or 0.0
-    k, term = 0, math.exp(-top)
-    total = term
-    while 1.0 - total > tail and k < 200:
+def goals_to_cover(rate: float, tail: float = 1e-10) -> int:
+    """Goals up to which a Poisson rate leaves less than `tail` probability outside, whatever the rate."""
+    k = max(1, math.ceil(rate))
+    while True:
+        # past the mean, what lies beyond k is less than a geometric series from the next term
+        beyond = math.exp((k + 1) * math.log(rate) - rate - math.lgamma(k + 2)) / (1 - rate / (k + 2)) if rate > 0 else 0.0
+        if beyond < tail:
+            return k
         k += 1
-        term *= top / k
-        total += term
-    return max(k, 1)
+
+
+def grid_size(rates: DataFrame, tail: float = 1e-10) -> int:
+    """Goals that the largest rate of any draw needs; reads the rates once. Clipped rates need no reading: `CLIPPED_GOALS`."""
+    return goals_to_cover(rates.agg(F.max(F.greatest("lambda_home", "lambda_away"))).first()[0] or 0.0, tail)
+
+
+CLIPPED_GOALS = goals_to_cover(S.RATE_BOUNDS[1])
 
 
 def score_grid(rates: DataFrame, max_goals: int | None = None, by: Sequence[str] = ("match_id",)) -> DataFrame:
     """Mean over draws of P(home = h) P(away = a) for h, a = 0..max_goals, one row per cell.
 
     Away probabilities ride along as columns, so a draw fans out to max_goals + 1 rows, not to its
-    square, and those are summed map-side. Without `max_goals` the grid covers all but 1e-10.
+    square, and those are summed map-side. Without `max_goals` the grid covers all but 1e-10 of rates
+    clipped to `RATE_BOUNDS`; `tail` is what lies outside the grid, the same on all cells of a match.
+    Draws without rates count for nothing.
     """
-    top = grid_size(rates) if max_goals is None else max_goals
+    top = CLIPPED_GOALS if max_goals is None else max_goals
+    rates = rates.where(F.col("lambda_home").isNotNull() & F.col("lambda_away").isNotNull())
     log_fact = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(top + 1)])
     away = [S.poisson_pmf(k, F.col("lambda_away")).alias(f"_a{k}") for k in range(top + 1)]
     fanned = rates.select(*by, "lambda_home", *away).withColumn("home_goals", F.explode(F.sequence(F.lit(0), F.lit(top))))
@@ -134,35 +139,45 @@ def score_grid(rates: DataFrame, max_goals: int | None = None, by: Sequence[str]
     sums = fanned.withColumn("_h", p_home).groupBy(*by, "home_goals").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(F.col("_h") * F.col(f"_a{k}")).alias(f"_s{k}") for k in range(top + 1)]
     )
+    row = sum((F.col(f"_s{k}") for k in range(1, top + 1)), F.col("_s0")) / F.col("_n")
+    inside = F.sum(row).over(Window.partitionBy(*by))  # max_goals + 1 rows a match
     cells = F.posexplode(F.array(*[F.col(f"_s{k}") / F.col("_n") for k in range(top + 1)])).alias("away_goals", "probability")
-    return sums.select(*by, "home_goals", cells)
-
-
-@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("home_win", "draw", "away_win")]))
-def _outcomes(home: pd.Series, away: pd.Series) -> pd.DataFrame:
-    """Win, draw and loss of two Poisson counts per row, summed until both tails are negligible."""
-    h_rate, a_rate = home.to_numpy(), away.to_numpy()
-    h, a = np.exp(-h_rate), np.exp(-a_rate)
-    h_to, a_to = np.zeros_like(h), np.zeros_like(a)
-    win, level, loss = np.zeros_like(h), np.zeros_like(h), np.zeros_like(h)
-    k = 0
-    while len(h) and (k == 0 or min(h_to.min(), a_to.min()) < 1 - 1e-13) and k < MOST_GOALS:
-        h_to, a_to = h_to + h, a_to + a
-        win += a * (1 - h_to)
-        level += h * a
-        loss += h * (1 - a_to)
-        k += 1
-        h, a = h * h_rate / k, a * a_rate / k
-    return pd.DataFrame({"home_win": win, "draw": level, "away_win": loss})
+    return sums.withColumn("tail", F.greatest(1 - inside, F.lit(0.0))).select(*by, "home_goals", cells, "tail")
+
+
+def outcome_of(home: Column, away: Column) -> Column:
+    """Win, draw and loss of two Poisson counts, summed term by term until both are past their tails.
+
+    The number of terms follows from the row's own rates. Terms are kept as logarithms, so that they do
+    not vanish for large rates. NULL if a rate is NULL.
+    """
+    top = F.greatest(home, away)
+    terms = F.sequence(F.lit(0), F.ceil(top + 12 * F.sqrt(top) + 30).cast("int"))
+    zero = F.lit(0.0)
+    state = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    start = state(h=-home, a=-away, h_to=zero, a_to=zero, win=zero, draw=zero, loss=zero)
+
+    def term(log: Column, rate: Column, k: Column) -> Column:
+        """Logarithm of the next term; none after the first for a rate of 0."""
+        return F.coalesce(log + F.log(rate / (k + 1)), F.lit(float("-inf")))
+
+    def step(s: Column, k: Column) -> Column:
+        h, a = F.exp(s["h"]), F.exp(s["a"])
+        h_to, a_to = s["h_to"] + h, s["a_to"] + a
+        return state(
+            h=term(s["h"], home, k), a=term(s["a"], away, k), h_to=h_to, a_to=a_to,
+            win=s["win"] + a * (1 - h_to), draw=s["draw"] + h * a, loss=s["loss"] + h * (1 - a_to),
+        )
+
+    return F.when(home.isNotNull() & away.isNotNull(), F.aggregate(terms, start, step, lambda s: state(home_win=s["win"], draw=s["draw"], away_win=s["loss"])))
 
 
 def outcome_probabilities(rates: DataFrame, by: Sequence[str] = ("match_id",)) -> DataFrame:
     """Home win, draw and away win: mean over draws of the exact probabilities of each draw's rates.
 
-    Spark has no Poisson distribution function and unrolled sums grow with the square of the goals,
-    so a batch of draws is summed with arrays; only two numbers per draw travel.
+    Only three numbers per draw travel, summed map-side; draws without rates are left out of the mean.
     """
-    rows = rates.select(*by, _outcomes("lambda_home", "lambda_away").alias("_o"))
+    rows = rates.select(*by, outcome_of(F.col("lambda_home"), F.col("lambda_away")).alias("_o"))
     return rows.groupBy(*by).agg(*[F.avg(f"_o.{c}").alias(c) for c in ("home_win", "draw", "away_win")])
 
 
@@ -200,44 +215,6 @@ def rate_summary(
     return long.groupBy(*by).agg(*moments).join(quantiles(long, by, "rate", probs, names, bin_width), by)
 
 
-@F.pandas_udf(T.IntegerType())
-def _inverse_poisson(u: pd.Series, rate: pd.Series) -> pd.Series:
-    """Smallest k with P(K <= k) > u."""
-    target, lam = u.to_numpy(), rate.to_numpy()
-    goals = np.zeros(len(lam), dtype=np.int32)
-    term = np.exp(-lam)
-    total = term.copy()
-    for k in range(1, MOST_GOALS):
-        beyond = target >= total
-        if not beyond.any():
-            break
-        goals[beyond] = k
-        term = term * lam / k
-        total = np.where(beyond, total + term, total)
-    return pd.Series(goals)
-
-
-def simulate_goals(rates: DataFrame, *, seed: int = 7, by: Sequence[str] = ("match_id",)) -> DataFrame:
-    """One simulated score per draw by inverting the Poisson distribution at a hashed uniform.
-
-    The uniform depends on the row's identity only, so a repeated task simulates the same score.
-    """
-
-    def drawn(rate: str, salt: int) -> Column:
-        u = S.hashed_uniform(seed + salt, *[F.col(c) for c in by], F.col("chain"), F.col("draw"))
-        return _inverse_poisson(u, F.col(rate))
-
-    return rates.select(*by, *SAMPLE, drawn("lambda_home", 0).alias("goals_home"), drawn("lambda_away", 1).alias("goals_away"))
-
-
-def simulated_outcomes(goals: DataFrame, by: Sequence[str] = ("match_id",)) -> DataFrame:
-    h, a = F.col("goals_home"), F.col("goals_away")
-    return goals.groupBy(*by).agg(
-        F.avg((h > a).cast("double")).alias("home_win"), F.avg((h == a).cast("double")).alias("draw"),
-        F.avg((h < a).cast("double")).alias("away_win"), F.count(F.lit(1)).alias("n_draws"),
-    )
-
-
 def prediction_records(
     fixtures: DataFrame, rates: DataFrame, *, max_goals: int | None = None, k: int = 10, keep: Sequence[str] = ("round",),
     scored: DataFrame | None = None, largest: int | None = None,
@@ -248,8 +225,7 @@ def prediction_records(
     `largest` bounds the draws per match, see `rate_summary`.
     """
     scored = rates if scored is None else scored
-    top = grid_size(scored) if max_goals is None else max_goals
-    grid = score_grid(scored, top)
+    grid = score_grid(scored, max_goals)
     summary = rate_summary(rates, largest=largest)
 
     def side(name: str) -> Column:

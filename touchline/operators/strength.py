@@ -10,6 +10,8 @@ These estimate the same quantities as a Bayesian fit of the model; they are not
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,9 +118,11 @@ def fit_step(stats: DataFrame, state: DataFrame, group: Sequence[str], prior: fl
 
 
 def fit_state(
-    stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, steps: int = 20, tolerance: float = 1e-4
+    stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, steps: int = 200, tolerance: float = 1e-4
 ) -> tuple[DataFrame, DataFrame]:
-    """Settled sums and fitted state. Sweeps until the largest change is below `tolerance`.
+    """Settled sums and fitted state. Sweeps until the largest change is below `tolerance`, with a warning if `steps` do not suffice.
+
+    A `tolerance` of 0 makes exactly `steps` sweeps.
 
     Each sweep is cut off through the reliable checkpoint folder: plans stay one sweep deep and a
     lost executor repeats at most one sweep.
@@ -130,13 +134,16 @@ def fit_state(
         state = settle(fit_step(stats, state, group, prior, small))
         if tolerance > 0:
             largest = state.agg(F.max("change")).first()[0]
-            if largest is not None and largest < tolerance:
+            if largest is None or largest < tolerance:
                 break
+    else:
+        if tolerance > 0:
+            warnings.warn(f"strengths still change by {largest:.2g} after {steps} sweeps", stacklevel=2)
     return stats, state
 
 
 def fit_strengths(
-    stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, steps: int = 20, tolerance: float = 1e-4
+    stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, steps: int = 200, tolerance: float = 1e-4
 ) -> DataFrame:
     """`attack`, `defence` (large = strong), `level` and `home`, all on the log scale, per (group, team)."""
     _, state = fit_state(stats, group, prior=prior, steps=steps, tolerance=tolerance)
@@ -151,7 +158,7 @@ def log_scale(state: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def home_advantage(
-    stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, pool: float = 20.0, steps: int = 20,
+    stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, pool: float = 20.0, steps: int = 200,
     tolerance: float = 1e-4,
 ) -> DataFrame:
     """Per-team home advantage (log scale), pooled towards the group's with `pool` goals of weight."""
@@ -179,39 +186,51 @@ def stats_until(
 ) -> DataFrame:
     """Sums for every cut-off T over rounds t <= T with weight decay^(T - t), times a row `weight` if given.
 
-    Rows are first summed per (team, opponent, home, interval between cut-offs); only those sums are
-    copied to the later cut-offs. `cutoffs` are rounds, so the list is bounded by the calendar.
-    With several `decays` their names become part of the group key.
+    Rows are first summed per (team, opponent, home, round). The sum at a round is the one before it,
+    faded, plus the round's own, so one running sum per pair of teams gives all cut-offs; a pair's sum is then
+    spelled out for the cut-offs up to its next round. The cost is that of the output: pairs times cut-offs.
+    `cutoffs` are rounds, so the list is bounded by the calendar. With several `decays` their names
+    become part of the group key. Decays so strong that the first round's weight at the last cut-off is below
+    e^-600 are refused, since the running sum is kept relative to a pair's first round.
     """
-    cuts = F.array(*[F.lit(int(c)) for c in sorted(set(cutoffs))])
+    cuts = sorted({int(c) for c in cutoffs})
     decays = decays or {"all": 1.0}
+    if cuts and any(d <= 0 or -math.log(d) * (cuts[-1] - min(cuts[0], 0)) > 600 for d in decays.values()):
+        raise ValueError("decay too strong for this many rounds")
+    if not cuts:
+        cuts = [-1]
     own = F.lit(1) if weight is None else weight
     pair = [*group, "team", "opp_team", "is_home"]
-    first = F.array_min(F.filter(cuts, lambda c: c >= F.col("_t")))
     rate = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(d)).alias("value")) for n, d in decays.items()]))
-    intervals = (
-        rows.groupBy(*pair, F.col(t).alias("_t"))
+    by_round = (
+        rows.where(F.col(t) <= cuts[-1])
+        .groupBy(*pair, F.col(t).alias("_t"))
         .agg(F.sum(own).alias("_n"), F.sum(own * F.col(goals)).alias("_g"))
-        .withColumn("_cut", first)
-        .where(F.col("_cut").isNotNull())
-        .withColumn("_decay", rate)
     )
-    fade = F.pow(F.col("_decay.value"), (F.col("_cut") - F.col("_t")).cast("double"))
-    intervals = intervals.groupBy(*pair, "_cut", "_decay").agg(
-        F.sum(fade * F.col("_n")).alias("_w"), F.sum(fade * F.col("_g")).alias("_wg")
+    whole = Window.partitionBy(*pair)
+    scan = whole.orderBy("_t")
+    since = (F.col("_t") - F.col("_start")).cast("double")
+    upto = Window.partitionBy(*pair, "_decay.name").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.pow(F.col("_decay.value"), -since)
+    summed = (
+        by_round.withColumns({"_start": F.min("_t").over(whole), "_until": F.coalesce(F.lead("_t").over(scan) - 1, F.lit(cuts[-1]))})
+        .withColumn("_decay", rate)
+        .withColumns({"_w": F.sum(grown * F.col("_n")).over(upto), "_wg": F.sum(grown * F.col("_g")).over(upto)})
     )
-    later = F.explode(F.filter(cuts, lambda c: c >= F.col("_cut")))
-    spread = intervals.withColumn("cutoff", later)
-    fade = F.pow(F.col("_decay.value"), (F.col("cutoff") - F.col("_cut")).cast("double"))
-    out = spread.groupBy(*pair, "cutoff", F.col("_decay.name").alias("decay")).agg(
-        F.sum(fade * F.col("_w")).alias("weight"), F.sum(fade * F.col("_wg")).alias("goals")
+    first = F.greatest(F.col("_t"), F.lit(cuts[0]))
+    spread = summed.where(first <= F.col("_until")).withColumn("cutoff", F.explode(F.sequence(first.cast("int"), F.col("_until").cast("int"))))
+    if cuts != list(range(cuts[0], cuts[-1] + 1)):
+        spread = spread.where(F.col("cutoff").isin(cuts))
+    fade = F.pow(F.col("_decay.value"), (F.col("cutoff") - F.col("_start")).cast("double"))
+    return spread.select(
+        *group, "cutoff", F.col("_decay.name").alias("decay"), "team", "opp_team", "is_home",
+        (fade * F.col("_w")).alias("weight"), (fade * F.col("_wg")).alias("goals"),
     )
-    return out.select(*group, "cutoff", "decay", "team", "opp_team", "is_home", "weight", "goals")
 
 
 def strengths_by_round(
     rows: DataFrame, cutoffs: Sequence[int], *, decay: float = 29.0 / 30.0, group: Sequence[str] = (), prior: float = 5.0,
-    steps: int = 20, tolerance: float = 1e-4,
+    steps: int = 200, tolerance: float = 1e-4,
 ) -> DataFrame:
     """Time-varying strengths: one fit per cut-off round, older rounds fading."""
     stats = stats_until(rows, cutoffs, decays={"all": decay}, group=group).drop("decay")
@@ -220,7 +239,7 @@ def strengths_by_round(
 
 def ability_form(
     rows: DataFrame, cutoffs: Sequence[int], *, slow: float = 49.0 / 50.0, fast: float = 8.0 / 9.0, group: Sequence[str] = (),
-    prior: float = 5.0, steps: int = 20, tolerance: float = 1e-4,
+    prior: float = 5.0, steps: int = 200, tolerance: float = 1e-4,
 ) -> DataFrame:
     """Slow-decay strength as ability and the fast fit's difference from it as form; both in one job."""
     stats = stats_until(rows, cutoffs, decays={"ability": slow, "fast": fast}, group=group)
@@ -251,7 +270,7 @@ def bootstrap_stats(rows: DataFrame, key: str, replicates: int, *, seed: int = 4
 
 def bootstrap_draws(
     rows: DataFrame, key: str, replicates: int, *, seed: int = 42, group: Sequence[str] = (), prior: float = 5.0,
-    pool: float = 20.0, steps: int = 20, tolerance: float = 1e-4, t: int = 0,
+    pool: float = 20.0, steps: int = 200, tolerance: float = 1e-4, t: int = 0,
 ) -> DataFrame:
     """Draws table from replicate fits. A match bootstrap shows sampling spread; it is not a posterior.
 

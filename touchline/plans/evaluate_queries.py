@@ -83,10 +83,10 @@ def lambda_moments(spark, sf):
     return rounded(out, *out.columns)
 
 
-@query("cv_windows", sql("""SELECT CAST((e - 25) // 13 + 1 AS INT) AS "window", 1 AS train_start, CAST(e AS INT) AS train_end, CAST(e + 1 AS INT) AS test_start, CAST(e + 5 AS INT) AS test_end
-FROM (SELECT unnest(range(25, (SELECT max(cum_round) FROM mr) - 5 + 1, 13)) AS e) x""", "m", "wk", "rnd", "off", "cal", "mr"))
+@query("cv_windows", sql("""SELECT CAST(e - 24 AS INT) AS "window", 1 AS train_start, CAST(e AS INT) AS train_end, CAST(e + 1 AS INT) AS test_start, CAST(e + 5 AS INT) AS test_end
+FROM (SELECT unnest(range(25, (SELECT max(cum_round) FROM mr) - 5 + 1, 1)) AS e) x""", "m", "wk", "rnd", "off", "cal", "mr"))
 def cv_windows(spark, sf):
-    return E.cv_windows(fx.rounded_matches(spark, sf), min_train=25, test_window=5, step=13)
+    return E.cv_windows(fx.rounded_matches(spark, sf), min_train=25, test_window=5, step=1)
 
 
 @query("cv_window_sizes", sql("""CTE w AS (SELECT CAST(e AS INT) AS e FROM (SELECT unnest(range(25, (SELECT max(cum_round) FROM mr) - 1 + 1, 1)) AS e) x),
@@ -98,23 +98,23 @@ def cv_window_sizes(spark, sf):
     return E.cv_window_sizes(rows, E.cv_windows(rows))
 
 
-CV = f"""wn AS (SELECT CAST(e AS INT) AS cutoff FROM (SELECT unnest(range(104, (SELECT max(cum_round) FROM mr) - 13 + 1, 26)) AS e) x),
+CV = f"""wn AS (SELECT CAST(e AS INT) AS cutoff FROM (SELECT unnest(range(25, (SELECT max(cum_round) FROM mr) - 1 + 1, 1)) AS e) x),
 ss AS MATERIALIZED (SELECT cutoff, team, opp_team, is_home, CAST(count(*) AS DOUBLE) AS weight, CAST(sum(goals) AS DOUBLE) AS goals FROM lr JOIN wn ON cum_round <= cutoff GROUP BY 1, 2, 3, 4),
 {fit_ctes(['cutoff'])},
 sh AS (SELECT cutoff, max(ln(mu)) AS lv, max(ln(home)) AS hm FROM st GROUP BY 1),
 nv AS (SELECT cutoff, CAST(sum(goals) AS DOUBLE) / count(*) AS naive, count(*) AS n_train FROM lr JOIN wn ON cum_round <= cutoff GROUP BY 1),
 p AS (SELECT wn.cutoff, goals, goals_against, naive, n_train, exp(lv + coalesce(ln(a.att), 0) + coalesce(ln(b.dfn), 0) + hm * is_home) AS lambda_home,
   exp(lv + coalesce(ln(b.att), 0) + coalesce(ln(a.dfn), 0) + hm * (1 - is_home)) AS lambda_away
-  FROM lr JOIN wn ON cum_round BETWEEN wn.cutoff + 1 AND wn.cutoff + 13 JOIN sh ON sh.cutoff = wn.cutoff JOIN nv ON nv.cutoff = wn.cutoff
+  FROM lr JOIN wn ON cum_round BETWEEN wn.cutoff + 1 AND wn.cutoff + 1 JOIN sh ON sh.cutoff = wn.cutoff JOIN nv ON nv.cutoff = wn.cutoff
   LEFT JOIN st a ON a.cutoff = wn.cutoff AND a.team = lr.team LEFT JOIN st b ON b.cutoff = wn.cutoff AND b.team = lr.opp_team),
-cv AS (SELECT CAST((cutoff - 104) // 26 + 1 AS INT) AS "window", cutoff AS train_end, max(n_train) AS n_train, 2 * count(*) AS n_test,
+cv AS (SELECT CAST(cutoff - 24 AS INT) AS "window", cutoff AS train_end, max(n_train) AS n_train, 2 * count(*) AS n_test,
   avg(abs(lambda_home - goals) + abs(lambda_away - goals_against)) / 2 AS mae, sum({LL}) AS log_likelihood,
   sum({logpmf_sql('goals', 'naive')} + {logpmf_sql('goals_against', 'naive')}) AS ll_naive FROM p GROUP BY cutoff)"""
 
 
 def scores(spark, sf):
     rows = fx.rounded_rows(spark, sf)
-    windows = E.cv_windows(rows, min_train=104, test_window=13, step=26)
+    windows = E.cv_windows(rows, min_train=25, test_window=1, step=1)
     return E.cv_scores(rows, windows, prior=PRIOR, steps=STEPS, tolerance=0)
 
 
@@ -135,7 +135,7 @@ def cv_summary(spark, sf):
     return rounded(rounded(out, *maes), *[c for c in out.columns if c.startswith(("ll", "gain"))], digits=4)
 
 
-BACK = f"""tg AS (SELECT CAST(unnest(range(27, (SELECT max(cum_round) FROM cal), 13)) AS INT) AS round),
+BACK = f"""tg AS (SELECT CAST(unnest(range(2, (SELECT max(cum_round) FROM cal), 1)) AS INT) AS round),
 pt AS (SELECT team, opp_team, is_home, cum_round AS t, count(*) AS n, sum(goals) AS g FROM lr GROUP BY 1, 2, 3, 4),
 ss AS MATERIALIZED (SELECT round - 1 AS cutoff, team, opp_team, is_home, sum(pow({num(29.0 / 30.0)}, round - 1 - t) * n) AS weight, sum(pow({num(29.0 / 30.0)}, round - 1 - t) * g) AS goals
   FROM pt JOIN tg ON t <= round - 1 GROUP BY 1, 2, 3, 4),
@@ -147,7 +147,7 @@ bt AS (SELECT cum_round AS round, match_no, mr.home AS home_team, away AS away_t
 
 
 def backtest(spark, sf):
-    rounds = spaced(spark, sf, 27, 13)
+    rounds = spaced(spark, sf, 2, 1)
     return E.season_backtest(fx.rounded_rows(spark, sf), rounds, prior=PRIOR, steps=STEPS, tolerance=0, keep=["match_no"])
 
 

@@ -70,7 +70,7 @@ def goal_rates(spark, sf):
     return rounded(rates(spark, sf), "lambda_home", "lambda_away", digits=8)
 
 
-@query("draw_subsample", sql("""CTE u AS (SELECT match_id, chain, draw, ((match_id % 2147483647 * 48271 + (CAST(chain AS BIGINT) * 1000003 + draw) * 69621 + 42) % 2147483647 * 16807 + 12345) % 2147483647 AS u FROM rates),
+@query("draw_subsample", sql("""CTE u AS (SELECT match_id, chain, draw, substr(md5('42|' || match_id || '|' || chain || '|' || draw), 1, 13) AS u FROM rates),
 r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY u, chain, draw) AS rn FROM u)
 SELECT match_id, chain, draw FROM r WHERE rn <= 40""", *RATES))
 def draw_subsample(spark, sf):
@@ -90,37 +90,36 @@ def grid_view(top: int) -> str:
 FROM rates, (SELECT CAST(unnest(range({top + 1})) AS INT) AS h) hs, (SELECT CAST(unnest(range({top + 1})) AS INT) AS a) az GROUP BY 1, 2, 3"""
 
 
-view("grid", grid_view(10))
-view("wide", grid_view(24))
+view("grid", grid_view(P.CLIPPED_GOALS))
 
 
-@query("score_distribution", sql("SELECT match_id, h AS home_goals, a AS away_goals, round(p, 7) AS probability FROM grid", *RATES, "grid"))
+@query("score_distribution", sql("SELECT match_id, h AS home_goals, a AS away_goals, round(p, 7) AS probability, round(greatest(1 - sum(p) OVER (PARTITION BY match_id), 0), 6) AS tail FROM grid", *RATES, "grid"))
 def score_distribution(spark, sf):
-    return rounded(P.score_grid(rates(spark, sf), 10), "probability", digits=7)
+    return rounded(rounded(P.score_grid(rates(spark, sf)), "probability", digits=7), "tail")
 
 
 @query("outcome_probabilities", sql("""SELECT match_id, round(sum(CASE WHEN h > a THEN p ELSE 0 END), 6) AS home_win, round(sum(CASE WHEN h = a THEN p ELSE 0 END), 6) AS draw,
-  round(sum(CASE WHEN h < a THEN p ELSE 0 END), 6) AS away_win FROM wide GROUP BY 1""", *RATES, "wide"))
+  round(sum(CASE WHEN h < a THEN p ELSE 0 END), 6) AS away_win FROM grid GROUP BY 1""", *RATES, "grid"))
 def outcome_probabilities(spark, sf):
     out = P.outcome_probabilities(rates(spark, sf))
-    return rounded(out.drop("beyond"), "home_win", "draw", "away_win")
+    return rounded(out, "home_win", "draw", "away_win")
 
 
 @query("top_scores", sql("""CTE r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 6) DESC, h, a) AS rank FROM grid)
 SELECT match_id, CAST(rank AS INT) AS rank, h || '-' || a AS score, round(p, 6) AS probability FROM r WHERE rank <= 10""", *RATES, "grid"))
 def top_scores(spark, sf):
-    return rounded(P.top_scores(P.score_grid(rates(spark, sf), 10)), "probability")
+    return rounded(P.top_scores(P.score_grid(rates(spark, sf))), "probability")
 
 
 @query("prediction_records", sql("""CTE e AS (SELECT match_id, round(avg(lambda_home), 2) AS mean_home, round(quantile_cont(lambda_home, 0.5), 2) AS median_home, round(stddev_pop(lambda_home), 2) AS std_home,
   round(quantile_cont(lambda_away, 0.05), 2) AS p5_away, round(quantile_cont(lambda_away, 0.95), 2) AS p95_away FROM rates GROUP BY 1),
-o AS (SELECT match_id, round(sum(CASE WHEN h > a THEN p ELSE 0 END), 4) AS home_win, round(sum(CASE WHEN h = a THEN p ELSE 0 END), 4) AS draw FROM wide GROUP BY 1),
+o AS (SELECT match_id, round(sum(CASE WHEN h > a THEN p ELSE 0 END), 4) AS home_win, round(sum(CASE WHEN h = a THEN p ELSE 0 END), 4) AS draw FROM grid GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 6) DESC, h, a) AS rank FROM grid)
 SELECT match_id, round, home_id AS home_team, away_id AS away_team, mean_home, median_home, std_home, p5_away, p95_away, home_win, draw, h || '-' || a AS top_score, round(p, 4) AS top_probability
-FROM fx JOIN e USING (match_id) JOIN o USING (match_id) JOIN r USING (match_id) WHERE rank = 1""", *RATES, "grid", "wide"))
+FROM fx JOIN e USING (match_id) JOIN o USING (match_id) JOIN r USING (match_id) WHERE rank = 1""", *RATES, "grid"))
 def prediction_records(spark, sf):
     largest = P.draws_per_match(fx.strength_draws(spark, sf))
-    out = P.prediction_records(fx.pairings(spark, sf), rates(spark, sf), max_goals=10, largest=largest)
+    out = P.prediction_records(fx.pairings(spark, sf), rates(spark, sf), largest=largest)
     return out.select(
         "match_id", "round", "home_team", "away_team", F.col("expected_goals_home.mean").alias("mean_home"),
         F.col("expected_goals_home.median").alias("median_home"), F.col("expected_goals_home.std").alias("std_home"),
@@ -130,11 +129,6 @@ def prediction_records(spark, sf):
     )
 
 
-@query("mc_outcomes")
-def mc_outcomes(spark, sf):
-    return P.simulated_outcomes(P.simulate_goals(rates(spark, sf)))
-
-
 # Observations: both perspectives of every meeting, alike ones counted once.
 view("ob", """SELECT least(CAST(season AS INT) - 1995, 4) AS t, team AS team_id, opp_team AS opp_id, is_home, goals, goals_against, CAST(count(*) AS BIGINT) AS n_obs,
   CAST(sum(xg_c) AS BIGINT) AS xg, CAST(sum(xga_c) AS BIGINT) AS xga FROM l GROUP BY 1, 2, 3, 4, 5, 6""")

@@ -180,9 +180,10 @@ def rounds_to_process(spark, sf):
     return store.rounds_to_process(completed, start_round=5, end_round=300, skip_rounds=[10, 20], step=2, finished=finished)
 
 
-@query("run_registry", sql("""SELECT cum_round AS trained_to_round, 'run-' || lpad(CAST(cum_round AS VARCHAR), 4, '0') AS run_id, CAST(count(*) * 2 AS BIGINT) AS n_obs,
-  CAST(len(list_distinct(list_concat(list(home), list(away)))) AS BIGINT) AS n_teams, strftime(max(datetime), '%Y-%m-%d') AS created_at
-FROM mr GROUP BY 1""", "m", "wk", "rnd", "off", "cal", "mr"))
+@query("run_registry", sql("""CTE t AS (SELECT home AS team, cum_round FROM mr UNION ALL SELECT away, cum_round FROM mr), c AS (SELECT DISTINCT cum_round AS r FROM mr)
+SELECT r AS trained_to_round, 'run-' || lpad(CAST(r AS VARCHAR), 4, '0') AS run_id, CAST((SELECT count(*) FROM t WHERE cum_round <= r) AS BIGINT) AS n_obs,
+  CAST((SELECT count(DISTINCT team) FROM t WHERE cum_round <= r) AS BIGINT) AS n_teams, (SELECT strftime(max(datetime), '%Y-%m-%d') FROM mr WHERE cum_round <= r) AS created_at
+FROM c""", "m", "wk", "rnd", "off", "cal", "mr"))
 def run_registry(spark, sf):
     rows = fx.rounded_rows(spark, sf)
     return store.run_registry(rows, F.concat(F.lit("run-"), F.lpad(F.col("round").cast("string"), 4, "0")))

@@ -91,24 +91,24 @@ def strength_fit(spark, sf):
     return rounded(fit, "attack", "defence", "level", "home")
 
 
-@query("strength_by_round", sql(f"CTE {cut_ctes(26, 13, {'all': DECAY}, False)}, {fit_ctes(['cutoff'])} SELECT cutoff, team, {OUT} FROM st", *LR))
+@query("strength_by_round", sql(f"CTE {cut_ctes(1, 1, {'all': DECAY}, False)}, {fit_ctes(['cutoff'])} SELECT cutoff, team, {OUT} FROM st", *LR))
 def strength_by_round(spark, sf):
     rows = fx.rounded_rows(spark, sf)
-    fit = strength.strengths_by_round(rows, spaced(spark, sf, 26, 13), decay=DECAY, prior=PRIOR, steps=STEPS, tolerance=0)
+    fit = strength.strengths_by_round(rows, spaced(spark, sf, 1, 1), decay=DECAY, prior=PRIOR, steps=STEPS, tolerance=0)
     return rounded(fit, "attack", "defence", "level", "home")
 
 
-@query("ability_form", sql(f"""CTE {cut_ctes(26, 52, {'ability': ABILITY, 'fast': FORM}, True)}, {fit_ctes(['cutoff', 'decay'])}
+@query("ability_form", sql(f"""CTE {cut_ctes(1, 1, {'ability': ABILITY, 'fast': FORM}, True)}, {fit_ctes(['cutoff', 'decay'])}
 SELECT a.cutoff, a.team, round(ln(a.att), 5) AS attack_ability, round(ln(f.att) - ln(a.att), 5) AS attack_form, round(-ln(a.dfn), 5) AS defence_ability,
   round(-ln(f.dfn) + ln(a.dfn), 5) AS defence_form FROM st a JOIN st f ON a.cutoff = f.cutoff AND a.team = f.team WHERE a.decay = 'ability' AND f.decay = 'fast'""", *LR))
 def ability_form(spark, sf):
     rows = fx.rounded_rows(spark, sf)
-    out = strength.ability_form(rows, spaced(spark, sf, 26, 52), slow=ABILITY, fast=FORM, prior=PRIOR, steps=STEPS, tolerance=0)
+    out = strength.ability_form(rows, spaced(spark, sf, 1, 1), slow=ABILITY, fast=FORM, prior=PRIOR, steps=STEPS, tolerance=0)
     return rounded(out, "attack_ability", "attack_form", "defence_ability", "defence_form", digits=5)
 
 
 POISSON_ONE = " + ".join(f"CASE WHEN u >= {num(s)} THEN 1 ELSE 0 END" for s in S.poisson_steps(1.0))
-BOOT = f"""bw AS (SELECT match_no, r AS replicate, CAST(((match_no % 2147483647 * 48271 + r * 69621 + 42) % 2147483647 * 16807 + 12345) % 2147483647 AS DOUBLE) / CAST(2147483647.0 AS DOUBLE) AS u
+BOOT = f"""bw AS (SELECT match_no, r AS replicate, CAST(CAST('0x' || substr(md5('42|' || match_no || '|' || r), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496.0 AS DOUBLE) AS u
   FROM m, (SELECT unnest(range(1, 9)) AS r) rs),
 ss AS MATERIALIZED (SELECT replicate, team, opp_team, is_home, CAST(sum({POISSON_ONE}) AS DOUBLE) AS weight, CAST(sum(({POISSON_ONE}) * goals) AS DOUBLE) AS goals
   FROM l JOIN bw ON l.match_no = bw.match_no GROUP BY 1, 2, 3, 4 HAVING sum({POISSON_ONE}) > 0)"""

@@ -115,17 +115,20 @@ def read_round_folders(spark: SparkSession, root: str, file: str, schema: str |
 
 
 def run_registry(rows: DataFrame, run_id: Column, created_at: Column | None = None) -> DataFrame:
-    """One row per trained cut-off: observations, distinct teams and the last kickoff."""
-    stats = rows.groupBy(F.col("round").alias("round")).agg(
-        F.count(F.lit(1)).alias("n_obs"), F.max("datetime").alias("_last")
-    )
-    teams = rows.select("round", "team").distinct().groupBy("round").agg(F.count(F.lit(1)).alias("n_teams"))
-    return stats.join(teams, "round").select(
-        F.col("round").alias("trained_to_round"),
-        run_id.alias("run_id"),
-        "n_obs",
-        "n_teams",
-        (created_at if created_at is not None else F.date_format("_last", "yyyy-MM-dd")).alias("created_at"),
+    """One row per trained cut-off: observations and distinct teams of all rounds up to it, and their last kickoff.
+
+    Rows are reduced to one per round, and teams to the round they first appear in, before anything is accumulated.
+    """
+    per_round = rows.groupBy("round").agg(F.count(F.lit(1)).alias("_obs"), F.max("datetime").alias("_kickoff"))
+    first_seen = rows.groupBy("team").agg(F.min("round").alias("round")).groupBy("round").agg(F.count(F.lit(1)).alias("_new"))
+    upto = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0)  # a row per round
+    return (
+        per_round.join(first_seen, "round", "left")
+        .withColumns({"n_obs": F.sum("_obs").over(upto), "n_teams": F.coalesce(F.sum("_new").over(upto), F.lit(0)), "_last": F.max("_kickoff").over(upto)})
+        .select(
+            F.col("round").alias("trained_to_round"), run_id.alias("run_id"), "n_obs", "n_teams",
+            (created_at if created_at is not None else F.date_format("_last", "yyyy-MM-dd")).alias("created_at"),
+        )
     )
 
 
