@@ -169,6 +169,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
     whole = read_pieces(spark, path, split=False)
     joined = read_pieces(spark, path, split=True).groupBy("shard", "ordinal").applyInPandas(join, PIECE_SCHEMA)
-    return whole.unionByName(joined).join(before, "shard").select(
+    # a row per shard: as many as the write had partitions
+    return whole.unionByName(joined).join(F.broadcast(before), "shard").select(
         "doc_id", (F.col("_before") + F.col("doc_first")).alias("start"), "n_tokens", "ids"
     )

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Most pieces in each of a worker's two generations, and the longest; others are encoded where they occur.
-MOST_PIECES, LONGEST_PIECE = 500_000, 64
+MOST_PIECES, LONGEST_PIECE = 450_000, 64
 #: A character that stands between pieces when many are encoded in one call.
 MARK = "\x01"
 
