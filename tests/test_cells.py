@@ -82,7 +82,34 @@ def test_running_may_overwrite_its_input(series):
     assert got.columns == ["entity", "ts", "id", "x"]
 
 
-@pytest.mark.parametrize("width", [0.5, 3.0, 1000.0])
+def test_rows_without_keys_stay_and_do_not_count(spark, series):
+    odd = [(None, pd.Timestamp("2024-01-03").to_pydatetime(), 9001, 5), ("hot", None, 9002, 7), ("hot", None, 9003, None), (None, None, 9004, 1)]
+    mixed = series.union(spark.createDataFrame(odd, series.schema))
+
+    def values(rows, track):
+        steps = running(
+            rows, track, position="pos", sum_before={"s": F.col("x")}, last_before={"lb": F.col("x")},
+            last_until={"lu": F.col("x")}, next_from={"nf": F.col("x")}, run_before={"run": F.col("x") > 0},
+        )
+        back = looking_back(steps, ["entity"], "pos", 2, lambda w, _: {"lag": F.lag("x", 2).over(w)}, 8)
+        return {r["id"]: tuple(r)[4:] for r in back.collect()}
+
+    plain, split = values(mixed, Track(["entity"], "ts", ("id",), plain=True)), values(mixed, TRACK)
+    assert plain == split and len(split) == mixed.count()
+    assert all(v is None for r in odd for v in split[r[2]])
+    assert {k: v for k, v in split.items() if k < 9000} == values(series, TRACK)
+
+
+@pytest.mark.parametrize("bins", [2, 7, 64])
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e9])
+def test_quantiles_are_exact_at_any_scale(series, bins, scale):
+    scaled = series.withColumn("x", F.col("x") * scale)
+    got = {r["entity"]: r for r in quantiles(scaled, ["entity"], "x", [0.05, 0.5, 0.95], ["a", "b", "c"], bins).collect()}
+    for entity, part in scaled.where("x is not null").toPandas().groupby("entity"):
+        assert np.allclose([got[entity][k] for k in "abc"], np.percentile(part.x.astype(float), [5, 50, 95]), atol=0)
+
+
+@pytest.mark.parametrize("width", [2, 5, 40])
 def test_quantiles_are_exact(series, width):
     got = {r["entity"]: r for r in quantiles(series, ["entity"], "x", [0.05, 0.5, 0.95], ["a", "b", "c"], width).collect()}
     pdf = series.where("x is not null").toPandas()

@@ -112,9 +112,20 @@ def test_backtest_job(spark, feed, tmp_path):
     rec = store.read_round(spark, root, "predictions", 4).first()
     assert len(rec["most_likely_scores"]) == 10 and rec["expected_goals_home"]["mean"] > 0
     path = store.read_round(spark, root, "team_strengths", 4).where("team_id = 'A'").first()
-    assert [p["t"] for p in path["attack"]] == [1, 3] and path["home_adv"] is not None
+    assert [p["t"] for p in path["attack"]] == [1, 2, 3] and path["home_adv"] is not None
     assert store.read_round(spark, root, "actuals", 4).count() == 2
     assert pipelines.backtest_season(rows, as_of, root, end_round=4, skip_existing=True, config=CONFIG) == [3]
+    again = store.read_round(spark, root, "team_strengths", 3).where("team_id = 'A'").first()
+    assert [p["mean"] for p in again["attack"]] == [p["mean"] for p in path["attack"]][:2]
+
+
+def test_leagues_have_calendars_of_their_own(spark, feed):
+    raw = matches.read_matches(spark, feed, ["EPL"])
+    other = raw.withColumns({"league": F.lit("Other"), "datetime": F.date_format(F.col("datetime").cast("timestamp") + F.expr("INTERVAL 14 DAYS"), "yyyy-MM-dd HH:mm:ss")})
+    both = pipelines.prepare(raw.unionByName(other), keep=("season", "league"), group=("league",))
+    alone = pipelines.prepare(raw, keep=("season", "league"))
+    rounds_of = lambda df: sorted((r["cum_round"], r["count"]) for r in df.groupBy("cum_round").count().collect())
+    assert rounds_of(both.where("league = 'EPL'")) == rounds_of(both.where("league = 'Other'")) == rounds_of(alone)
 
 
 def test_train_then_predict(spark, feed, tmp_path):

@@ -173,20 +173,54 @@ def test_prediction_record_shape(small):
     assert abs(odds["home_win"] + odds["draw"] + odds["away_win"] - 1) < 2e-4
 
 
-@pytest.mark.parametrize("largest", [None, 100])
-def test_rate_summary_is_exact_either_way(small, largest):
+def test_rate_summary_is_exact(small):
     draws, fixtures, _ = small
     rates = P.goal_rates(fixtures, draws)
-    assert P.draws_per_match(draws) == 100
-    got = P.rate_summary(rates, largest=largest).where("match_id = 1 and side = 'away'").first()
+    got = P.rate_summary(rates).where("match_id = 1 and side = 'away'").first()
     x = rates.where("match_id = 1").toPandas().lambda_away
     assert np.allclose([got[c] for c in ("mean", "std", "p5", "median", "p95")], [x.mean(), x.std(ddof=0), *np.percentile(x, [5, 50, 95])])
+    assert got["n_draws"] == 100
 
 
-@pytest.mark.parametrize("held", [True, False])
-def test_team_strengths_nested(small, held, monkeypatch):
-    if not held:
-        monkeypatch.setattr(D, "GATHER_ROWS", 10)
+def test_every_fixture_meets_every_sample(small, spark):
+    draws, fixtures, d = small
+    more = fixtures.union(spark.createDataFrame([(3, 2, 0, 99), (4, 1, 98, 99)], fixtures.schema))
+    rates = P.goal_rates(more, draws).toPandas()
+    assert rates.groupby("match_id").size().to_dict() == {1: 100, 2: 100, 3: 100, 4: 100}
+    own = {(c, n, t, k): (a, b) for c, n, t, k, a, b, _ in d}
+    row = rates[rates.match_id == 3].iloc[0]
+    unseen = np.mean([own[row.chain, row.draw, 1, k][1] for k in range(4)])
+    assert row.lambda_home == pytest.approx(math.exp(own[row.chain, row.draw, 1, 0][0] - unseen + 0.25))
+
+
+def test_fading_sums_equal_direct_ones(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(1, 40)), f"t{rng.integers(3)}", f"u{rng.integers(2)}", int(rng.integers(2)), int(rng.integers(5))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "cum_round int, team string, opp_team string, is_home int, goals int")
+    for cuts in (range(1, 40), [3, 17, 39, 45]):
+        got = {(r["cutoff"], r["decay"], r["team"], r["opp_team"], r["is_home"]): (r["weight"], r["goals"])
+               for r in strength.stats_until(df, cuts, decays={"slow": 0.97, "fast": 0.6}).collect()}
+        want = {}
+        for t, team, opp, home, goals in rows:
+            for c in cuts:
+                for name, rho in (("slow", 0.97), ("fast", 0.6)):
+                    if t <= c:
+                        w, g = want.get((c, name, team, opp, home), (0.0, 0.0))
+                        want[c, name, team, opp, home] = (w + rho ** (c - t), g + rho ** (c - t) * goals)
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+    with pytest.raises(ValueError):
+        strength.stats_until(df, [5000], decays={"fast": 0.6})
+
+
+def test_unseen_teams_are_scored(spark):
+    rows = spark.createDataFrame([("a", "b", 1, 2, 1), ("new", "a", 0, 1, 1)], "team string, opp_team string, is_home int, goals int, goals_against int")
+    point = spark.createDataFrame([("a", 0.4, 0.2, 0.3), ("b", 0.0, 0.0, 0.1)], "team string, attack double, defence double, home_adv double")
+    got = {r["team"]: r for r in E.strength_predictions(rows, point).collect()}
+    assert got["new"]["lambda_home"] == pytest.approx(math.exp(0.2 - 0.2)) and got["a"]["lambda_home"] == pytest.approx(math.exp(0.7))
+
+
+def test_team_strengths_nested(small):
     draws, _, d = small
     one = {r["team_id"]: r for r in D.nest_strengths(D.team_strengths(draws)).collect()}[2]
     assert [p["t"] for p in one["attack"]] == [0, 1, 2] and one["home_adv"]["mean"] == 0.25

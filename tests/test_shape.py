@@ -176,3 +176,21 @@ def test_log_factorial_beyond_twenty_and_rate_limits(spark):
     assert all(math.isclose(g, k * math.log(r) - r - math.lgamma(k + 1), rel_tol=1e-12) for g, (k, r) in list(zip(got, [(0, 0), (3, 0), (25, 3.5), (20, 1.0), (21, 1.0)]))[2:])
     x = spark.createDataFrame([(0.001,), (50.0,), (None,), (3.0,)], "x double")
     assert [r[0] for r in x.select(S.hard_clip(F.col("x"), 0.01, 10)).collect()] == [0.01, 10.0, None, 3.0]
+
+
+def test_expanding_means_count_each_value(spark):
+    from touchline.operators import obs
+
+    rows = spark.createDataFrame([("a", 0, 1.0, 2.0), ("a", 1, None, 4.0), ("a", 2, 1.0, 1.0), ("a", 3, 9.0, 9.0)], "team string, cum_round int, xG double, xGA double")
+    last = {r["t"]: r for r in obs.expanding_means(rows).collect()}[3]
+    assert last["xg_avg"] == 1.0 and last["xga_avg"] == 7 / 3
+
+
+def test_registry_counts_all_rounds_up_to_the_run(spark):
+    from datetime import datetime
+
+    from touchline.sources import store
+
+    rows = spark.createDataFrame([(1, "a", datetime(2024, 1, 1)), (1, "b", datetime(2024, 1, 1)), (3, "a", datetime(2024, 1, 9)), (3, "c", datetime(2024, 1, 8))], "round int, team string, datetime timestamp")
+    got = {r["trained_to_round"]: (r["n_obs"], r["n_teams"], r["created_at"]) for r in store.run_registry(rows, F.lit("x")).collect()}
+    assert got == {1: (2, 2, "2024-01-01"), 3: (4, 3, "2024-01-09")}

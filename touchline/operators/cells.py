@@ -30,8 +30,6 @@ BLOCK_ROWS = 1024
 MAX_PICKS = 4
 # An entity of up to this many rows may be windowed in one task.
 PLAIN_ROWS = 2_000_000
-# A group of up to this many values may be held by one aggregation buffer.
-GATHER_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -60,7 +58,7 @@ class Track:
 
     def placed(self) -> Column:
         """Whether a row has its entity and its time. Rows without either belong to no history."""
-        found = F.col(self.ts).isNotNull()
+        found = F.col(self.ts).isNotNull() if self.cell is None else F.col(self.ts).isNotNull() & self.cell.isNotNull()
         for c in self.entity:
             found = found & F.col(c).isNotNull()
         return found
@@ -96,18 +94,17 @@ def _plain_running(df: DataFrame, track: Track, position, sums, before, until, f
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     onwards = w.rowsBetween(0, Window.unboundedFollowing)
     rank = position or "_rank"
-    counted = F.sum(F.when(ok, 1).otherwise(0)).over(upto)
+    # sums and picks over nothing but such rows are NULL, which is what they get themselves
     sums, before, until, following = ({n: F.when(ok, c) for n, c in group.items()} for group in (sums, before, until, following))
     out = {
-        **({rank: F.when(ok, counted).cast("long")} if position or runs else {}),
+        **({rank: F.sum(F.when(ok, F.lit(1))).over(upto)} if position or runs else {}),
         **{n: F.sum(c).over(earlier) for n, c in sums.items()},
         **{n: F.last(c, ignorenulls=True).over(earlier) for n, c in before.items()},
         **{n: F.last(c, ignorenulls=True).over(upto) for n, c in until.items()},
-        **{n: F.first(c, ignorenulls=True).over(onwards) for n, c in following.items()},
+        **{n: F.when(ok, F.first(c, ignorenulls=True).over(onwards)) for n, c in following.items()},
     }
     rows = df.withColumns({f"_r{i}": ~F.coalesce(c, F.lit(False)) for i, c in enumerate(runs.values())}) if runs else df
-    masked = {n: F.when(ok, c) for n, c in out.items()}
-    rows = rows.withColumns(masked)
+    rows = rows.withColumns(out)
     if runs:
         failed_at = [F.coalesce(F.max(F.when(F.col(f"_r{i}"), F.col(rank))).over(earlier), F.lit(0)) for i in range(len(runs))]
         rows = rows.withColumns({n: F.col(rank) - 1 - at for n, at in zip(runs, failed_at)})
@@ -162,7 +159,7 @@ def running(
     rows = df.withColumns({CELL: track.cell_column(), "_ok": track.placed(), **inputs})
     if runs:
         rows = rows.withColumn("_rn", F.row_number().over(inside))
-    failed = [~F.coalesce(F.col(f"_r{i}"), F.lit(False)) for i in range(len(runs))]
+    failed = [F.col("_ok") & ~F.coalesce(F.col(f"_r{i}"), F.lit(False)) for i in range(len(runs))]
 
     # One summary row per (entity, cell): what it counts, sums up, and holds last or first.
     picked = [*[("b", i, True) for i in range(len(before))], *[("u", i, True) for i in range(len(until))],
@@ -227,7 +224,7 @@ def running(
     rows = rows.withColumns(local) if local else rows
 
     # Plain equality keeps the rows' (entity, cell) partitioning; null-safe equality would reshuffle.
-    # Rows it misses, without an entity or a time, have no history and get NULL below.
+    # Rows it misses, without an entity or a time, have masked inputs and get NULL below.
     match = [rows[k] == carry[f"_k{j}"] for j, k in enumerate(keys)]
     joined = rows.join(carry, match, "left")
 
@@ -246,7 +243,7 @@ def running(
         failed_at = F.coalesce(F.col("_rows") + F.col(f"_lr{i}"), F.col(f"_pr{i}"), F.lit(0))
         outputs[name] = F.col("_rows") + F.col("_rn") - 1 - failed_at
     kept = [c for c in df.columns if c not in outputs]
-    return joined.select(*[rows[c] for c in kept], *[F.when(rows["_ok"], c).alias(n) for n, c in outputs.items()])
+    return joined.select(*[rows[c] for c in kept], *[c.alias(n) for n, c in outputs.items()])
 
 
 def looking_back(
@@ -264,8 +261,8 @@ def looking_back(
     """
     reach = abs(lookback)
     size = max(block_rows, reach)
-    # rows without a position are in no history: many small blocks of their own, and NULL in every added column
-    apart = -1 - F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(4096))
+    # rows without a position are in no history: a block each, where nothing is earlier
+    apart = -1 - F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]).bitwiseAND(F.lit((1 << 62) - 1))
     block = F.coalesce(F.floor((F.col(position) - 1) / size), apart)
     within = (F.col(position) - 1) % size
     if lookback >= 0:
@@ -277,9 +274,8 @@ def looking_back(
     )
     window = Window.partitionBy(*entity, "_block").orderBy(position)
     offset = F.col(position) - 1 - F.col("_block") * size
-    placed = F.col(position).isNotNull()
     return (
-        rows.withColumns({n: F.when(placed, c) for n, c in columns(window, offset).items()})
+        rows.withColumns(dict(columns(window, offset)))
         .where(F.col("_block") == F.col("_own"))
         .drop("_block", "_own")
     )
@@ -291,17 +287,20 @@ def quantiles(
     value: str,
     probs: Sequence[float],
     names: Sequence[str],
-    bin_width: float = 0.01,
+    bins: int = 64,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) per group without gathering a group in one place.
 
-    A histogram locates the bin that holds each wanted order statistic; only those bins are read
-    again and ranked. Equal values are counted, not repeated, so heavy ties stay small.
+    A sketch per group, combined map-side, cuts it into about `bins` bins of equal size, whatever the range of
+    values. Counts by bin locate the one that holds each wanted order statistic; only those bins are
+    read again and ranked. Equal values are counted, not repeated, so heavy ties stay small.
     """
     group = list(group)
-    rows = df.where(F.col(value).isNotNull()).select(
-        *group, F.col(value).cast("double").alias("_x"), F.floor(F.col(value) / bin_width).alias("_bin")
-    )
+    present = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_x"))
+    cuts = F.percentile_approx("_x", [k / bins for k in range(1, bins)], 20 * bins)
+    edges = present.groupBy(*group).agg(cuts.alias("_edges"))
+    rows = present.join(edges, group) if group else present.crossJoin(F.broadcast(edges))  # one row
+    rows = rows.select(*group, "_x", F.size(F.filter("_edges", lambda e: e < F.col("_x"))).alias("_bin"))
     scan = Window.partitionBy(*group).orderBy("_bin")
     bins = (
         rows.groupBy(*group, "_bin")

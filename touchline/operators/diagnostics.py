@@ -64,7 +64,7 @@ def split_rhat(draws: DataFrame, rank_normalised: bool = False, bin_width: float
         parts = split.groupBy(*CHAIN, "half").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var"))
         return _rhat(parts, "r_hat")
     bulk = _rhat(_normalised(split, bin_width), "_bulk")
-    middle = quantiles(draws, ["param"], "x", [0.5], ["_median"], bin_width)
+    middle = quantiles(draws, ["param"], "x", [0.5], ["_median"])
     folded = split.join(middle, "param").withColumn("x", F.abs(F.col("x") - F.col("_median"))).drop("_median")
     tail = _rhat(_normalised(folded, bin_width), "_tail")
     return bulk.join(tail, "param").select("param", F.greatest("_bulk", "_tail").alias("r_hat"))

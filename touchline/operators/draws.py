@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
-from touchline.operators.cells import BLOCK_ROWS, GATHER_ROWS, largest_group, looking_back, quantiles
+from touchline.operators.cells import BLOCK_ROWS, looking_back, quantiles
 
 SAMPLE = ("chain", "draw")
 
@@ -26,33 +26,25 @@ def posterior_mean(draws: DataFrame, keys: Sequence[str] = ("t", "team_id"), val
     return draws.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def team_strengths(draws: DataFrame, bin_width: float = 0.005) -> DataFrame:
+def team_strengths(draws: DataFrame) -> DataFrame:
     """Mean, p5 and p95 per (param, team, t); home advantage has no time and is given t = -1."""
     entries = F.array(
         F.struct(F.lit("attack").alias("param"), F.col("t"), F.col("attack").alias("value")),
         F.struct(F.lit("defence").alias("param"), F.col("t"), F.col("defence").alias("value")),
     )
     timed = draws.select("team_id", F.inline(entries))
-    largest = largest_group(draws, ["team_id"])
     if "home_adv" in draws.columns:
         # One home advantage per sample and team, repeated on each of its time steps.
         fixed = draws.groupBy(*SAMPLE, "team_id").agg(F.max("home_adv").alias("value"))
         timed = timed.unionByName(fixed.select("team_id", F.lit("home_adv").alias("param"), F.lit(-1).alias("t"), "value"))
-    return summarise(timed, ["param", "team_id", "t"], bin_width, largest)
+    return summarise(timed, ["param", "team_id", "t"])
 
 
-def summarise(long: DataFrame, group: Sequence[str], bin_width: float = 0.005, largest: int | None = None) -> DataFrame:
-    """Mean and exact p5 and p95 of `value` per group.
-
-    One pass if `largest`, a known bound on rows per group, fits an aggregation buffer; otherwise
-    quantiles are located by histogram, so no group is gathered in one task.
-    """
+def summarise(long: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Mean and exact p5 and p95 of `value` per group, without gathering a group in one task."""
     group = list(group)
-    if largest is not None and largest <= GATHER_ROWS:
-        held = long.groupBy(*group).agg(F.avg("value").alias("mean"), F.percentile("value", [0.05, 0.95]).alias("_q"))
-        return held.select(*group, "mean", F.col("_q")[0].alias("p5"), F.col("_q")[1].alias("p95"))
     means = long.groupBy(*group).agg(F.avg("value").alias("mean"))
-    return means.join(quantiles(long, group, "value", [0.05, 0.95], ["p5", "p95"], bin_width), group)
+    return means.join(quantiles(long, group, "value", [0.05, 0.95], ["p5", "p95"]), group)
 
 
 def nest_strengths(summary: DataFrame, by: Sequence[str] = ("team_id",), digits: int = 4) -> DataFrame:

@@ -52,20 +52,24 @@ def team_average_predictions(rows: DataFrame, train: Column, test: Column) -> Da
 def strength_predictions(rows: DataFrame, strengths: DataFrame, *, xg_weight: float | None = None, xg: tuple[str, str] = ("xG", "xGA")) -> DataFrame:
     """Rates from point strengths (team, attack, defence, home_adv), log rates clipped hard.
 
+    Teams without strengths get the mean over teams, so every row is predicted and scored.
     `xg_weight` adds the match's own expected goals, which makes it a description, not a forecast.
     """
     point = small_side(strengths.select("team", "attack", "defence", "home_adv"))
+    mean = point.agg(*[F.avg(c).alias(f"_m{c}") for c in ("attack", "defence", "home_adv")])  # one row
     own = point.withColumnsRenamed({"attack": "_ta", "defence": "_td", "home_adv": "_th"})
     opp = point.select(F.col("team").alias("opp_team"), F.col("attack").alias("_oa"), F.col("defence").alias("_od"))
-    home = F.col("_ta") - F.col("_od") + F.when(F.col("is_home") == 1, F.col("_th")).otherwise(0.0)
-    away = F.col("_oa") - F.col("_td")
+    ta, td, th = F.coalesce("_ta", "_mattack"), F.coalesce("_td", "_mdefence"), F.coalesce("_th", "_mhome_adv")
+    oa, od = F.coalesce("_oa", "_mattack"), F.coalesce("_od", "_mdefence")
+    home = ta - od + F.when(F.col("is_home") == 1, th).otherwise(0.0)
+    away = oa - td
     if xg_weight is not None:
         home = home + F.lit(float(xg_weight)) * S.log_xg(F.col(xg[0]))
         away = away + F.lit(float(xg_weight)) * S.log_xg(F.col(xg[1]))
-    joined = rows.join(own, "team").join(opp, "opp_team")
+    joined = rows.join(own, "team", "left").join(opp, "opp_team", "left").crossJoin(F.broadcast(mean))
     return joined.withColumns(
         {"lambda_home": F.exp(S.hard_clip(home, *S.LOG_RATE_BOUNDS)), "lambda_away": F.exp(S.hard_clip(away, *S.LOG_RATE_BOUNDS))}
-    ).drop("_ta", "_td", "_th", "_oa", "_od")
+    ).drop("_ta", "_td", "_th", "_oa", "_od", "_mattack", "_mdefence", "_mhome_adv")
 
 
 def mae(predicted: DataFrame, by: Sequence[str] = (), goals: tuple[str, str] = ("goals", "goals_against")) -> DataFrame:

@@ -171,17 +171,17 @@ def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip]
 
 
-def fill_values(df: DataFrame, columns: Sequence[str], method: str, bin_width: float = 0.01) -> DataFrame:
+def fill_values(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
     """One row holding the table-wide mean or median of each column."""
     if method == "mean":
         return df.agg(*[F.avg(c).alias(c) for c in columns])
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(F.inline(pairs))
-    medians = quantiles(long, ["name"], "x", [0.5], ["median"], bin_width)
+    medians = quantiles(long, ["name"], "x", [0.5], ["median"])
     return medians.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])
 
 
-def fill(df: DataFrame, track: Track, columns: Sequence[str], method: str = "ffill", bin_width: float = 0.01) -> DataFrame:
+def fill(df: DataFrame, track: Track, columns: Sequence[str], method: str = "ffill") -> DataFrame:
     """Replace missing values.
 
     ffill carries the entity's last value forward. bfill takes its next one and so leaks the future;
@@ -196,7 +196,7 @@ def fill(df: DataFrame, track: Track, columns: Sequence[str], method: str = "ffi
     if method not in ("mean", "median"):
         raise ValueError(f"unknown fill method {method!r}")
     # A single aggregate row, so the product only widens each row.
-    values = fill_values(df, columns, method, bin_width).withColumnsRenamed({c: f"_fill_{c}" for c in columns})
+    values = fill_values(df, columns, method).withColumnsRenamed({c: f"_fill_{c}" for c in columns})
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}")) for c in columns}
     return df.crossJoin(F.broadcast(values)).withColumns(filled).drop(*[f"_fill_{c}" for c in columns])
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
-from touchline.operators.cells import GATHER_ROWS, largest_group, quantiles
-from touchline.session import small_side
+from touchline.operators.cells import quantiles
+from touchline.session import settle, small_side
 
 SAMPLE = ["chain", "draw"]
 
@@ -18,26 +18,31 @@ SAMPLE = ["chain", "draw"]
 def pair_draws(fixtures: DataFrame, draws: DataFrame, home: str = "home_id", away: str = "away_id") -> DataFrame:
     """Each fixture with each sample's strengths of both sides, at the fixture's own `t`.
 
-    Draws are partitioned by sample once and serve both lookups: the second join's key contains the
-    sample, so neither side moves again. Fixtures are broadcast only when few. The partition count is
-    explicit because every draw fans out to its fixtures: AQE sees the small input and would merge it
-    into too few tasks.
+    Every fixture meets every sample of its `t`: a team the sample does not have gets the sample's mean
+    strength. Draws are partitioned by sample and step once, so tasks grow with both and neither of the
+    lookups moves them again; fixtures are broadcast only when small. The partition count is explicit because every draw
+    fans out to its fixtures: AQE sees the small input and would merge it into too few tasks.
     """
     spark = draws.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    by_sample = draws.repartition(tasks, *SAMPLE)
-    small = small_side(fixtures)
-    host = by_sample.withColumnsRenamed({"team_id": home, "attack": "home_attack", "defence": "home_defence"})
-    guest = by_sample.select(
-        *SAMPLE, "t", F.col("team_id").alias(away), F.col("attack").alias("away_attack"), F.col("defence").alias("away_defence")
-    )
-    return host.join(small, ["t", home]).join(guest, [*SAMPLE, "t", away])
+    keys = [*SAMPLE, "t"]
+    strengths = [c for c in ("attack", "defence", "home_adv") if c in draws.columns]
+    by_sample = draws.repartition(tasks, *keys)
+    samples = by_sample.groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in strengths])
+    host = by_sample.select(*keys, F.col("team_id").alias(home), *[F.col(c).alias(f"_home_{c}") for c in strengths])
+    guest = by_sample.select(*keys, F.col("team_id").alias(away), *[F.col(c).alias(f"_away_{c}") for c in strengths])
+    met = samples.join(small_side(fixtures), "t").join(host, [*keys, home], "left").join(guest, [*keys, away], "left")
+    found = {f"{side}_{c}": F.coalesce(f"_{side}_{c}", f"_mean_{c}") for side in ("home", "away") for c in ("attack", "defence")}
+    if "home_adv" in strengths:
+        found["home_adv"] = F.coalesce("_home_home_adv", "_mean_home_adv")
+    return met.withColumns(found).drop(*[f"_{p}_{c}" for p in ("mean", "home", "away") for c in strengths])
 
 
 def at_last_step(fixtures: DataFrame, draws: DataFrame, round_column: str = "round") -> DataFrame:
-    """Time step of each fixture: the round before it, or the last step the draws have."""
-    last = F.broadcast(draws.agg(F.max("t").alias("_last")))  # one row
-    return fixtures.crossJoin(last).withColumn("t", F.least(F.col(round_column) - 1, F.col("_last"))).drop("_last")
+    """Time step of each fixture: the last one the draws have before its round, or the first they have at all."""
+    steps = F.broadcast(draws.agg(F.sort_array(F.collect_set("t")).alias("_steps")))  # one row; a number per round
+    before = F.array_max(F.filter("_steps", lambda t: t < F.col(round_column)))
+    return fixtures.crossJoin(steps).withColumn("t", F.coalesce(before, F.array_min("_steps"))).drop("_steps")
 
 
 def goal_rates(fixtures: DataFrame, draws: DataFrame) -> DataFrame:
@@ -188,52 +193,38 @@ def top_scores(grid: DataFrame, k: int = 10, by: Sequence[str] = ("match_id",),
     return ranked.select(*by, "rank", S.score_text(F.col("home_goals"), F.col("away_goals")).alias("score"), "probability")
 
 
-def draws_per_match(draws: DataFrame) -> int:
-    """How many samples a match can have: the samples of one team at one step, counted on the draws alone."""
-    return largest_group(draws, ["t", "team_id"])
-
-
-def rate_summary(
-    rates: DataFrame, by: Sequence[str] = ("match_id",), bin_width: float = 0.01, largest: int | None = None
-) -> DataFrame:
-    """Mean, median, population deviation, p5 and p95 of both goal rates per match; quantiles exact.
-
-    `largest` is a known bound on draws per match. If it fits an aggregation buffer, everything comes
-    from one pass; otherwise quantiles are located by histogram.
-    """
+def rate_summary(rates: DataFrame, by: Sequence[str] = ("match_id",)) -> DataFrame:
+    """Mean, median, population deviation, p5 and p95 of both goal rates per match, and the draws they come from; quantiles exact."""
     by = [*by, "side"]
     sides = F.array(
         F.struct(F.lit("home").alias("side"), F.col("lambda_home").alias("rate")),
         F.struct(F.lit("away").alias("side"), F.col("lambda_away").alias("rate")),
     )
     long = rates.select(*by[:-1], F.inline(sides))
-    probs, names = [0.05, 0.5, 0.95], ["p5", "median", "p95"]
-    moments = [F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std")]
-    if largest is not None and largest <= GATHER_ROWS:
-        held = long.groupBy(*by).agg(*moments, F.percentile("rate", probs).alias("_q"))
-        return held.select(*by, "mean", "std", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    return long.groupBy(*by).agg(*moments).join(quantiles(long, by, "rate", probs, names, bin_width), by)
+    moments = [F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std"), F.count("rate").alias("n_draws")]
+    return long.groupBy(*by).agg(*moments).join(quantiles(long, by, "rate", [0.05, 0.5, 0.95], ["p5", "median", "p95"]), by, "left")
 
 
 def prediction_records(
     fixtures: DataFrame, rates: DataFrame, *, max_goals: int | None = None, k: int = 10, keep: Sequence[str] = ("round",),
-    scored: DataFrame | None = None, largest: int | None = None,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
     """Nested record per match: rate summaries, outcome probabilities and likeliest scores.
 
-    `scored` are the draws to take scores and outcomes from (a thinned set), all of them by default;
-    `largest` bounds the draws per match, see `rate_summary`.
+    `scored` are the draws to take scores and outcomes from (a thinned set), all of them by default. Rates
+    are written once, since summary, scores and outcomes all read them. Fixtures without draws stay, with `n_draws` NULL.
     """
+    rates = settle(rates)
     scored = rates if scored is None else scored
     grid = score_grid(scored, max_goals)
-    summary = rate_summary(rates, largest=largest)
+    summary = rate_summary(rates)
 
     def side(name: str) -> Column:
         parts = [("mean", "mean"), ("median", "median"), ("std", "std"), ("percentile_5", "p5"), ("percentile_95", "p95")]
         record = F.struct(*[F.bround(c, 2).alias(out) for out, c in parts])
         return F.first(F.when(F.col("side") == name, record), ignorenulls=True).alias(f"expected_goals_{name}")
 
-    expected = summary.groupBy("match_id").agg(side("home"), side("away"))
+    expected = summary.groupBy("match_id").agg(side("home"), side("away"), F.max("n_draws").alias("n_draws"))
     odds = outcome_probabilities(scored).select(
         "match_id", F.struct(*[F.bround(c, 4).alias(c) for c in ("home_win", "draw", "away_win")]).alias("outcome_probabilities")
     )
@@ -242,4 +233,4 @@ def prediction_records(
         "match_id", F.transform("_s", lambda s: F.struct(s["score"].alias("score"), s["probability"].alias("probability"))).alias("most_likely_scores")
     )
     names = fixtures.select("match_id", *keep, F.col("home_id").alias("home_team"), F.col("away_id").alias("away_team"))
-    return names.join(expected, "match_id").join(odds, "match_id").join(scores, "match_id")
+    return names.join(expected, "match_id", "left").join(odds, "match_id", "left").join(scores, "match_id", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
 from touchline.operators.cells import Track, running
+from touchline.session import small_side
 
 
 def round_calendar(
@@ -56,10 +57,11 @@ def add_rounds(
     keys = [*group, season]
     calendar = round_calendar(rows, group, season, ts, mode)
     week = S.round_week(F.col(ts)) if mode == "week" else F.weekofyear(F.col(ts) - F.expr("INTERVAL 1 DAY"))
-    # At most 53 rows per season and group: bounded by the calendar, not by the match count.
+    # At most 53 rows per season; with groups their number is checked before anything is broadcast.
+    side = small_side(calendar) if group else F.broadcast(calendar)
     return (
         rows.withColumn("week_key", week)
-        .join(F.broadcast(calendar), [*keys, "week_key"], "left")
+        .join(side, [*keys, "week_key"], "left")
         .drop("week_key")
         .withColumn("round", F.col("cum_round"))
     )
@@ -78,11 +80,12 @@ def season_offsets(rows: DataFrame, season: str = "season", round_column: str =
 def match_ids(rows: DataFrame, ts: str = "datetime", team: str = "team", opp: str = "opp_team") -> DataFrame:
     """Distinct match keys with a dense 0-based id in key order.
 
-    Ids come from `running` over the keys with one cell per kickoff time, so the global rank is a
-    local rank plus an offset instead of one sorted partition.
+    Ids come from `running` over the keys with one cell per day, so the global rank is a local rank
+    plus an offset; only days, which the calendar bounds, are scanned in one place. Keys start with the time, so days ascend with them.
+    Matches without a time have no id.
     """
     keys = rows.select(F.col(ts).alias("_ts"), S.pair_key(F.col(ts), F.col(team), F.col(opp)).alias("match_key")).distinct()
-    track = Track([], "match_key", cell=F.col("_ts"))
+    track = Track([], "match_key", cell=F.date_trunc("day", F.col("_ts")))
     return running(keys, track, position="_pos").select("match_key", (F.col("_pos") - 1).alias("match_id"))
 
 

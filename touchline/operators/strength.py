@@ -260,11 +260,11 @@ def bootstrap_stats(rows: DataFrame, key: str, replicates: int, *, seed: int = 4
     """Sums per replicate with Poisson(1) match weights drawn from (match, replicate) by hashing.
 
     Both rows of a match get the same weight on any partitioning. Rows fan out only inside a task and
-    are summed before the shuffle.
+    are summed before the shuffle. Matches of weight 0 stay, so that every replicate has every team.
     """
     fanned = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(int(replicates)))))
     weight = S.poisson_one(S.mixed_uniform(seed, F.col(key), F.col("replicate")))
-    drawn = fanned.withColumn("_weight", weight).where(F.col("_weight") > 0)
+    drawn = fanned.withColumn("_weight", weight)
     return suffstats(drawn, [*group, "replicate"], F.col("_weight"))
 
 

@@ -133,7 +133,7 @@ def fill_mean(spark, sf):
 SELECT event_id, coalesce(CAST(c AS DOUBLE), (SELECT CAST(quantile_cont(c, 0.5) AS DOUBLE) FROM x)) AS cents FROM x""", "ev"))
 def fill_median(spark, sf):
     e = fx.events(spark, sf).select("event_id", "user_id", "ts", F.when(F.col("value").isNotNull(), F.col("cents")).alias("cents"))
-    return features.fill(e, USER, ["cents"], "median", bin_width=100.0).select("event_id", "cents")
+    return features.fill(e, USER, ["cents"], "median").select("event_id", "cents")
 
 
 @query("feature_table", sql("""CTE v AS (SELECT *, row_number() OVER (PARTITION BY team, is_home ORDER BY datetime, match_no) AS vp FROM l),

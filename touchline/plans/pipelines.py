@@ -15,23 +15,35 @@ from touchline.functions.config import StrengthConfig
 from touchline.operators import draws as D
 from touchline.operators import obs, predict, reshape, rounds, strength
 from touchline.sources import store
+from touchline.session import settle
 
 
-def prepare(raw: DataFrame, keep: Sequence[str] = ("season",)) -> DataFrame:
-    """Feed records -> team rows with rounds, match ids and perspective columns."""
-    rows = reshape.team_matches(raw, keep)
-    rows = rounds.add_match_ids(rounds.add_rounds(rows))
+def prepare(raw: DataFrame, keep: Sequence[str] = ("season",), group: Sequence[str] = ()) -> DataFrame:
+    """Feed records -> team rows with rounds, match ids and perspective columns.
+
+    With a `group` (such as the league) every group has its own calendar of rounds.
+    """
+    rows = reshape.team_matches(raw, [*keep, *[c for c in group if c not in keep]])
+    rows = rounds.add_match_ids(rounds.add_rounds(rows, group))
     return reshape.perspective_columns(rows)
 
 
-def strength_table(rows: DataFrame, cutoffs: Sequence[int], config: StrengthConfig) -> DataFrame:
-    """Draws table from bootstrap fits, one time step per cut-off round."""
-    fanned = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(config.replicates))))
+def played(rows: DataFrame) -> DataFrame:
+    """Without matches that have no result: those are kept as 0-0 with `is_played` 0."""
+    return rows.where(F.col("is_played") == 1) if "is_played" in rows.columns else rows
+
+
+def strength_table(rows: DataFrame, cutoffs: Sequence[int], config: StrengthConfig, group: Sequence[str] = ()) -> DataFrame:
+    """Draws table from bootstrap fits, one time step per cut-off round; a fit per `group`, whose teams must differ.
+
+    Every replicate has every team that played by the cut-off.
+    """
+    fanned = played(rows).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(config.replicates))))
     weight = S.poisson_one(S.mixed_uniform(config.seed, F.col("match_id"), F.col("replicate")))
-    drawn = fanned.withColumn("_weight", weight).where(F.col("_weight") > 0)
-    stats = strength.stats_until(drawn, cutoffs, decays={"all": config.fit_decay}, group=["replicate"], weight=F.col("_weight"))
+    drawn = fanned.withColumn("_weight", weight)
+    stats = strength.stats_until(drawn, cutoffs, decays={"all": config.fit_decay}, group=[*group, "replicate"], weight=F.col("_weight"))
     fit = strength.home_advantage(
-        stats.drop("decay"), ["replicate", "cutoff"], prior=config.prior_weight, pool=config.home_prior_weight,
+        stats.drop("decay"), [*group, "replicate", "cutoff"], prior=config.prior_weight, pool=config.home_prior_weight,
         steps=config.steps, tolerance=config.tolerance,
     )
     return fit.select(
@@ -46,16 +58,18 @@ def fixtures_of(rows: DataFrame, wanted: Sequence[int]) -> DataFrame:
     return hosts.select("match_id", "round", F.col("team").alias("home_id"), F.col("opp_team").alias("away_id"))
 
 
-def train(rows: DataFrame, as_of: Column, run_id: str, root: str, config: StrengthConfig = StrengthConfig()) -> int:
+def train(
+    rows: DataFrame, as_of: Column, run_id: str, root: str, config: StrengthConfig = StrengthConfig(), group: Sequence[str] = ()
+) -> int:
     """Fit on rounds before the next one and store draws, observations, teams and a registry row."""
     target = rounds.require_next_round(rows, as_of)
-    played = rows.where(F.col("round") <= target - 1)
+    past = played(rows).where(F.col("round") <= target - 1)
     index = reshape.team_index(rows)
     tables = {
-        "draws": strength_table(played, [target - 1], config),
-        "observations": obs.observations(rows, index, target - 1),
+        "draws": strength_table(past, [target - 1], config, group),
+        "observations": obs.observations(played(rows), index, target - 1),
         "teams": index,
-        "runs": played.agg(
+        "runs": past.agg(
             F.count(F.lit(1)).alias("n_obs"), F.count_distinct("match_id").alias("n_matches"), F.count_distinct("team").alias("n_teams")
         ).select("*", F.lit(target - 1).alias("trained_to_round"), F.lit(target).alias("next_round"), as_of.alias("created_at")),
     }
@@ -74,8 +88,7 @@ def predict_rounds(rows: DataFrame, wanted: Sequence[int], draws: DataFrame, con
     rates = predict.goal_rates(fixtures, draws)
     scored = D.subsample(rates, config.sample_draws, seed=config.seed) if config.sample_draws else None
     return predict.prediction_records(
-        fixtures, rates, max_goals=config.max_goals, k=config.top_scores, scored=scored,
-        largest=predict.draws_per_match(draws),
+        fixtures, rates, max_goals=config.max_goals, k=config.top_scores, scored=scored
     )
 
 
@@ -98,6 +111,7 @@ def backtest_season(
     step: int = 1,
     skip_existing: bool = False,
     config: StrengthConfig = StrengthConfig(),
+    group: Sequence[str] = (),
 ) -> list[int]:
     """Predict every selected completed round from the rounds before it and store the results by round.
 
@@ -113,9 +127,11 @@ def backtest_season(
     wanted = sorted(r["round"] for r in chosen.collect())  # at most one number per round
     if not wanted:
         return []
-    draws = strength_table(rows, [r - 1 for r in wanted], config)
+    # all cut-offs up to the last one wanted, so that stored strength paths do not depend on what this call writes
+    rows = settle(rows)
+    draws = settle(strength_table(rows, range(1, wanted[-1]), config, group))
     store.write_round_table(predict_rounds(rows, wanted, draws, config), root, "predictions")
-    store.write_round_table(rounds.round_actuals(rows.where(F.col("round").isin(wanted))), root, "actuals")
+    store.write_round_table(rounds.round_actuals(played(rows).where(F.col("round").isin(wanted))), root, "actuals")
     store.write_round_table(_strengths_by_round(draws, wanted), root, "team_strengths")
     return wanted
 
@@ -126,7 +142,7 @@ def _strengths_by_round(draws: DataFrame, wanted: Sequence[int]) -> DataFrame:
     Summaries are one row per (param, team, cut-off); only those are copied to later rounds.
     """
     params = F.array(*[F.struct(F.lit(p).alias("param"), F.col("t"), F.col(p).alias("value")) for p in ("attack", "defence", "home_adv")])
-    summary = D.summarise(draws.select("team_id", F.inline(params)), ["param", "team_id", "t"], largest=predict.draws_per_match(draws))
+    summary = D.summarise(draws.select("team_id", F.inline(params)), ["param", "team_id", "t"])
     rounds_after = F.filter(F.array(*[F.lit(int(r)) for r in wanted]), lambda r: r - 1 >= F.col("t"))
     spread = summary.withColumn("round", F.explode(rounds_after))
     latest = (F.col("param") != "home_adv") | (F.col("t") == F.col("round") - 1)

@@ -81,8 +81,7 @@ def draw_subsample(spark, sf):
 SELECT match_id, side, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.5), 6) AS median,
   round(quantile_cont(v, 0.95), 6) AS p95 FROM x GROUP BY 1, 2""", *RATES))
 def expected_goals_summary(spark, sf):
-    largest = P.draws_per_match(fx.strength_draws(spark, sf))
-    return rounded(P.rate_summary(rates(spark, sf), largest=largest), "mean", "std", "p5", "median", "p95")
+    return rounded(P.rate_summary(rates(spark, sf)).drop("n_draws"), "mean", "std", "p5", "median", "p95")
 
 
 def grid_view(top: int) -> str:
@@ -111,21 +110,31 @@ def top_scores(spark, sf):
     return rounded(P.top_scores(P.score_grid(rates(spark, sf))), "probability")
 
 
-@query("prediction_records", sql("""CTE e AS (SELECT match_id, round(avg(lambda_home), 2) AS mean_home, round(quantile_cont(lambda_home, 0.5), 2) AS median_home, round(stddev_pop(lambda_home), 2) AS std_home,
-  round(quantile_cont(lambda_away, 0.05), 2) AS p5_away, round(quantile_cont(lambda_away, 0.95), 2) AS p95_away FROM rates GROUP BY 1),
-o AS (SELECT match_id, round(sum(CASE WHEN h > a THEN p ELSE 0 END), 4) AS home_win, round(sum(CASE WHEN h = a THEN p ELSE 0 END), 4) AS draw FROM grid GROUP BY 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 6) DESC, h, a) AS rank FROM grid)
-SELECT match_id, round, home_id AS home_team, away_id AS away_team, mean_home, median_home, std_home, p5_away, p95_away, home_win, draw, h || '-' || a AS top_score, round(p, 4) AS top_probability
-FROM fx JOIN e USING (match_id) JOIN o USING (match_id) JOIN r USING (match_id) WHERE rank = 1""", *RATES, "grid"))
+def _figures(side: str) -> str:
+    v = f"lambda_{side}"
+    return (f"round(avg({v}), 2) AS mean_{side}, round(quantile_cont({v}, 0.5), 2) AS median_{side}, round(stddev_pop({v}), 2) AS std_{side}, "
+            f"round(quantile_cont({v}, 0.05), 2) AS p5_{side}, round(quantile_cont({v}, 0.95), 2) AS p95_{side}")
+
+
+FIGURES = ", ".join(f"{c}_{side}" for side in ("home", "away") for c in ("mean", "median", "std", "p5", "p95"))
+
+
+@query("prediction_records", sql(f"""CTE e AS (SELECT match_id, count(*) AS n_draws, {_figures('home')}, {_figures('away')} FROM rates GROUP BY 1),
+o AS (SELECT match_id, round(sum(CASE WHEN h > a THEN p ELSE 0 END), 4) AS home_win, round(sum(CASE WHEN h = a THEN p ELSE 0 END), 4) AS draw,
+  round(sum(CASE WHEN h < a THEN p ELSE 0 END), 4) AS away_win FROM grid GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 6) DESC, h, a) AS rank FROM grid),
+s AS (SELECT match_id, string_agg(h || '-' || a, ',' ORDER BY rank) AS scores, round(sum(round(p, 4)), 4) AS scores_total FROM r WHERE rank <= 10 GROUP BY 1)
+SELECT match_id, round, home_id AS home_team, away_id AS away_team, n_draws, {FIGURES}, home_win, draw, away_win, scores, scores_total
+FROM fx JOIN e USING (match_id) JOIN o USING (match_id) JOIN s USING (match_id)""", *RATES, "grid"))
 def prediction_records(spark, sf):
-    largest = P.draws_per_match(fx.strength_draws(spark, sf))
-    out = P.prediction_records(fx.pairings(spark, sf), rates(spark, sf), largest=largest)
+    out = P.prediction_records(fx.pairings(spark, sf), rates(spark, sf))
+    parts = {"mean": "mean", "median": "median", "std": "std", "p5": "percentile_5", "p95": "percentile_95"}
+    total = F.aggregate("most_likely_scores", F.lit(0.0), lambda t, s: t + s["probability"])
     return out.select(
-        "match_id", "round", "home_team", "away_team", F.col("expected_goals_home.mean").alias("mean_home"),
-        F.col("expected_goals_home.median").alias("median_home"), F.col("expected_goals_home.std").alias("std_home"),
-        F.col("expected_goals_away.percentile_5").alias("p5_away"), F.col("expected_goals_away.percentile_95").alias("p95_away"),
-        F.col("outcome_probabilities.home_win").alias("home_win"), F.col("outcome_probabilities.draw").alias("draw"),
-        F.col("most_likely_scores")[0]["score"].alias("top_score"), F.col("most_likely_scores")[0]["probability"].alias("top_probability"),
+        "match_id", "round", "home_team", "away_team", "n_draws",
+        *[F.col(f"expected_goals_{side}.{field}").alias(f"{c}_{side}") for side in ("home", "away") for c, field in parts.items()],
+        "outcome_probabilities.home_win", "outcome_probabilities.draw", "outcome_probabilities.away_win",
+        F.array_join(F.transform("most_likely_scores", lambda s: s["score"]), ",").alias("scores"), F.round(total, 4).alias("scores_total"),
     )
 
 
@@ -189,13 +198,14 @@ def posterior_predictive_mean(spark, sf):
 
 @query("pointwise_loglik", sql(f"""CTE e AS (SELECT {OBS_ID} AS obs_id, goals, goals_against, n_obs, exp({num(2.0)} * tanh((h.attack - a.defence + h.home_adv * o.is_home) / {num(2.0)})) AS lh,
   exp({num(2.0)} * tanh((a.attack - h.defence) / {num(2.0)})) AS la FROM ob o {PAIR})
-SELECT obs_id, goals AS goals_home, goals_against AS goals_away, n_obs, round(ln(avg(exp({logpmf_sql('goals', 'lh')} + {logpmf_sql('goals_against', 'la')}))), 6) AS log_mean_likelihood FROM e GROUP BY 1, 2, 3, 4""", *OBS))
+SELECT obs_id, goals AS goals_home, goals_against AS goals_away, n_obs, round(ln(avg(exp({logpmf_sql('goals', 'lh')} + {logpmf_sql('goals_against', 'la')}))), 6) AS log_mean_likelihood,
+  round(avg({logpmf_sql('goals', 'lh')} + {logpmf_sql('goals_against', 'la')}), 6) AS mean_loglik FROM e GROUP BY 1, 2, 3, 4""", *OBS))
 def pointwise_loglik(spark, sf):
     obs = key_columns(observations(spark, sf)).drop("is_home")
     rates = P.linear_predictor(obs, fx.strength_draws(spark, sf), clip=2.0)
     by = ["obs_id", "goals_home", "goals_away", "n_obs"]
     out = P.pointwise_loglik(rates.select("obs_id", "lambda_home", "lambda_away", F.inline("scores")), by)
-    return rounded(out.drop("mean_loglik"), "log_mean_likelihood")
+    return rounded(out, "log_mean_likelihood", "mean_loglik")
 
 
 @query("soft_clip", f"""SELECT o_orderkey, round({num(2.0)} * tanh((o_totalprice / 100000.0::DOUBLE - 2) / {num(2.0)}), 8) AS clipped FROM orders""")

@@ -111,7 +111,7 @@ POISSON_ONE = " + ".join(f"CASE WHEN u >= {num(s)} THEN 1 ELSE 0 END" for s in S
 BOOT = f"""bw AS (SELECT match_no, r AS replicate, CAST(CAST('0x' || substr(md5('42|' || match_no || '|' || r), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496.0 AS DOUBLE) AS u
   FROM m, (SELECT unnest(range(1, 9)) AS r) rs),
 ss AS MATERIALIZED (SELECT replicate, team, opp_team, is_home, CAST(sum({POISSON_ONE}) AS DOUBLE) AS weight, CAST(sum(({POISSON_ONE}) * goals) AS DOUBLE) AS goals
-  FROM l JOIN bw ON l.match_no = bw.match_no GROUP BY 1, 2, 3, 4 HAVING sum({POISSON_ONE}) > 0)"""
+  FROM l JOIN bw ON l.match_no = bw.match_no GROUP BY 1, 2, 3, 4)"""
 HOME = """hosted AS (SELECT {s}s.team, sum(goals) AS g, sum(weight * dfn) AS e FROM ss s JOIN st o ON {on}s.opp_team = o.team WHERE is_home = 1 GROUP BY {s}s.team),
 ha AS (SELECT st.*, ln((CAST(20.0 AS DOUBLE) * home + coalesce(g, 0)) / (CAST(20.0 AS DOUBLE) + coalesce(mu * att * e, 0))) AS home_adv FROM st LEFT JOIN hosted h ON {on2}st.team = h.team)"""
 

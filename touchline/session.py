@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+#: Most rows and bytes of a side that is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -51,19 +52,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` only if it has at most `max_rows` rows; otherwise leave the join to AQE.
+def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast `df` only if it has at most `max_rows` rows of `max_bytes` in all; otherwise leave the join to AQE.
 
-    The probe stops after `max_rows + 1` rows, so it never counts a large side in full. Pass
+    The probe stops after `max_rows + 1` rows, so it never reads a large side in full. Pass
     something cheap to evaluate: a settled table, or a small aggregate.
     """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    width = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f"`{name}`"), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + 4 * F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width.cast("long"))).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A reduced table (an aggregate, a dimension) computed once, settled, and broadcast if it is small.
 
-    Saves shuffling the large side for it; past `max_rows` the join is left to AQE.
+    Saves shuffling the large side for it; past `broadcast_within`'s bounds the join is left to AQE.
     """
     return broadcast_within(settle(df), max_rows)
