@@ -90,11 +90,13 @@ FROM rates, (SELECT CAST(unnest(range({top + 1})) AS INT) AS h) hs, (SELECT CAST
 
 
 view("grid", grid_view(P.CLIPPED_GOALS))
+view("corner", grid_view(10))
 
 
-@query("score_distribution", sql("SELECT match_id, h AS home_goals, a AS away_goals, round(p, 7) AS probability, round(greatest(1 - sum(p) OVER (PARTITION BY match_id), 0), 6) AS tail FROM grid", *RATES, "grid"))
+@query("score_distribution", sql("SELECT match_id, h AS home_goals, a AS away_goals, round(p, 7) AS probability, round(greatest(1 - sum(p) OVER (PARTITION BY match_id), 0), 6) AS tail FROM corner", *RATES, "corner"))
 def score_distribution(spark, sf):
-    return rounded(rounded(P.score_grid(rates(spark, sf)), "probability", digits=7), "tail")
+    """Scores up to 10 goals a side, and the probability of all others as `tail`."""
+    return rounded(rounded(P.score_grid(rates(spark, sf), 10), "probability", digits=7), "tail")
 
 
 @query("outcome_probabilities", sql("""SELECT match_id, round(sum(CASE WHEN h > a THEN p ELSE 0 END), 6) AS home_win, round(sum(CASE WHEN h = a THEN p ELSE 0 END), 6) AS draw,
