@@ -153,11 +153,11 @@ def score_grid(rates: DataFrame, max_goals: int | None = None, by: Sequence[str]
 def outcome_of(home: Column, away: Column) -> Column:
     """Win, draw and loss of two Poisson counts, summed term by term until both are past their tails.
 
-    The number of terms follows from the row's own rates. Terms are kept as logarithms, so that they do
+    The number of terms follows from the row's own rates (less than 1e-14 lies beyond). Terms are kept as logarithms, so that they do
     not vanish for large rates. NULL if a rate is NULL.
     """
     top = F.greatest(home, away)
-    terms = F.sequence(F.lit(0), F.ceil(top + 12 * F.sqrt(top) + 30).cast("int"))
+    terms = F.sequence(F.lit(0), F.ceil(top + 8 * F.sqrt(top) + 12).cast("int"))
     zero = F.lit(0.0)
     state = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
     start = state(h=-home, a=-away, h_to=zero, a_to=zero, win=zero, draw=zero, loss=zero)

@@ -10,6 +10,7 @@ from touchline.operators import predict as P
 from touchline.plans import fixtures as fx
 from touchline.plans.registry import query, sql, view
 from touchline.plans.strength_queries import num, rounded
+from touchline.session import settle
 
 RATES = ("m", "dr", "fx", "rates")
 
@@ -81,7 +82,7 @@ def draw_subsample(spark, sf):
 SELECT match_id, side, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.5), 6) AS median,
   round(quantile_cont(v, 0.95), 6) AS p95 FROM x GROUP BY 1, 2""", *RATES))
 def expected_goals_summary(spark, sf):
-    return rounded(P.rate_summary(rates(spark, sf)).drop("n_draws"), "mean", "std", "p5", "median", "p95")
+    return rounded(P.rate_summary(settle(rates(spark, sf))).drop("n_draws"), "mean", "std", "p5", "median", "p95")
 
 
 def grid_view(top: int) -> str:
