@@ -131,6 +131,20 @@ def test_items_are_found_and_clean_texts_are_not(frame, spark, shard_bytes):
     assert decontaminate.hits(docs.limit(0), table).count() == 0
 
 
+def test_scattered_words_do_not_hide_the_item_behind_them(frame, spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    question, answer = say(14), say(6)
+    words = f"{question} {answer}".split()
+    scattered = " ".join(rng.sample(words, len(words)))
+    altered = " ".join(words[:10] + ["other"] + words[11:])  # fewer of the item's words than the scattered ones
+    texts = [f"{scattered} {say(900)} {question} {answer} {say(50)}", f"{scattered} {say(900)} {altered}", f"{say(20)} {scattered} {say(900)}"]
+    table = spark.createDataFrame([(1, question, answer), (2, say(60), say(20))], "item_id long, question string, answer string")
+    found = {r["doc_id"]: r["hits"] for r in decontaminate.hits(frame(docs_of(texts)), table).collect()}
+    assert {d: [h["item_id"] for h in hits] for d, hits in found.items()} == {0: [1], 1: [1], 2: []}
+    assert all(found[d][0]["passage"] > 700 for d in (0, 1))
+
+
 def test_planted_items_of_the_given_tables(spark):
     spell = lambda t: b" " + b" ".join(decontaminate.words_of(t)) + b" "
     items = {r["item_id"]: spell(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}

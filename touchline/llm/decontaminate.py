@@ -7,8 +7,9 @@ half, so each place where an item could stand lies whole in some passage.
 
 For a passage the bounds of all blocks of items come first: the sums of the largest impacts of its words in
 each block. Blocks that can reach the threshold are searched by WAND with those bounds, which
-returns every item at or above it. Of each item met, question and answer are then compared with
-the passage and its surroundings by runs of three words (all words if there are fewer): both must be covered.
+returns every item at or above it. In every passage where an item is met, question and answer are then compared with
+the passage and its surroundings by runs of three words (all words if there are fewer): both must be covered. Of the
+passages that hold an item so, the one with the largest score is reported.
 
 The index is built in shards of at most `SHARD_BYTES` of item text, each small enough to
 broadcast; texts are read once a shard. Document frequencies and lengths are those of all items.
@@ -115,38 +116,43 @@ class Index:
                 c[0] = posting[c[1]][0] if c[1] < len(posting) else end
 
     def hits(self, words: list[bytes], length: int, least: float) -> list[dict]:
-        """Items met in a text and covered there; of each the passage with the largest score."""
+        """Items met in a text and covered there; of each the covered passage with the largest score."""
         get, none = self.term.get, len(self.postings)
         terms = np.fromiter((get(w, none) for w in words), np.int64, len(words))
-        best: dict[int, tuple[float, int]] = {}
+        best: dict[int, dict] = {}
         for start in range(0, max(1, len(words) - length // 2), max(1, length // 2)):
             query = np.unique(terms[start : start + length])
             bounds = self.tops[query].sum(axis=0)
             if bounds.max() < least - SLACK:
                 continue
             query = query[query < none].tolist()
+            near = Runs(words[max(0, start - length // 2) : start + length + length // 2])
             for block in np.flatnonzero(bounds >= least - SLACK).tolist():
                 for item, score in self.search(query, block, least):
-                    if item not in best or score > best[item][0]:
-                        best[item] = (score, start)
-        out = []
-        for item, (score, start) in sorted(best.items()):
-            name, question, answer = self.items[item]
-            near = words[max(0, start - length // 2) : start + length + length // 2]
-            q, a = covered(question, near), covered(answer, near)
-            if q >= COVERED and a >= COVERED:
-                out.append({"item_id": name, "score": score, "question_overlap": q, "answer_overlap": a, "passage": start})
-        return out
-
-
-def covered(wanted: list[bytes], words: list[bytes]) -> float:
-    """Share of the wanted runs of words that stand in `words`; 1 if nothing is wanted."""
-    if not wanted:
-        return 1.0
-    n = min(RUN, len(wanted))
-    there = set(zip(*(words[k:] for k in range(n))))
-    runs = list(zip(*(wanted[k:] for k in range(n))))
-    return sum(r in there for r in runs) / len(runs)
+                    if item in best and score <= best[item]["score"]:
+                        continue
+                    name, question, answer = self.items[item]
+                    q, a = near.covered(question), near.covered(answer)
+                    if q >= COVERED and a >= COVERED:
+                        best[item] = {"item_id": name, "score": score, "question_overlap": q, "answer_overlap": a, "passage": start}
+        return [best[item] for item in sorted(best)]
+
+
+class Runs:
+    """The runs of words that stand in a text, by their length."""
+
+    def __init__(self, words: list[bytes]):
+        self.words, self.runs = words, {}
+
+    def covered(self, wanted: list[bytes]) -> float:
+        """Share of the wanted runs of words that stand here; 1 if nothing is wanted."""
+        if not wanted:
+            return 1.0
+        n = min(RUN, len(wanted))
+        if n not in self.runs:
+            self.runs[n] = set(zip(*(self.words[k:] for k in range(n))))
+        runs = list(zip(*(wanted[k:] for k in range(n))))
+        return sum(r in self.runs[n] for r in runs) / len(runs)
 
 
 def _postings(items: DataFrame) -> DataFrame:
