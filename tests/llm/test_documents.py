@@ -145,6 +145,22 @@ def test_scattered_words_do_not_hide_the_item_behind_them(frame, spark):
     assert all(found[d][0]["passage"] > 700 for d in (0, 1))
 
 
+@pytest.mark.parametrize("n_question,n_answer", [(1, 30), (3, 30), (4, 30), (9, 30), (30, 2), (30, 6)])
+def test_one_changed_word_in_a_short_part_is_still_found(frame, spark, n_question, n_answer):
+    rng = random.Random(n_question)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    question, answer = say(n_question), say(n_answer)
+    short = min(question, answer, key=len)
+    copies = []
+    for k in range(len(short)):
+        changed = short[:k] + ["other"] + short[k + 1 :]
+        copies.append(" ".join(say(100) + (changed + answer if short is question else question + changed) + say(100)))
+    clean = [" ".join(say(100) + short + say(100)), " ".join(say(300))]
+    table = spark.createDataFrame([(1, " ".join(question), " ".join(answer))], "item_id long, question string, answer string")
+    found = decontaminate.hits(frame(docs_of(copies + clean)), table).where("size(hits) > 0").collect()
+    assert {r["doc_id"] for r in found} == set(range(len(copies)))
+
+
 def test_planted_items_of_the_given_tables(spark):
     spell = lambda t: b" " + b" ".join(decontaminate.words_of(t)) + b" "
     items = {r["item_id"]: spell(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}

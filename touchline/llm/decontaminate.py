@@ -8,8 +8,8 @@ half, so each place where an item could stand lies whole in some passage.
 For a passage the bounds of all blocks of items come first: the sums of the largest impacts of its words in
 each block. Blocks that can reach the threshold are searched by WAND with those bounds, which
 returns every item at or above it. In every passage where an item is met, question and answer are then compared with
-the passage and its surroundings by runs of three words (all words if there are fewer): both must be covered. Of the
-passages that hold an item so, the one with the largest score is reported.
+the passage and its surroundings by runs of three words (all words if there are fewer): both must be covered. One changed word
+takes up to three runs, so a part that lacks no more has no veto if the item as a whole is covered. Of the passages that hold an item so, the one with the largest score is reported.
 
 The index is built in shards of at most `SHARD_BYTES` of item text, each small enough to
 broadcast; texts are read once a shard. Document frequencies and lengths are those of all items.
@@ -133,7 +133,9 @@ class Index:
                         continue
                     name, question, answer = self.items[item]
                     q, a = near.covered(question), near.covered(answer)
-                    if q >= COVERED and a >= COVERED:
+                    if (q >= COVERED and a >= COVERED) or (
+                        _few_lack(q, question) and _few_lack(a, answer) and near.covered(question + answer) >= COVERED
+                    ):
                         best[item] = {"item_id": name, "score": score, "question_overlap": q, "answer_overlap": a, "passage": start}
         return [best[item] for item in sorted(best)]
 
@@ -155,6 +157,11 @@ class Runs:
         return sum(r in self.runs[n] for r in runs) / len(runs)
 
 
+def _few_lack(share: float, part: list[bytes]) -> bool:
+    """Whether this part is covered, or one changed word may be what it lacks."""
+    return share >= COVERED or round((1 - share) * max(1, len(part) - RUN + 1)) <= RUN
+
+
 def _postings(items: DataFrame) -> DataFrame:
     """(`term`, `n`): in how many items of `items` (`_words` text) each word stands."""
 
