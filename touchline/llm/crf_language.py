@@ -205,12 +205,13 @@ class Reader:
         chain = np.array(found, np.int64)
         return chain[chain >= 0]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language of each text, its mean share, and the mean of the largest share of each word."""
         n = len(self.field.languages)
         if len(self.rows) > REMEMBERED:
             self.rows.clear()
             self.used = 0
-        sums, sizes = np.zeros((len(texts), n)), np.zeros(len(texts))
+        sums, sizes, sure = np.zeros((len(texts), n)), np.zeros(len(texts)), np.zeros(len(texts))
         chains, owners = [], []
         for k, text in enumerate(texts):
             chain = self.chain(text)
@@ -231,11 +232,12 @@ class Reader:
                 words[: lengths[c], k] = chains[c]
             found, _ = forward_backward(self.emit[words], lengths[part], self.move)
             np.add.at(sums, owners[part], found.sum(axis=0))
+            np.add.at(sure, owners[part], found.max(axis=2).sum(axis=0))
             start = stop
         best = sums.argmax(axis=1)
         none = sizes == 0
         scores = np.where(none, 0.0, np.clip(sums[np.arange(len(texts)), best] / np.maximum(sizes, 1), 0, 1))
-        return [UNKNOWN if z else self.field.languages[b] for b, z in zip(best, none)], scores.tolist()
+        return [UNKNOWN if z else self.field.languages[b] for b, z in zip(best, none)], scores.tolist(), np.clip(sure / np.maximum(sizes, 1), 0, 1).tolist()
 
 
 _READERS: dict[str, Reader] = {}
@@ -249,20 +251,21 @@ def _reader(token: str, field: Field) -> Reader:
 
 
 def predict(text: str | Column, field: Field | None, spark) -> Column:
-    """Struct of `lang_pred` and `score` for every whole text."""
+    """Struct of `lang_pred`, `score` and `certainty`, that of the words whatever their languages, for every whole text."""
     if field is None:
-        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("certainty"))
     import uuid
 
     token, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(field)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, certainty: double>")
     def languages(texts: pa.Array) -> pa.Array:
-        reader, names, scores = _reader(token, shared.value), [], []
+        reader, names, scores, sure = _reader(token, shared.value), [], [], []
         for start in range(0, len(texts), 1_000):
             part = reader.predict(texts.slice(start, 1_000).to_pylist())
             names += part[0]
             scores += part[1]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+            sure += part[2]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], ["lang_pred", "score", "certainty"])
 
     return languages(text)
