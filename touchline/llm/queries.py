@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import boosted_quality, bpe_automaton, crf_language, decontaminate, oracles, piece_counts, risk_rules, simhash, token_planes, url_rules, warc
-from touchline.llm.common import in_fold, settle, table, tokenizer_path
+from touchline.llm import boosted_quality, bpe_automaton, crf_language, decontaminate, oracles, piece_counts, prefix_trie, risk_rules, simhash, token_planes, url_rules, warc, word_runs
+from touchline.llm.common import BLANK_RUN, in_fold, settle, table, tokenizer_path
 from touchline.session import checkpoint_dir
 
 QUERIES = {}
@@ -132,3 +132,42 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document; in a tenth of them the words from one place on are first made periodic."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), BLANK_RUN), lambda w: w != "")
+    n, g = F.size("_words"), F.floor(F.col("_h") / 10)
+    from_word = g % n
+    period = 1 + F.floor((n - from_word) / (3 + g % 8))
+    repeated = F.transform(F.col("_words"), lambda w, i: F.when(i < from_word, w).otherwise(F.get("_words", (from_word + (i - from_word) % period).cast("int"))))
+    chosen = F.coalesce(F.col("_h") % 10 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("_h"))
+    plain = docs.where(~chosen).select("doc_id", "text")
+    # only the chosen are cut into words here
+    made = docs.where(chosen).select("doc_id", "_h", words.alias("_words")).select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise("").alias("text"))
+    found = plain.union(made).select("doc_id", word_runs.word_runs("text").alias("_f")).select("doc_id", "_f.*")
+    top = word_runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", top.alias("_top")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_top.start", "_top.length", "_top.period",
+        F.floor(1000 * F.col("_top.length") / F.col("_top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, each rebuilt from the first turns of another one and its own later turns."""
+    turns = settle(prefix_trie.turn_ids(table(spark, sf_dir, "conversations")), "turns")
+    borrowed = F.crc32(F.col("conv_id").cast("string")) % 9
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    convs = turns.select("conv_id").distinct().select("conv_id", base.alias("base"), borrowed.alias("borrowed"))
+    heads = turns.where("pos <= 8").select(F.col("conv_id").alias("base"), F.col("pos").alias("at"), "turn_id", "n_bytes")
+    first = convs.join(heads, "base").where(F.col("at") <= F.col("borrowed")).select("conv_id", "at", "turn_id", "n_bytes")
+    rest = turns.where(F.col("pos") > borrowed).select("conv_id", (F.col("pos") + 8).alias("at"), "turn_id", "n_bytes")
+    empty = convs.select("conv_id", F.lit(0).cast("long").alias("at"), F.lit(None).cast("binary").alias("turn_id"), F.lit(0).cast("long").alias("n_bytes"))
+    rebuilt = first.union(rest).union(empty).select("conv_id", F.col("at").alias("pos"), "turn_id", "n_bytes", base.alias("family"))
+    return prefix_trie.prefix_trie(rebuilt, near="family")
