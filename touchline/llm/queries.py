@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import boosted_quality, bpe_automaton, crf_language, decontaminate, oracles, piece_counts, prefix_trie, risk_rules, simhash, token_planes, url_rules, warc, word_runs
+from touchline.llm import boosted_quality, bpe_automaton, crf_language, decontaminate, oracles, piece_counts, prefix_trie, risk_rules, simhash, suffix_tree, token_planes, url_rules, warc, word_runs
 from touchline.llm.common import BLANK_RUN, in_fold, settle, table, tokenizer_path
 from touchline.session import checkpoint_dir
 
@@ -134,6 +134,14 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under word counts and under a suffix tree, both learned outside one fold."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return suffix_tree.score_texts(docs, suffix_tree.fit(docs.where("not held_out").select("text")), keep=("doc_id", "held_out"))
+
+
 @query
 def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document; in a tenth of them the words from one place on are first made periodic."""
