@@ -20,13 +20,14 @@ Texts: NULL is the empty text and gives no ids. Special tokens in a text become
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from touchline.llm.common import held
+
 #: Fixed values of byte-level vocabularies: the pattern that splits a text into words.
 #: White space is the Unicode property, spelled out.
 _S = r"\t-\r \x85\xa0  -     　"
@@ -214,9 +215,9 @@ class Codec:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    """A worker's memory for the tokenizer file at `path`."""
+    return held(("codec", path), lambda: Codec(path))
 
 
 def encode(text: str | Column, path: str) -> Column:

@@ -33,6 +33,29 @@ def in_fold(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make):
+    """What a worker keeps from one batch to the next, made once. One thing at a time: the next stage's takes the place of the last one's."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what an earlier stage kept in this worker."""
+    _HELD.clear()
+
+
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Keep the session's Arrow batches below so many bytes: a worker holds several copies of the one it works on."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(64 << 20)).rstrip("bB")) > most_bytes:
+        spark.conf.set(name, str(most_bytes))
+
+
 def arrow_schema(ddl: str):
     """The Arrow form of a schema string; on the driver, since it is Spark that reads the string."""
     from pyspark.sql.pandas.types import to_arrow_schema

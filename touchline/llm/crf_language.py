@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import in_fold
+from touchline.llm.common import held, in_fold
 
 TEXTS, LONGEST_TRAINING, MOST_LANGUAGES, LEXICON = 250, 20_000, 64, 400
 #: Hashed features; words in a chain; chains, epochs and step of training; words a worker remembers.
@@ -240,16 +240,6 @@ class Reader:
         return [UNKNOWN if z else self.field.languages[b] for b, z in zip(best, none)], scores.tolist(), np.clip(sure / np.maximum(sizes, 1), 0, 1).tolist()
 
 
-_READERS: dict[str, Reader] = {}
-
-
-def _reader(token: str, field: Field) -> Reader:
-    if token not in _READERS:
-        _READERS.clear()  # a worker serves one field at a time
-        _READERS[token] = Reader(field)
-    return _READERS[token]
-
-
 def predict(text: str | Column, field: Field | None, spark) -> Column:
     """Struct of `lang_pred`, `score` and `certainty`, that of the words whatever their languages, for every whole text."""
     if field is None:
@@ -260,7 +250,7 @@ def predict(text: str | Column, field: Field | None, spark) -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double, certainty: double>")
     def languages(texts: pa.Array) -> pa.Array:
-        reader, names, scores, sure = _reader(token, shared.value), [], [], []
+        reader, names, scores, sure = held(("field", token), lambda: Reader(shared.value)), [], [], []
         for start in range(0, len(texts), 1_000):
             part = reader.predict(texts.slice(start, 1_000).to_pylist())
             names += part[0]

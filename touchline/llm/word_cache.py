@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
 
 import numpy as np
 
+from touchline.llm.common import held
+
 #: Most pieces in each of a worker's two generations, and the longest; others are encoded where they occur.
 MOST_PIECES, LONGEST_PIECE = 450_000, 64
 #: A character that stands between pieces when many are encoded in one call.
@@ -79,10 +80,9 @@ class PieceCache:
         return out
 
 
-@lru_cache(maxsize=2)
 def piece_cache(path: str) -> PieceCache:
     """A worker's memory for the tokenizer file at `path`."""
-    return PieceCache(path)
+    return held(("pieces", path), lambda: PieceCache(path))
 
 
 def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
