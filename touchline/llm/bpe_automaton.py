@@ -7,14 +7,16 @@ state with an arc for every byte. Each merge (u, v) -> w, in order of rank, appl
 * every state that has an arc u, and from there had v, gains an arc w;
 * w leads to a copy of the state v led to, as it was before later merges.
 
-So a state is named by the token that leads to it. Copies are not written out: a state keeps its own
-cuts with their ranks, the state it was copied from, and the rank at which that happened; the
-arcs of a state are looked up through that chain and then remembered in a transition table.
+So a state is named by the token that leads to it, and a transition is a pair of tokens. Copies are not written out: after the last gadget the
+automaton is compiled into flat arrays - the state each state was copied from, the rank at which, and a hash table of (state, label) with the rank
+at which that arc was cut - and an arc is looked up by walking a few of their entries.
 
-A word is encoded by running through its bytes once: at every position exactly one state is reached,
-since each prefix has exactly one spelling, and the arcs taken are the tokens.
+A word is encoded by running through its bytes once: at every position exactly one state is reached, since each prefix has
+exactly one spelling, and the arcs taken are the tokens. Words that a worker has not met are run together, one position of all of them at a
+time, so that time goes with their bytes times the length of the longest tokens that begin there.
 
-Texts: NULL is the empty text and gives no ids. Special tokens in a text become their own ids.
+Texts: NULL is the empty text and gives no ids. Special tokens in a text become their own ids. Whole texts are encoded, however long; words
+of more than `LONGEST_WORD` bytes are run one by one. Repeated rows get equal ids, empty tables give none, other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +35,45 @@ from touchline.llm.common import held
 _S = r"\t-\r \x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 COMMON = "\u0558"
-#: Most entries of a worker's memories: pieces of text, words, transitions.
-MOST = 600_000
-LONGEST_PIECE = 64
+#: Most words in each of a worker's two generations; the longest word that is run with others; bytes run at a time.
+MOST, LONGEST_WORD, CELLS = 250_000, 64, 400_000
+
+
+class Table:
+    """Integer keys (not negative) to integers: open addressing in two arrays, asked for many keys at once."""
+
+    def __init__(self, entries: dict[int, int]):
+        keys = np.fromiter(entries.keys(), np.int64, len(entries))
+        values = np.fromiter(entries.values(), np.int64, len(entries))
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        home, left, self.probes = self._home(keys), np.arange(len(keys)), 0
+        while len(left):
+            at = home[left] + self.probes & len(self.keys) - 1
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            here = self.keys[at] == keys[left]
+            self.values[at[here]] = values[left[here]]
+            left, self.probes = left[~here], self.probes + 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values; -1 for keys that are not there."""
+        at = self._home(keys)
+        out, found = self.values[at], self.keys[at]
+        out[found != keys] = -1
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        for probe in range(1, self.probes):
+            if not len(left):
+                break
+            place = at[left] + probe & len(self.keys) - 1
+            found = self.keys[place]
+            here = found == keys[left]
+            out[left[here]] = self.values[place[here]]
+            left = left[~here & (found >= 0)]
+        return out
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,7 +105,7 @@ class Automaton:
                 self._add(vocab[letter], spell(letter), -1)
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
-        self.moves: dict[int, bool] = {}
+        self._compile()
 
     def _add(self, token: int, label: bytes, rank: int) -> None:
         if token in self.born:
@@ -108,32 +146,109 @@ class Automaton:
             # an arc w was added where the state had u when w's own cut was already made
             until, label = min(until, self.born[label] + 1), self.left[label]
 
-    def _follows(self, key: int) -> bool:
-        """Whether the state in the key's upper half has the arc in its lower half; goes into the transition table."""
-        if len(self.moves) >= 4 * MOST:
-            self.moves.clear()
-        known = self.moves[key] = self._has(key >> 32, key & 0xFFFFFFFF, 1 << 40)
-        return known
+    def _compile(self) -> None:
+        """The flat arrays that words are run through."""
+        size = max(self.born, default=-1) + 1
+        self.flat_left, self.flat_origin, self.flat_born = (np.full(size, -1, np.int64) for _ in range(3))
+        for flat, of in ((self.flat_left, self.left), (self.flat_origin, self.origin), (self.flat_born, self.born)):
+            flat[list(of)] = list(of.values())
+        self.cuts = Table({u << 32 | v: rank for (u, v), rank in self.cut.items()})
+        self.steps, self.tokens = Table(self.step), np.array(self.token, np.int64)
+
+    def follows(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Whether each state has its arc; a walk along copies and added arcs, as in `_has`, for all pairs at once."""
+        ok = np.ones(len(state), bool)
+        todo, s, label = np.arange(len(state)), state.copy(), label.copy()
+        first, until = state.copy(), np.full(len(state), 1 << 40, np.int64)
+        limit = until.copy()
+        while len(todo):
+            rank = self.cuts.get(s << 32 | label)
+            cut = (rank >= 0) & (rank < limit)
+            ok[todo[cut]] = False
+            origin, left = self.flat_origin[s], self.flat_left[label]
+            copied = origin >= 0
+            # on to the state this one was copied from, or, where copies end, to the arc this arc was added for
+            new_s = np.where(copied, origin, first)
+            new_limit = np.where(copied, np.minimum(limit, self.flat_born[s]), np.minimum(until, self.flat_born[label] + 1))
+            until = np.where(copied, until, new_limit)
+            goes = ~cut & (copied | (left >= 0))
+            label = np.where(copied, label, left)[goes]
+            todo, s, limit, until, first = todo[goes], new_s[goes], new_limit[goes], until[goes], first[goes]
+        return ok
+
+    def encode_many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        start = 0
+        while start < len(order):
+            stop = start + 1
+            while stop < len(order) and (stop + 1 - start) * len(words[order[stop]]) <= CELLS:
+                stop += 1
+            part = order[start:stop]
+            for k, ids in zip(part, self._run([words[k] for k in part])):
+                out[k] = ids
+            start = stop
+        return out
+
+    def _run(self, words: list[bytes]) -> list[bytes]:
+        """The same for words of ascending lengths, all positions in one matrix."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(lengths[-1])
+        if not width:
+            return [b""] * len(words)
+        cells = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).astype(np.int64)
+        begin = np.flatnonzero(np.arange(width)[None, :] < lengths[:, None])
+        last = begin // width * width + lengths[begin // width]  # the cell behind its word
+        node, arcs, size = np.zeros(len(begin), np.int64), [], 0
+        while len(begin):  # every token that begins in a cell, by length
+            node = self.steps.get(node << 8 | cells[begin + size])
+            size += 1
+            token = np.where(node >= 0, self.tokens[node], -1)
+            arcs.append((begin[token >= 0], np.full(int((token >= 0).sum()), size), token[token >= 0]))
+            on = (node >= 0) & (begin + size < last)
+            begin, last, node = begin[on], last[on], node[on]
+        begin, size, token = (np.concatenate(c) for c in zip(*arcs))
+        column = begin % width
+        by_column = np.argsort(column, kind="stable")
+        border = np.searchsorted(column[by_column], np.arange(width + 1))
+        reached, came = np.full(len(words) * (width + 1), -1, np.int64), np.zeros(len(words) * (width + 1), np.int64)
+        place = begin + begin // width  # a column more: a word's end is a position, too
+        for k in range(width):
+            here = by_column[border[k] : border[k + 1]]
+            if k:
+                here = here[self.follows(reached[place[here]], token[here])]
+            reached[place[here] + size[here]] = token[here]
+            came[place[here] + size[here]] = size[here]
+        at, row = np.arange(len(words)) * (width + 1) + lengths, np.arange(len(words))
+        taken, count = np.zeros((len(words), width), "<u4"), np.zeros(len(words), np.int64)
+        row, at = row[lengths > 0], at[lengths > 0]
+        while len(row):
+            count[row] += 1
+            taken[row, width - count[row]] = reached[at]
+            at = at - came[at]
+            on = at % (width + 1) > 0
+            row, at = row[on], at[on]
+        raw, stride = taken.tobytes(), 4 * width
+        return [raw[(k + 1) * stride - 4 * n : (k + 1) * stride] for k, n in enumerate(count.tolist())]
 
     def encode(self, word: bytes) -> list[int]:
-        """The tokens of one word, in time linear in its length."""
-        n, step, tokens, moves = len(word), self.step.get, self.token, self.moves.get
+        """The tokens of one word, of any length."""
+        n, step = len(word), self.step.get
         reached, came = [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            state, node = reached[i] << 32, 0
+            ends, node = [], 0
             for j in range(i, n):
                 node = step(node << 8 | word[j])
                 if node is None:
                     break
-                token = tokens[node]
-                if token >= 0:
-                    if i:
-                        move = moves(state | token)
-                        if move is None:
-                            move = self._follows(state | token)
-                        if not move:
-                            continue
-                    reached[j + 1], came[j + 1] = token, i
+                if self.token[node] >= 0:
+                    ends.append((j + 1, self.token[node]))
+            if i:
+                fits = self.follows(np.full(len(ends), reached[i], np.int64), np.array([t for _, t in ends], np.int64)).tolist()
+                ends = [e for e, ok in zip(ends, fits) if ok]
+            for j, token in ends:
+                reached[j], came[j] = token, i
         out, at = [], n
         while at:
             out.append(reached[at])
@@ -142,7 +257,10 @@ class Automaton:
 
 
 class Codec:
-    """A tokenizer file's vocabulary, merges and special tokens; a worker's memory of pieces."""
+    """A tokenizer file's vocabulary, merges and special tokens; a worker's memory of words.
+
+    When the young generation is full it becomes the old one, so words in use survive.
+    """
 
     def __init__(self, path: str):
         import regex
@@ -156,11 +274,11 @@ class Codec:
         self.pattern = regex.compile(WORDS)
         self.library_split = None
         self.path = path
-        self.blanks = regex.compile(r"\s\s")
         longest_first = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.fixed = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """A text's words. Versions of Unicode disagree on letters beyond `COMMON`; there the library splits."""
@@ -172,44 +290,49 @@ class Codec:
             self.library_split = Tokenizer.from_file(self.path).pre_tokenizer.pre_tokenize_str
         return [text[begin:end] for _, (begin, end) in self.library_split(text)]
 
-    def _word(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
-            if len(self.known) >= MOST:
-                self.known.clear()
-            if len(word) <= LONGEST_PIECE:
-                self.known[word] = ids
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = b"".join(map(self._word, self.words(piece)))
-            if len(self.pieces) >= MOST:
-                self.pieces.clear()
-            if len(piece) <= LONGEST_PIECE:
-                self.pieces[piece] = ids
-        return ids
-
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens. Before a single space a word always ends, so pieces can be remembered."""
-        if self.blanks.search(text):
-            return b"".join(map(self._word, self.words(text)))
-        first, *rest = text.split(" ")
-        get, make = self.pieces.get, self._piece
-        return make(first) + b"".join([get(p) or make(p) for p in [" " + r for r in rest]])
+    def _learn(self, wanted: list[str]) -> None:
+        """Words that are not in the young generation: from the old one, or run through the automaton."""
+        new = []
+        for word in wanted:
+            ids = self.fixed.get(word) or self.old.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.young[word] = ids
+        raw = [w.encode() for w in new]
+        short = [k for k, w in enumerate(raw) if len(w) <= LONGEST_WORD]
+        self.young.update(zip([new[k] for k in short], self.automaton.encode_many([raw[k] for k in short])))
+        for word, w in zip(new, raw):
+            if len(w) > LONGEST_WORD:
+                self.young[word] = np.array(self.automaton.encode(w), "<u4").tobytes()
+
+    def _parts(self, text: str) -> list[str]:
+        """Words of a text, and the special tokens in it, which no word equals."""
+        if not text:
+            return []
+        if not (self.specials and any(s in text for s in self.special)):
+            return self.words(text)
+        return [w for k, part in enumerate(self.specials.split(text)) if part for w in ([part] if k % 2 else self.words(part))]
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        cut = [self._parts(t) for t in texts]
+        met = set().union(*cut)
+        wanted = [p for p in met if p not in self.young]
+        if len(self.young) + len(wanted) > MOST:
+            self.old, self.young = self.young, {}
+            wanted = list(met)
+        self._learn(wanted)
+        get = self.young.__getitem__
+        out = [b"".join(map(get, parts)) for parts in cut]
+        for p in wanted:
+            if len(p) > LONGEST_WORD:
+                del self.young[p]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.specials and any(s in text for s in self.special):
-            parts = self.specials.split(text)
-            return b"".join(
-                np.array([self.special[p]], "<u4").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts) if p
-            )
-        return self._plain(text)
+        """Ids of one text."""
+        return self.encode_texts([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -226,7 +349,8 @@ def encode(text: str | Column, path: str) -> Column:
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        return pa.array([c.encode(t or "") for t in texts.to_pylist()], pa.binary())
+        runs = (texts.slice(k, 256).to_pylist() for k in range(0, len(texts), 256))
+        return pa.array([ids for run in runs for ids in c.encode_texts([t or "" for t in run])], pa.binary())
 
     return ids(text)
 
