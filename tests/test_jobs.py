@@ -183,20 +183,56 @@ def test_admission_batch_equals_greedy(spark, stream_rows, limit):
         assert {10001, 10002} <= got and 10003 not in got
 
 
-def test_admission_stream_equals_greedy(spark, stream_rows, tmp_path):
-    source, ordered = str(tmp_path / "in"), sorted(stream_rows, key=lambda e: e[1])
+@pytest.mark.parametrize("limit", [1, 4])
+def test_admission_of_a_hot_dense_key(spark, limit):
+    """A third of all events on one key without any gap, over many ranges: one more scan settles what crosses them."""
+    rng, rows, us = random.Random(limit), [], 0
+    for i in range(100_000):
+        us += rng.randrange(1, 3_000_000)
+        rows.append(("hot", us, i))
+    rows += [(f"k{i % 97}", rng.randrange(us), 200_000 + i) for i in range(150_000)]
+    rows += [(None, rng.randrange(us), 400_000 + i) for i in range(50_000)] + [("tie", 5, 500_000 + i) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, us long, id long").withColumn("ts", F.timestamp_micros("us"))
+    late = spark.createDataFrame([("hot", 600_000)], "k string, id long").select("k", F.lit(0).cast("long").alias("us"), "id", F.lit(None).cast("timestamp").alias("ts"))
+    got = [r["id"] for r in admission.admit(df.union(late), key="k", ts="ts", event_id="id", limit=limit, window_seconds=60).collect()]
+    want = greedy([(k or "", us, i) for k, us, i in rows], limit, 60)
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_admission_chains():
+    def ends(part, first, last, open_, times):
+        return [dict(part=part, of="first", k=first[0], _us=first[1], open=open_, times=[]), dict(part=part, of="last", k=last[0], _us=last[1], open=open_, times=times)]
+
+    rows = ends(0, ("a", 0), ("b", 5), False, [5]) + ends(1, ("b", 6), ("b", 9), True, [6]) + ends(2, ("b", 9), ("c", 1), False, [1]) + ends(4, ("c", 50), ("c", 60), True, [60])
+    chain_of, states = admission.chains(rows, "k", 10)
+    assert chain_of == {1: 1, 2: 1} and states == {1: [5]}
+
+
+def test_admission_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, ts timestamp, id long")
+    assert admission.admit(df, key="k", ts="ts", event_id="id", limit=1, window_seconds=60).collect() == []
+
+
+@pytest.mark.parametrize("delay", [600, 3600])
+def test_admission_stream_equals_greedy_on_shuffled_events(spark, stream_rows, tmp_path, delay):
+    """Files hold events out of order, as late as the watermark allows, and the order of times decides, not that of arrival."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", admission.STATE_STORE)
+    source, rng = str(tmp_path / "in"), random.Random(delay)
+    arrival = sorted(stream_rows, key=lambda e: e[1] + rng.randrange(delay * 900_000))
     schema = "k string, us long, id long"
     os.makedirs(source)
-    for n in range(4):
-        part = ordered[n * len(ordered) // 4:(n + 1) * len(ordered) // 4]
+    size = len(arrival) // 6 + 1
+    for n in range(6):
+        part = arrival[n * size : (n + 1) * size] + ([("flush", 10**13, 10**6)] if n == 5 else [])
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
     df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).select("k", "id", F.timestamp_micros(F.col("us") + 86_400_000_000).alias("ts"))
-    out = admission.admit_stream(df, key="k", ts="ts", event_id="id", limit=3, window_seconds=60, delay="1 hour")
-    q = out.writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    out = admission.admit_stream(df, key="k", ts="ts", event_id="id", limit=3, window_seconds=60, delay=f"{delay} seconds")
+    name = f"admitted_{delay}"
+    q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
     assert q.exception() is None
-    got = {r["id"] for r in spark.sql("select id from admitted").collect()}
-    assert got == greedy(stream_rows, 3, 60)
+    got = [r["id"] for r in spark.sql(f"select id from {name}").collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(stream_rows, 3, 60)
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
