@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from touchline.llm.common import held
+from touchline.llm.common import held, no_collection
 
 #: Fixed values of byte-level vocabularies: the pattern that splits a text into words.
 #: White space is the Unicode property, spelled out.
@@ -350,7 +350,8 @@ def encode(text: str | Column, path: str) -> Column:
     def ids(texts: pa.Array) -> pa.Array:
         c = codec(path)
         runs = (texts.slice(k, 256).to_pylist() for k in range(0, len(texts), 256))
-        return pa.array([ids for run in runs for ids in c.encode_texts([t or "" for t in run])], pa.binary())
+        with no_collection():
+            return pa.array([ids for run in runs for ids in c.encode_texts([t or "" for t in run])], pa.binary())
 
     return ids(text)
 

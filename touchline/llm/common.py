@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,18 @@ def release() -> None:
     _HELD.clear()
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Work that makes many objects but no cycles: a collection would only walk through what the worker keeps, again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
     """Keep the session's Arrow batches below so many bytes: a worker holds several copies of the one it works on."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

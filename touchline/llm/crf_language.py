@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import held, in_fold
+from touchline.llm.common import held, in_fold, no_collection
 
 TEXTS, LONGEST_TRAINING, MOST_LANGUAGES, LEXICON = 250, 20_000, 64, 400
 #: Hashed features; words in a chain; chains, epochs and step of training; words a worker remembers.
@@ -252,7 +252,8 @@ def predict(text: str | Column, field: Field | None, spark) -> Column:
     def languages(texts: pa.Array) -> pa.Array:
         reader, names, scores, sure = held(("field", token), lambda: Reader(shared.value)), [], [], []
         for start in range(0, len(texts), 1_000):
-            part = reader.predict(texts.slice(start, 1_000).to_pylist())
+            with no_collection():
+                part = reader.predict(texts.slice(start, 1_000).to_pylist())
             names += part[0]
             scores += part[1]
             sure += part[2]

@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
-from touchline.llm.common import held
+from touchline.llm.bpe_automaton import byte_letters
+from touchline.llm.common import held, no_collection
 
 #: Most pieces in each of a worker's two generations, and the longest; others are encoded where they occur.
 MOST_PIECES, LONGEST_PIECE = 450_000, 64
 #: A character that stands between pieces when many are encoded in one call.
 MARK = "\x01"
+#: A run of Latin-1 letters, then perhaps a run of signs: two pre-tokens at most, which NFC leaves alone.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 class PieceCache:
@@ -41,11 +45,55 @@ class PieceCache:
         self.mark = mark[0] if len(mark) == 1 else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.bare = self._bare_tokenizer(path, spec)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _bare_tokenizer(self, path: str, spec: dict):
+        """The model alone, for words already spelled in byte letters, if the file cuts letters from signs and marks where words end."""
+        kinds = [p["type"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not (suffix and self.lowers and kinds == ["Split", "ByteLevel"]):
+            return None
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        bare = Tokenizer.from_file(path)
+        bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.ends_word = np.zeros(bare.get_vocab_size(), bool)
+        self.ends_word[[k for token, k in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        return bare
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin-1 letters, a thousand at a time, told apart by tokens that end a word."""
+        out: list[bytes] = []
+        for start in range(0, len(words), 1000):
+            part = words[start : start + 1000]
+            spelled = " ".join([w if w.isascii() else w.lower().encode().decode("latin-1").translate(self.letters) for w in part])
+            ids = np.array(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+            at, raw = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist(), ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
+        if len(out) != len(words):
+            raise ValueError("a word without an end")
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
+        """Put pieces into the young generation: letters and the signs behind them apart where that is the same, the rest as they are."""
+        if self.bare is None:
+            return self._encode_pieces(pieces)
+        found = list(map(PLAIN.fullmatch, pieces))
+        split = [(p, *m.groups()) for p, m in zip(pieces, found) if m]
+        words = {w for _, w, _ in split}
+        known = {w: ids for w in words if (ids := self.young.get(w) or self.old.get(w))}
+        new = [w for w in words if w not in known]
+        known.update(zip(new, self._words(new)))
+        signs = {s for *_, s in split if s not in self.young}
+        self._encode_pieces([p for p, m in zip(pieces, found) if not m] + list(signs))
+        young = self.young
+        young.update([(p, known[w] + young[s]) for p, w, s in split])
+
+    def _encode_pieces(self, pieces: list[str]) -> None:
         """Encode pieces a hundred at a time, told apart by the mark's id."""
         plain = [p for p in pieces if MARK not in p] if self.mark is not None else []
         for start in range(0, len(plain), 100):
@@ -65,10 +113,11 @@ class PieceCache:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        wanted = {p for pieces in cut for p in pieces if p not in self.young}
+        met = set().union(*cut)
+        wanted = [p for p in met if p not in self.young]
         if wanted and len(self.young) + len(wanted) > MOST_PIECES:
             self.old, self.young = self.young, {}
-            wanted = {p for pieces in cut for p in pieces}
+            wanted = list(met)
         kept = {p: i for p in wanted if (i := self.old.get(p)) is not None}
         self.young.update(kept)
         new = [p for p in wanted if p not in kept]
@@ -89,5 +138,6 @@ def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of every whole text (NULL: of the empty text), 256 texts at a time."""
     cache, out = piece_cache(path), []
     for start in range(0, len(texts), 256):
-        out += cache.ids([t or "" for t in texts[start : start + 256]])
+        with no_collection():
+            out += cache.ids([t or "" for t in texts[start : start + 256]])
     return out
