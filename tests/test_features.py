@@ -83,6 +83,25 @@ def test_feature_table_matches_pandas(df, pdf, largest):
         assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True, atol=1e-9), c
 
 
+@pytest.mark.parametrize("largest", [10, 1000])
+def test_feature_table_over_long_gaps(spark, largest):
+    """A value, then none for longer than weights reach: the mean stays what it was, at either venue and in the ratios."""
+    n = 240
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"team": "A", "datetime": pd.date_range("2024-01-01", periods=n, freq="h"), "is_home": rng.integers(0, 2, n)})
+    for c in ("goals", "xG", "goals_against", "xGA", "win", "loss", "draw"):
+        pdf[c] = np.where((np.arange(n) < 3) | (np.arange(n) == n - 4), rng.integers(1, 4, n), np.nan)
+    rows = [tuple(None if isinstance(v, float) and np.isnan(v) else v for v in (r.team, r.datetime.to_pydatetime(), int(r.is_home), r.goals, r.xG, r.goals_against, r.xGA, r.win, r.loss, r.draw)) for r in pdf.itertuples()]
+    df = spark.createDataFrame(rows, "team string, datetime timestamp, is_home int, goals double, xG double, goals_against double, xGA double, win double, loss double, draw double")
+    got = ordered(features.feature_table(df, fill_method="none", max_entity_rows=largest))
+    mean = lambda s: s.shift(1).ewm(span=5).mean()
+    want = {f"rolling_{c}_avg": mean(pdf[c]) for c in features.METRICS} | {"goal_efficiency": mean(pdf.goals) / mean(pdf.xG)}
+    for venue, name in ((1, "home_win_rate"), (0, "away_win_rate")):
+        want[name] = mean(pdf[pdf.is_home == venue].win).reindex(pdf.index)
+    for name, values in want.items():
+        assert np.allclose(got[name].astype(float), values.astype(float), equal_nan=True, atol=1e-9), name
+
+
 def test_small_entities_need_one_shuffle(df):
     plan = lambda largest: features.feature_table(df, max_entity_rows=largest)._jdf.queryExecution().executedPlan().toString()
     assert plan(1000).count("Exchange hashpartitioning") == 1
@@ -135,6 +154,15 @@ def test_validation():
         features.validate_features(Fake(["team", "datetime"]))
 
 
+def test_feature_names_start_no_job(spark, df):
+    model = FeatureExtractor(lags=[1, 2], add_rest_days=False).fit(df)
+    spark.sparkContext.setJobGroup("names", "names")
+    names = model.get_feature_names_out(df)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("names")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert names == model.transform(df).columns and "days_since_last_match" not in names
+
+
 def test_transformer_surface(spark, df, tmp_path):
     extractor = FeatureExtractor(lags=[1], fill_method="mean")
     model = extractor.fit(df)

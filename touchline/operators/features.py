@@ -118,7 +118,7 @@ def venue_win_rates(df: DataFrame, track: Track, span: float = 5, win: str = "wi
     A position column already on the rows must count within the venue.
     """
     by_venue = replace(track, entity=[*track.entity, is_home])
-    out = ewm_features(df, by_venue, {"_rate": win}, span, long_gaps=False)
+    out = ewm_features(df, by_venue, {"_rate": win}, span)
     return out.withColumns(
         {
             "home_win_rate": F.when(F.col(is_home) == 1, F.col("_rate")),
@@ -224,7 +224,30 @@ def _bounded_features(
         return {name: column for part in parts for name, column in part(w, offset).items()}
 
     out = looking_back(df, track.entity, POSITION, reach, columns, size)
-    return out if span > 1 else ewm_features(out, track, means, span)
+    if span <= 1:
+        return ewm_features(out, track, means, span)
+    # where no value lies within reach the mean is still the one of the last row that had one
+    return running(out, track, last_until={name: F.col(name) for name in means})
+
+
+def feature_columns(
+    columns: Sequence[str], *, lags: Sequence[int] = (1, 3, 5), add_win_rates: bool = True, add_form_streaks: bool = True,
+    add_rest_days: bool = True, **_,
+) -> list[str]:
+    """Names of the columns `feature_table` returns for rows with `columns`, in their order."""
+    has = set(columns)
+    metrics = [c for c in METRICS if c in has]
+    flags = {"win", "draw", "loss"} <= has and add_form_streaks
+    found = [f"cumsum_{c}" for c in metrics]
+    found += ["win_streak", "loss_streak", "unbeaten_streak"] if flags else []
+    found += ["days_since_last_match"] if add_rest_days else []
+    found += [f"{c}_lag_{k}" for k in lags for c in LAGGED if c in has]
+    found += [f"rolling_{c}_avg" for c in metrics]
+    found += ["recent_form"] if flags else []
+    found += ["goal_efficiency"] if {"goals", "xG"} <= has else []
+    found += ["defensive_efficiency"] if {"goals_against", "xGA"} <= has else []
+    found += ["home_win_rate", "away_win_rate"] if {"win", "is_home"} <= has and add_win_rates else []
+    return [*[c for c in columns if c not in found], *found]
 
 
 def feature_table(
@@ -281,5 +304,7 @@ def feature_table(
         played = F.when(F.col("is_home") == 1, F.col("_homes")).otherwise(F.col("_aways"))
         out = out.withColumn(POSITION, F.coalesce(played, F.lit(0)) + 1).drop("_homes", "_aways")
         out = venue_win_rates(out, track, rolling_window)
-    out = out.drop(POSITION)
+    out = out.select(*feature_columns(
+        original, lags=lags, add_win_rates=add_win_rates, add_form_streaks=add_form_streaks, add_rest_days=add_rest_days
+    ))
     return fill(out, track, numeric_columns(out, skip=["team"]), fill_method)

@@ -136,20 +136,43 @@ def fill_median(spark, sf):
     return features.fill(e, USER, ["cents"], "median").select("event_id", "cents")
 
 
-@query("feature_table", sql("""CTE v AS (SELECT *, row_number() OVER (PARTITION BY team, is_home ORDER BY datetime, match_no) AS vp FROM l),
+#: Every feature of the table in SQL: name -> (expression over a team's rows in order, type or None to round).
+_EARLIER = "(w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_SOURCES = {"goals": "goals", "xG": "xg_c", "goals_against": "goals_against", "xGA": "xga_c", "win": "win", "loss": "loss", "draw": "draw", "is_home": "lp.is_home"}
+
+
+def _in_units(c: str, expression: str) -> tuple[str, str | None]:
+    """Hundredths are divided last."""
+    return (f"({expression}) / 100.0::DOUBLE", None) if c.startswith("x") else (expression, "INT")
+
+
+TABLE = {
+    **{f"{c}_lag_{k}": _in_units(c, f"lag({x}, {k}) OVER w") for c, x in _SOURCES.items() for k in (1, 3, 5)},
+    **{f"cumsum_{c}": (_in_units(c, f"sum({_SOURCES[c]}) OVER {_EARLIER}")[0], None if c.startswith("x") else "BIGINT") for c in features.METRICS},
+    **{f"rolling_{c}_avg": (_in_units(c, f"{_SOURCES[c]}_e")[0], None) for c in features.METRICS},
+    "goal_efficiency": ("goals_e / nullif(xg_c_e / 100.0::DOUBLE, 0)", None),
+    "defensive_efficiency": ("1 - goals_against_e / nullif(xga_c_e / 100.0::DOUBLE, 0)", None),
+    "recent_form": ("sum(3 * win + draw) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", "BIGINT"),
+    **{f"{n}_streak": (f"pos - 1 - coalesce(max(CASE WHEN {of} = 0 THEN pos END) OVER {_EARLIER}, 0)", "BIGINT")
+       for n, of in (("win", "win"), ("loss", "loss"), ("unbeaten", "win + draw"))},
+    "days_since_last_match": ("date_diff('day', lag(datetime) OVER w, datetime)", "INT"),
+    "home_win_rate": ("CASE WHEN lp.is_home = 1 THEN rate END", None),
+    "away_win_rate": ("CASE WHEN lp.is_home = 0 THEN rate END", None),
+}
+
+
+def _filled(name: str, kind: str | None) -> str:
+    value = f"last_value({name} IGNORE NULLS) OVER w"
+    return f"CAST({value} AS {kind}) AS {name}" if kind else f"round({value}, 6) AS {name}"
+
+
+@query("feature_table", sql(f"""CTE v AS (SELECT *, row_number() OVER (PARTITION BY team, is_home ORDER BY datetime, match_no) AS vp FROM l),
 r AS (SELECT a.match_no, a.team, a.is_home, sum(b.win * pow(DECAY, a.vp - 1 - b.vp)) / sum(pow(DECAY, a.vp - 1 - b.vp)) AS rate
   FROM v a LEFT JOIN v b ON a.team = b.team AND a.is_home = b.is_home AND b.vp BETWEEN a.vp - 150 AND a.vp - 1 GROUP BY 1, 2, 3),
-f AS (SELECT lp.match_no, lp.team, lp.is_home, pos, goals_e, xg_c_e / 100 AS xg_e, goals_e / nullif(xg_c_e / 100.0::DOUBLE, 0) AS ge,
-  lag(goals, 5) OVER w AS g5, sum(goals) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cg,
-  sum(3 * win + draw) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS rf,
-  pos - 1 - coalesce(max(CASE WHEN win = 0 THEN pos END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ws,
-  date_diff('day', lag(datetime) OVER w, datetime) AS rest, CASE WHEN lp.is_home = 1 THEN rate END AS hw
+f AS (SELECT lp.match_no, lp.team, lp.is_home, pos, {", ".join(f"{x} AS {n}" for n, (x, _) in TABLE.items())}
   FROM lp JOIN ewm4 e ON e.match_no = lp.match_no AND e.team = lp.team JOIN r ON r.match_no = lp.match_no AND r.team = lp.team
   WINDOW w AS (PARTITION BY lp.team ORDER BY pos))
-SELECT match_no, team, is_home, CAST(last_value(g5 IGNORE NULLS) OVER w AS INT) AS goals_lag_5, round(last_value(goals_e IGNORE NULLS) OVER w, 6) AS rolling_goals_avg,
-  round(last_value(ge IGNORE NULLS) OVER w, 6) AS goal_efficiency, CAST(last_value(cg IGNORE NULLS) OVER w AS BIGINT) AS cumsum_goals,
-  CAST(last_value(rf IGNORE NULLS) OVER w AS BIGINT) AS recent_form, CAST(ws AS BIGINT) AS win_streak,
-  CAST(last_value(rest IGNORE NULLS) OVER w AS INT) AS days_since_last_match, round(last_value(hw IGNORE NULLS) OVER w, 6) AS home_win_rate
+SELECT match_no, team, is_home, {", ".join(_filled(n, kind) for n, (_, kind) in TABLE.items())}
 FROM f WINDOW w AS (PARTITION BY team ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""".replace("DECAY", decay_sql(5)), *LP, "ewm4"))
 def feature_table(spark, sf):
     rows = fx.team_rows(spark, sf).select(
@@ -157,11 +180,7 @@ def feature_table(spark, sf):
         (F.col("xg_c") / 100).alias("xG"), (F.col("xga_c") / 100).alias("xGA"),
     )
     out = features.feature_table(rows, tiebreak=["match_no"])
-    return out.select(
-        "match_no", "team", "is_home", "goals_lag_5", F.round("rolling_goals_avg", 6).alias("rolling_goals_avg"),
-        F.round("goal_efficiency", 6).alias("goal_efficiency"), "cumsum_goals", "recent_form", "win_streak",
-        "days_since_last_match", F.round("home_win_rate", 6).alias("home_win_rate"),
-    )
+    return out.select("match_no", "team", "is_home", *[F.col(n) if kind else F.round(n, 6).alias(n) for n, (_, kind) in TABLE.items()])
 
 
 ASOF = """SELECT {cols} FROM l ASOF LEFT JOIN ratings r ON l.team = r.team AND l.datetime >= r.valid_from"""

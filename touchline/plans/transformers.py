@@ -99,5 +99,6 @@ class FeatureExtractorModel(Model, _FeatureParams, DefaultParamsReadable, Defaul
         return table.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in values.items()})
 
     def get_feature_names_out(self, dataset: DataFrame) -> list[str]:
-        """Output columns for an input of this shape; read off the plan, nothing runs."""
-        return self._table(dataset, "none").columns
+        """Output columns for an input of this shape; from its column names, nothing runs."""
+        options = {p: self.getOrDefault(getattr(self, p)) for p in ("lags", "add_win_rates", "add_form_streaks", "add_rest_days")}
+        return features.feature_columns(dataset.columns, **options)
