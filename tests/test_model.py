@@ -131,10 +131,12 @@ def test_grid_sums_to_one_and_agrees_with_outcomes(spark):
 
 
 def test_outcomes_of_large_and_missing_rates(spark):
-    rows = [(1, 2.0, 1.0), (1, None, 1.0), (2, 800.0, 700.0), (3, None, None), (4, 0.0, 0.0), (5, 0.0, 3.0), (6, 1000.0, 1000.0)]
+    rows = [(1, 2.0, 1.0), (1, None, 1.0), (2, 280.0, 270.0), (3, None, None), (4, 0.0, 0.0), (5, 0.0, 3.0), (6, 300.0, 300.0)]
     rates = spark.createDataFrame(rows, "match_id long, lambda_home double, lambda_away double")
-    got = {r["match_id"]: r for r in P.outcome_probabilities(rates).collect()}
-    for match, home, away in ((1, 2.0, 1.0), (2, 800.0, 700.0), (6, 1000.0, 1000.0)):
+    got = {r["match_id"]: r for r in P.outcome_probabilities(rates, largest=300).collect()}
+    with pytest.raises(Exception, match="larger bound"):
+        P.outcome_probabilities(rates).collect()
+    for match, home, away in ((1, 2.0, 1.0), (2, 280.0, 270.0), (6, 300.0, 300.0)):
         want = exact_outcomes(home, away)
         assert [got[match][c] for c in ("home_win", "draw", "away_win")] == pytest.approx(want, abs=1e-9)
     assert got[3]["home_win"] is None and got[4]["draw"] == 1.0 and got[5]["draw"] == pytest.approx(math.exp(-3))

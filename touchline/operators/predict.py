@@ -150,40 +150,42 @@ def score_grid(rates: DataFrame, max_goals: int | None = None, by: Sequence[str]
     return sums.withColumn("tail", F.greatest(1 - inside, F.lit(0.0))).select(*by, "home_goals", cells, "tail")
 
 
-def outcome_of(home: Column, away: Column) -> Column:
-    """Win, draw and loss of two Poisson counts, summed term by term until both are past their tails.
+#: Terms worked out in one projection.
+TERMS_A_STEP = 7
 
-    The number of terms follows from the row's own rates (less than 1e-14 lies beyond). Terms are kept as logarithms, so that they do
-    not vanish for large rates. NULL if a rate is NULL.
-    """
-    top = F.greatest(home, away)
-    terms = F.sequence(F.lit(0), F.ceil(top + 8 * F.sqrt(top) + 12).cast("int"))
-    zero = F.lit(0.0)
-    state = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
-    start = state(h=-home, a=-away, h_to=zero, a_to=zero, win=zero, draw=zero, loss=zero)
-
-    def term(log: Column, rate: Column, k: Column) -> Column:
-        """Logarithm of the next term; none after the first for a rate of 0."""
-        return F.coalesce(log + F.log(rate / (k + 1)), F.lit(float("-inf")))
-
-    def step(s: Column, k: Column) -> Column:
-        h, a = F.exp(s["h"]), F.exp(s["a"])
-        h_to, a_to = s["h_to"] + h, s["a_to"] + a
-        return state(
-            h=term(s["h"], home, k), a=term(s["a"], away, k), h_to=h_to, a_to=a_to,
-            win=s["win"] + a * (1 - h_to), draw=s["draw"] + h * a, loss=s["loss"] + h * (1 - a_to),
-        )
 
-    return F.when(home.isNotNull() & away.isNotNull(), F.aggregate(terms, start, step, lambda s: state(home_win=s["win"], draw=s["draw"], away_win=s["loss"])))
+def outcomes(rates: DataFrame, home: str = "lambda_home", away: str = "lambda_away", largest: float = S.RATE_BOUNDS[1]) -> DataFrame:
+    """`rates` with `home_win`, `draw` and `away_win` of two Poisson counts; NULL if a rate is NULL.
 
-
-def outcome_probabilities(rates: DataFrame, by: Sequence[str] = ("match_id",)) -> DataFrame:
+    With t(k) the chance of more than k home goals over that of k, and x the product of the rates, the sums over all scores
+    are nested products: win(k) = t(k) + x / (k + 1)^2 win(k + 1), and so for draws. They are worked out from the last
+    term down as plain arithmetic in a few projections, so Spark compiles all of it. `largest` is the largest rate there may be,
+    the bound of clipped rates by default and 300 at most; it gives the number of terms (less than 1e-14 lies beyond). A larger rate stops the job.
+    """
+    if largest > 300:
+        raise ValueError("sums of rates above 300 leave the range of doubles")
+    out = rates.withColumns({"_x": F.col(home) * F.col(away), "_t": F.lit(1.0), "_w": F.lit(0.0), "_d": F.lit(1.0)})
+    for start in range(goals_to_cover(largest, 1e-14), -1, -TERMS_A_STEP):
+        t, win, draw = F.col("_t"), F.col("_w"), F.col("_d")
+        for k in range(start, max(start - TERMS_A_STEP, -1), -1):
+            beyond, onwards = F.lit(1 / (k + 1)) * F.col(home) * t, F.lit((k + 1) ** -2.0) * F.col("_x")
+            win, draw, t = beyond + onwards * win, 1 + onwards * draw, 1 + beyond
+        out = out.withColumns({"_t": t, "_w": win, "_d": draw})
+    none = F.exp(-(F.col(home) + F.col(away)))
+    out = out.withColumns({"_w": none * F.col("_w"), "_d": none * F.col("_d")})
+    too_large = F.raise_error(F.lit(f"a rate above {largest:g}: give outcomes() a larger bound"))
+    rest = F.when((F.col(home) > largest) | (F.col(away) > largest), too_large.cast("double")).otherwise(1 - F.col("_w") - F.col("_d"))
+    loss = F.when(rest < 0, F.lit(0.0)).otherwise(rest)
+    return out.select(*rates.columns, F.col("_w").alias("home_win"), F.col("_d").alias("draw"), loss.alias("away_win"))
+
+
+def outcome_probabilities(rates: DataFrame, by: Sequence[str] = ("match_id",), largest: float = S.RATE_BOUNDS[1]) -> DataFrame:
     """Home win, draw and away win: mean over draws of the exact probabilities of each draw's rates.
 
     Only three numbers per draw travel, summed map-side; draws without rates are left out of the mean.
     """
-    rows = rates.select(*by, outcome_of(F.col("lambda_home"), F.col("lambda_away")).alias("_o"))
-    return rows.groupBy(*by).agg(*[F.avg(f"_o.{c}").alias(c) for c in ("home_win", "draw", "away_win")])
+    rows = outcomes(rates.select(*by, "lambda_home", "lambda_away"), largest=largest)
+    return rows.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("home_win", "draw", "away_win")])
 
 
 def top_scores(grid: DataFrame, k: int = 10, by: Sequence[str] = ("match_id",), digits: int = 6) -> DataFrame:
