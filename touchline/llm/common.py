@@ -28,7 +28,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables once what was made of them is settled itself; nothing that is left to run may read them."""
+    for df in tables:
+        path = getattr(df, "settled_at", None)
+        jvm = getattr(df.sparkSession, "_jvm", None)
+        if path and jvm:
+            found = jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def in_fold(doc_id: str | Column) -> Column:

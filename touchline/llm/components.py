@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import settle
+from touchline.llm.common import discard, settle
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         down = large.where("a <> b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("_m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).union(least)
-        now = settle(small.where("a <> b").distinct(), "edges")
+        before, now = now, settle(small.where("a <> b").distinct(), "edges")
+        discard(before)
         was, state = state, _state(now)
         if state == was:
             return spark.createDataFrame([], "node long, root long") if state[0] == 0 else now.select(
