@@ -89,6 +89,65 @@ def test_xg_weight_finds_the_planted_slope(spark):
     assert abs(got["xg_weight"] - 0.8) < 0.08
 
 
+def test_slope_effects_are_the_optimum_with_standard_errors(spark):
+    """Two groups against a dense Newton fit in numpy; the standard error comes from its whole second-derivative matrix."""
+    rng = np.random.default_rng(2)
+    teams, rows = list("ABCDEF"), []
+    for g, slope in (("x", 0.7), ("y", -0.4)):
+        for k in range(900):
+            t, o = rng.choice(6, 2, replace=False)
+            x = float(rng.normal())
+            rows.append((g, teams[t], teams[o], k % 2, x, int(rng.poisson(np.exp(0.1 * t - 0.05 * o + 0.2 * (k % 2) + slope * x)))))
+    rows += [("x", None, "A", 1, 0.0, 9), ("x", "A", "B", 1, None, 9), ("y", "A", None, 0, 0.0, 9)]
+    df = spark.createDataFrame(rows, "g string, team string, opp_team string, is_home int, x double, goals int")
+    got = {(r["g"], r["kind"], r["team"]): (r["value"], r["se"]) for r in strength.slope_effects(df, F.col("x"), ["g"], prior=4.0).collect()}
+    for g in "xy":
+        known = [r for r in rows if r[0] == g and r[1] and r[2] and r[4] is not None]
+        design = np.zeros((len(known), 15))
+        for k, (_, t, o, home, x, _) in enumerate(known):
+            design[k, [0, 3 + teams.index(t), 9 + teams.index(o)]] = 1
+            design[k, 1:3] = home, x
+        y, theta, prior = np.array([r[5] for r in known]), np.zeros(15), np.r_[np.zeros(3), np.full(12, 4.0)]
+        for _ in range(60):
+            rate = np.exp(design @ theta)
+            slope = design.T @ (y - rate) + prior * (1 - np.exp(theta))
+            second = design.T @ (design * rate[:, None]) + np.diag(prior * np.exp(theta))
+            step = np.linalg.solve(second, slope)
+            theta += step * min(1, 1 / np.abs(step).max())
+        errors = np.sqrt(np.diag(np.linalg.inv(second)))
+        for k, kind in enumerate("mhb"):
+            assert got[g, kind, None] == pytest.approx((theta[k], errors[k]), abs=1e-7)
+        assert [got[g, "a", t][0] for t in teams] == pytest.approx(theta[3:9], abs=1e-7)
+        assert [got[g, "c", t][0] for t in teams] == pytest.approx(theta[9:], abs=1e-7)
+
+
+def test_unseen_opponents_keep_their_rows(spark):
+    data = [("AB"[i % 2], "BA"[i % 2], i % 2, 0.5 + i % 7 / 4, 1 + i % 3) for i in range(400)] + [("A", "C", 1, 1.0, 2)] * 50
+    df = spark.createDataFrame(data, "team string, opp_team string, is_home int, xG double, goals int")
+    known = spark.createDataFrame([("A", 0.2), ("B", -0.2)], "team string, defence double")
+    got = {r["parameter"]: r for r in strength.xg_weight(df, strengths=known).collect()}
+    without = {r["parameter"]: r for r in strength.xg_weight(df.where("opp_team <> 'C'"), strengths=known).collect()}
+    assert got["home"]["estimate"] != without["home"]["estimate"] and all(r["standard_error"] > 0 for r in got.values())
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_local_and_distributed_fits_agree(spark, group):
+    """Groups that converge at different speeds; the distributed form lets those that are done leave."""
+    rng = np.random.default_rng(5)
+    rows = [(g, "ABCDEFGH"[t], "ABCDEFGH"[o], k % 2, int(rng.poisson(1.3 + t / 8))) for g in range(6) for k in range(40 * (1 + g)) for t, o in [rng.choice(8, 2, replace=False)]]
+    stats = strength.suffstats(spark.createDataFrame(rows, "g int, team string, opp_team string, is_home int, goals int"), group)
+    _, near = strength.fit_state(stats, group, tolerance=1e-9)
+    _, far = strength.fit_state(stats, group, tolerance=1e-9, local_rows=0)
+    columns = [*group, "team", "att", "dfn", "mu", "home"]
+    near, far = ({tuple(r[: len(group) + 1]): r[len(group) + 1 :] for r in map(tuple, s.select(*columns).collect())} for s in (near, far))
+    assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], abs=1e-7) for k in near)
+    _, again = strength.fit_state(stats, group, tolerance=1e-9, local_rows=0)
+    ends = strength.convergence(again, group, 1e-9).collect()
+    assert len(ends) == (6 if group else 1) and all(r["converged"] and 3 < r["sweeps"] < 100 for r in ends)
+    with pytest.warns(UserWarning, match="still change"):
+        strength.fit_state(stats, group, steps=2)
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     rng = np.random.default_rng(9)

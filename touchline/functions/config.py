@@ -19,8 +19,8 @@ class StrengthConfig:
     use_form_decomposition: bool = False
     prior_weight: float = 5.0
     home_prior_weight: float = 20.0
-    steps: int = 20
-    tolerance: float = 1e-4
+    steps: int = 200
+    tolerance: float = 1e-10
     replicates: int = 20
     seed: int = 42
     # Training-form predictor: expected-goals term and soft clip of the log rate.

@@ -142,7 +142,7 @@ def cv_window_sizes(rows: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def cv_scores(
-    rows: DataFrame, windows: DataFrame, *, decay: float = 1.0, prior: float = 5.0, steps: int = 20, tolerance: float = 1e-4,
+    rows: DataFrame, windows: DataFrame, *, decay: float = 1.0, prior: float = 5.0, steps: int = 200, tolerance: float = 1e-10,
     xg_weight: float | None = None, xg: tuple[str, str] = ("xG", "xGA"),
 ) -> DataFrame:
     """Fit every window, predict its test rounds and score them, with no loop over windows.
@@ -192,7 +192,7 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 
 
 def season_backtest(
-    rows: DataFrame, rounds: Sequence[int], *, decay: float = 29.0 / 30.0, prior: float = 5.0, steps: int = 20, tolerance: float = 1e-4,
+    rows: DataFrame, rounds: Sequence[int], *, decay: float = 29.0 / 30.0, prior: float = 5.0, steps: int = 200, tolerance: float = 1e-10,
     keep: Sequence[str] = ("match_id",),
 ) -> DataFrame:
     """For every listed round N: strengths from rounds before N, rates for the matches of N. One job."""

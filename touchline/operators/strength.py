@@ -14,10 +14,13 @@ import math
 import warnings
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from touchline.functions import scalars as S
+from touchline.operators.cells import largest_group
 from touchline.session import broadcast_within, settle, small_side
 
 
@@ -69,7 +72,7 @@ def fit_step(stats: DataFrame, state: DataFrame, group: Sequence[str], prior: fl
     hint = F.broadcast if small else (lambda df: df)
     p = F.lit(float(prior))
     host = F.col("is_home") == 1
-    known = state.drop("change")
+    known = state.drop("change", "sweeps")
 
     def exposure(strength: str, home_name: str, away_name: str) -> list[Column]:
         load = F.col("weight") * F.col(strength)
@@ -117,33 +120,115 @@ def fit_step(stats: DataFrame, state: DataFrame, group: Sequence[str], prior: fl
     )
 
 
+#: Most rows of sums of a group that one task fits by itself.
+LOCAL_ROWS = 500_000
+
+
+def _sweep(x: dict, prior: float) -> float:
+    """The sweep of `fit_step` on one group's arrays, in place; returns the largest change."""
+    teams, team, opp = len(x["att"]), x["team"], x["opp"]
+
+    def exposure(at: np.ndarray, load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(at, load * x["host"], teams), np.bincount(at, load * ~x["host"], teams)
+
+    home, away = exposure(team, x["weight"] * x["dfn"][opp])
+    att = (prior + x["scored"]) / (prior + x["mu"] * (x["home"] * home + away))
+    home, away = exposure(opp, x["weight"] * att[team])
+    dfn = (prior + x["conceded"]) / (prior + x["mu"] * (x["home"] * home + away))
+    la, ld, eh, ea = np.log(att).mean(), np.log(dfn).mean(), (dfn * home).sum(), (dfn * away).sum()
+    mu = x["goals_away"] / ea if ea and x["goals_away"] > 0 else x["mu"]
+    factor = x["goals_home"] / (mu * eh) if mu * eh and x["goals_home"] > 0 else x["home"]
+    att, dfn = att / np.exp(la), dfn / np.exp(ld)
+    change = max(np.abs(np.log(att / x["att"])).max(), np.abs(np.log(dfn / x["dfn"])).max())
+    x.update(att=att, dfn=dfn, mu=mu * np.exp(la + ld), home=factor)
+    return float(change)
+
+
+def _fit_groups(stats: DataFrame, state: DataFrame, group: Sequence[str], prior: float, steps: int, tolerance: float) -> DataFrame:
+    """Every group fitted by one task: its sums and its first state are small tables."""
+    import pandas as pd
+
+    out = StructType([*state.schema.fields, *StructType.fromDDL("sweeps int").fields])
+    names = out.names
+
+    def fit(sums: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if start.empty:
+            return pd.DataFrame({n: [] for n in names})
+        number = pd.Index(start["team"])
+        known = sums[sums["team"].isin(number) & sums["opp_team"].isin(number)]
+        x = {
+            "team": number.get_indexer(known["team"]), "opp": number.get_indexer(known["opp_team"]), "host": known["is_home"].to_numpy() == 1,
+            "weight": known["weight"].to_numpy(float), "scored": start["scored"].to_numpy(float), "conceded": start["conceded"].to_numpy(float),
+            "att": start["att"].to_numpy(float), "dfn": start["dfn"].to_numpy(float), "mu": float(start["mu"].iloc[0]), "home": float(start["home"].iloc[0]),
+            "goals_home": float(start["goals_home_total"].iloc[0]), "goals_away": float(start["goals_away_total"].iloc[0]),
+        }
+        change, sweeps = np.inf, 0
+        while sweeps < steps and change >= tolerance:
+            change, sweeps = _sweep(x, prior), sweeps + 1
+        return start.assign(att=x["att"], dfn=x["dfn"], mu=x["mu"], home=x["home"], change=change, sweeps=sweeps)[names]
+
+    keys = list(group) or [F.lit("all")]
+    return stats.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(fit, out)
+
+
 def fit_state(
-    stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, steps: int = 200, tolerance: float = 1e-4
+    stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, steps: int = 200, tolerance: float = 1e-10,
+    local_rows: int = LOCAL_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Settled sums and fitted state. Sweeps until the largest change is below `tolerance`, with a warning if `steps` do not suffice.
+    """Settled sums and fitted state. Each group sweeps until its largest change is below `tolerance`; `steps` bound the sweeps.
 
-    A `tolerance` of 0 makes exactly `steps` sweeps.
+    A `tolerance` of 0 makes exactly `steps` sweeps. `change` and `sweeps` of the state tell how a group's fit ended; if any
+    did not converge there is a warning.
 
-    Each sweep is cut off through the reliable checkpoint folder: plans stay one sweep deep and a
-    lost executor repeats at most one sweep.
+    If no group has more than `local_rows` rows of sums, each is fitted by one task, so a fit is one shuffle however many sweeps it takes.
+    Otherwise a sweep is two joins and two aggregations over all groups that still move: groups that have converged leave as
+    soon as they are half of those left. Each sweep is cut off through the reliable checkpoint folder: plans stay one
+    sweep deep and a lost executor repeats at most one sweep.
     """
     stats = settle(stats)
     state = settle(initial_state(stats, group))
+    if largest_group(stats, list(group)) <= local_rows:
+        state = settle(_fit_groups(stats, state, group, prior, steps, tolerance))
+        largest = state.agg(F.max("change")).first()[0]
+        if tolerance > 0 and largest is not None and largest >= tolerance:
+            warnings.warn(f"strengths still change by {largest:.2g} after {steps} sweeps", stacklevel=2)
+        return stats, state
     small = broadcast_within(state) is not state
-    for _ in range(steps):
-        state = settle(fit_step(stats, state, group, prior, small))
-        if tolerance > 0:
+    moving, done, largest = stats, [], None
+    for sweep in range(1, steps + 1):
+        state = settle(fit_step(moving, state, group, prior, small)).withColumn("sweeps", F.lit(sweep))
+        if tolerance <= 0:
+            continue
+        if not group:
             largest = state.agg(F.max("change")).first()[0]
             if largest is None or largest < tolerance:
                 break
+            continue
+        ends = settle(state.groupBy(*group).agg(F.max("change").alias("_largest")))
+        n, still, largest = ends.agg(F.count(F.lit(1)), F.count_if(F.col("_largest") >= tolerance), F.max("_largest")).first()
+        if not still:
+            break
+        if 2 * still <= n:
+            active = broadcast_within(ends.where(F.col("_largest") >= tolerance).select(*group))
+            done.append(state.join(active, list(group), "left_anti"))
+            state, moving = settle(state.join(active, list(group), "left_semi")), settle(moving.join(active, list(group), "left_semi"))
     else:
         if tolerance > 0:
             warnings.warn(f"strengths still change by {largest:.2g} after {steps} sweeps", stacklevel=2)
+    for part in done:
+        state = state.unionByName(part)
     return stats, state
 
 
+def convergence(state: DataFrame, group: Sequence[str] = (), tolerance: float = 1e-10) -> DataFrame:
+    """Sweeps, last change and whether it is below `tolerance`, per group of a fitted state."""
+    return state.groupBy(*group).agg(
+        F.max("sweeps").alias("sweeps"), F.max("change").alias("change"), (F.max("change") < tolerance).alias("converged")
+    )
+
+
 def fit_strengths(
-    stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, steps: int = 200, tolerance: float = 1e-4
+    stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, steps: int = 200, tolerance: float = 1e-10
 ) -> DataFrame:
     """`attack`, `defence` (large = strong), `level` and `home`, all on the log scale, per (group, team)."""
     _, state = fit_state(stats, group, prior=prior, steps=steps, tolerance=tolerance)
@@ -159,7 +244,7 @@ def log_scale(state: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def home_advantage(
     stats: DataFrame, group: Sequence[str] = (), *, prior: float = 5.0, pool: float = 20.0, steps: int = 200,
-    tolerance: float = 1e-4,
+    tolerance: float = 1e-10,
 ) -> DataFrame:
     """Per-team home advantage (log scale), pooled towards the group's with `pool` goals of weight."""
     stats, state = fit_state(stats, group, prior=prior, steps=steps, tolerance=tolerance)
@@ -230,7 +315,7 @@ def stats_until(
 
 def strengths_by_round(
     rows: DataFrame, cutoffs: Sequence[int], *, decay: float = 29.0 / 30.0, group: Sequence[str] = (), prior: float = 5.0,
-    steps: int = 200, tolerance: float = 1e-4,
+    steps: int = 200, tolerance: float = 1e-10,
 ) -> DataFrame:
     """Time-varying strengths: one fit per cut-off round, older rounds fading."""
     stats = stats_until(rows, cutoffs, decays={"all": decay}, group=group).drop("decay")
@@ -239,7 +324,7 @@ def strengths_by_round(
 
 def ability_form(
     rows: DataFrame, cutoffs: Sequence[int], *, slow: float = 49.0 / 50.0, fast: float = 8.0 / 9.0, group: Sequence[str] = (),
-    prior: float = 5.0, steps: int = 200, tolerance: float = 1e-4,
+    prior: float = 5.0, steps: int = 200, tolerance: float = 1e-10,
 ) -> DataFrame:
     """Slow-decay strength as ability and the fast fit's difference from it as form; both in one job."""
     stats = stats_until(rows, cutoffs, decays={"ability": slow, "fast": fast}, group=group)
@@ -270,7 +355,7 @@ def bootstrap_stats(rows: DataFrame, key: str, replicates: int, *, seed: int = 4
 
 def bootstrap_draws(
     rows: DataFrame, key: str, replicates: int, *, seed: int = 42, group: Sequence[str] = (), prior: float = 5.0,
-    pool: float = 20.0, steps: int = 200, tolerance: float = 1e-4, t: int = 0,
+    pool: float = 20.0, steps: int = 200, tolerance: float = 1e-10, t: int = 0,
 ) -> DataFrame:
     """Draws table from replicate fits. A match bootstrap shows sampling spread; it is not a posterior.
 
@@ -284,32 +369,115 @@ def bootstrap_draws(
     )
 
 
-def xg_weight(
-    rows: DataFrame, *, xg: str = "xG", strengths: DataFrame | None = None, adjustment: float = 0.3, reg: float = 1e-3
+def _newton(pairs, group: Sequence[str], prior: float):
+    """One Newton step of a group from its sums per pair of teams: rows of (kind, team, value, se, step)."""
+    import pandas as pd
+
+    team, opp = (pd.Index(pairs[c].unique()) for c in ("team", "opp_team"))
+    t, o = team.get_indexer(pairs["team"]), opp.get_indexer(pairs["opp_team"])
+    n_t, n_o = len(team), len(opp)
+    col = {c: pairs[c].to_numpy(float) for c in ("l", "lx", "lxx", "lh", "lxh", "y", "yx", "yh", "a", "c")}
+    a, c = np.zeros(n_t), np.zeros(n_o)
+    a[t], c[o] = col["a"], col["c"]
+    head = np.array([float(pairs[k].iloc[0]) for k in ("m", "h", "b")])
+    by = lambda at, n, values: np.bincount(at, values, n)
+    total = {k: v.sum() for k, v in col.items()}
+
+    # second derivatives, all with their sign turned: head and teams, opponents, and between them
+    upper = np.zeros((3 + n_t, 3 + n_t))
+    upper[:3, :3] = [[total["l"], total["lh"], total["lx"]], [total["lh"], total["lh"], total["lxh"]], [total["lx"], total["lxh"], total["lxx"]]]
+    upper[:3, 3:] = [by(t, n_t, col[k]) for k in ("l", "lh", "lx")]
+    upper[3:, :3] = upper[:3, 3:].T
+    upper[np.arange(3, 3 + n_t), np.arange(3, 3 + n_t)] = by(t, n_t, col["l"]) + prior * np.exp(a)
+    between = np.zeros((3 + n_t, n_o))
+    between[:3] = [by(o, n_o, col[k]) for k in ("l", "lh", "lx")]
+    np.add.at(between, (3 + t, o), col["l"])
+    lower = by(o, n_o, col["l"]) + prior * np.exp(c)
+    slope = np.r_[total["y"] - total["l"], total["yh"] - total["lh"], total["yx"] - total["lx"], by(t, n_t, col["y"] - col["l"]) + prior * (1 - np.exp(a))]
+    slope_c = by(o, n_o, col["y"] - col["l"]) + prior * (1 - np.exp(c))
+
+    # opponents' block is diagonal: eliminate it, solve for the rest, put it back
+    schur = upper - between / lower @ between.T
+    step = np.linalg.solve(schur, slope - between @ (slope_c / lower))
+    step_c = (slope_c - between.T @ step) / lower
+    spread = np.sqrt(np.diag(np.linalg.inv(schur)))
+    largest = max(np.abs(step).max(), np.abs(step_c).max())
+    scale = min(1.0, 1.0 / largest) if largest > 0 else 1.0
+    out = pd.DataFrame({
+        "kind": ["m", "h", "b"] + ["a"] * n_t + ["c"] * n_o, "team": [None] * 3 + list(team) + list(opp),
+        "value": np.r_[head + scale * step[:3], a + scale * step[3:], c + scale * step_c],
+        "se": np.r_[spread, np.full(n_o, np.nan)], "step": np.full(3 + n_t + n_o, largest),
+    })
+    for k in group:
+        out[k] = pairs[k].iloc[0]
+    return out[[*group, "kind", "team", "value", "se", "step"]]
+
+
+def slope_effects(
+    rows: DataFrame, x: Column, group: Sequence[str] = (), *, goals: str = "goals", prior: float = 5.0, steps: int = 50, tolerance: float = 1e-9
 ) -> DataFrame:
-    """Weight of log expected goals in a Poisson regression with team, opponent and home effects.
+    """Poisson fit of goals on `x` with level, home, team and opponent effects, per group, by Newton steps.
 
-    With `strengths` (team, defence) the xG term is scaled by the opponent factor first. One row per
-    named coefficient: the xG weight, home advantage and intercept.
+    Rows of (group, kind, team, value, se, step): kinds are m (level), h (home), b (slope of `x`), a (a team's attack) and c (what an
+    opponent concedes), all on the log scale; team and opponent effects are drawn to 0 with a weight of `prior` goals.
+    Derivatives are sums over rows per pair of teams, combined map-side. A group's pairs of teams go to one task, which eliminates the opponents
+    from the second derivatives, solves for the rest, and reads standard errors off the same matrix. Groups take their steps together; `step` is
+    the last one's largest change. Rows without team, opponent, goals or `x` count for nothing.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    base = rows.withColumns(
-        {"_team": F.col("team").cast("string"), "_opp": F.col("opp_team").cast("string"), "_lx": S.log_xg(F.col(xg)),
-         "_home": F.col("is_home").cast("double"), "_y": F.col("goals").cast("double")}
+    group = list(group)
+    base = rows.select(
+        *group, "team", "opp_team", (F.col("is_home") == 1).cast("double").alias("_home"), F.col(goals).cast("double").alias("_y"), x.cast("double").alias("_x")
     )
+    known = F.lit(True)
+    for c in ("team", "opp_team", "_home", "_y", "_x"):
+        known = known & F.col(c).isNotNull()
+    base = settle(base.where(known))
+    pairs = base.select(*group, "team", "opp_team").distinct()
+    if largest_group(pairs, group) > LOCAL_ROWS:
+        raise ValueError("a group has too many pairs of teams for one task")
+    schema = StructType([*[base.schema[k] for k in group], *StructType.fromDDL("kind string").fields, base.schema["team"], *StructType.fromDDL("value double, se double, step double").fields])
+    level = F.when(F.avg("_y") > 0, F.log(F.when(F.avg("_y") > 0, F.avg("_y")))).otherwise(0.0)
+    heads = base.groupBy(*group).agg(level.alias("m")).withColumns({"h": F.lit(0.0), "b": F.lit(0.0)})
+    effects = None
+    for _ in range(steps):
+        met = base.join(F.broadcast(heads), group) if group else base.crossJoin(F.broadcast(heads))  # a row per group
+        if effects is None:
+            met = met.withColumns({"a": F.lit(0.0), "c": F.lit(0.0)})
+        else:
+            of = lambda kind, name, key: broadcast_within(effects.where(F.col("kind") == kind).select(*group, F.col("team").alias(key), F.col("value").alias(name)))
+            met = met.join(of("a", "a", "team"), [*group, "team"]).join(of("c", "c", "opp_team"), [*group, "opp_team"])
+        rate = F.exp(F.col("m") + F.col("a") + F.col("c") + F.col("h") * F.col("_home") + F.col("b") * F.col("_x"))
+        sums = {
+            "l": F.col("_l"), "lx": F.col("_l") * F.col("_x"), "lxx": F.col("_l") * F.col("_x") * F.col("_x"), "lh": F.col("_l") * F.col("_home"),
+            "lxh": F.col("_l") * F.col("_x") * F.col("_home"), "y": F.col("_y"), "yx": F.col("_y") * F.col("_x"), "yh": F.col("_y") * F.col("_home"),
+        }
+        by_pair = met.withColumn("_l", rate).groupBy(*group, "team", "opp_team").agg(
+            *[F.sum(v).alias(k) for k, v in sums.items()], *[F.first(k).alias(k) for k in ("a", "c", "m", "h", "b")]
+        )
+        effects = settle(by_pair.groupBy(*(group or [F.lit("all")])).applyInPandas(lambda pdf: _newton(pdf, group, prior), schema))
+        pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value"))).alias(kind)
+        heads = effects.groupBy(*group).agg(pick("m"), pick("h"), pick("b"))
+        largest = effects.agg(F.max("step")).first()[0]
+        if largest is None or largest < tolerance:
+            return effects
+    warnings.warn(f"effects still change by {largest:.2g} after {steps} steps", stacklevel=2)
+    return effects
+
+
+def xg_weight(
+    rows: DataFrame, *, xg: str = "xG", group: Sequence[str] = (), strengths: DataFrame | None = None, adjustment: float = 0.3, prior: float = 5.0
+) -> DataFrame:
+    """Weight of log expected goals in a Poisson regression with team, opponent and home effects, per group, with standard errors.
+
+    With `strengths` (team, defence) the xG term is scaled by the opponent factor first; opponents without strengths get the mean
+    defence. Rows of (group, parameter, estimate, standard_error): the xG weight, home advantage and intercept.
+    """
+    x = S.log_xg(F.col(xg))
     if strengths is not None:
         opp = small_side(strengths.select(F.col("team").alias("opp_team"), F.col("defence").alias("_d")))
-        factor = S.hard_clip(1 + F.lit(adjustment) * F.col("_d"), *S.OPPONENT_FACTOR_BOUNDS)
-        base = base.join(opp, "opp_team").withColumn("_lx", F.col("_lx") * factor)
-    stages = [
-        StringIndexer(inputCols=["_team", "_opp"], outputCols=["_ti", "_oi"]),
-        OneHotEncoder(inputCols=["_ti", "_oi"], outputCols=["_tv", "_ov"]),
-        VectorAssembler(inputCols=["_lx", "_home", "_tv", "_ov"], outputCol="_x"),
-        GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_x", labelCol="_y", regParam=reg, maxIter=25),
-    ]
-    model = Pipeline(stages=stages).fit(base).stages[-1]
-    values = [("xg_weight", float(model.coefficients[0])), ("home", float(model.coefficients[1])), ("intercept", float(model.intercept))]
-    return rows.sparkSession.createDataFrame(values, "parameter string, estimate double")
+        mean = opp.agg(F.avg("_d").alias("_m"))  # one row
+        rows = rows.join(opp, "opp_team", "left").crossJoin(F.broadcast(mean))
+        x = x * S.hard_clip(1 + F.lit(adjustment) * F.coalesce("_d", "_m"), *S.OPPONENT_FACTOR_BOUNDS)
+    names = F.create_map(F.lit("b"), F.lit("xg_weight"), F.lit("h"), F.lit("home"), F.lit("m"), F.lit("intercept"))
+    effects = slope_effects(rows, x, group, prior=prior).where(F.col("kind").isin("b", "h", "m"))
+    return effects.select(*group, names[F.col("kind")].alias("parameter"), F.col("value").alias("estimate"), F.col("se").alias("standard_error"))

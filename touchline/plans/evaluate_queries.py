@@ -9,7 +9,7 @@ from touchline.operators import evaluate as E
 from touchline.plans import fixtures as fx
 from touchline.plans.predict_queries import logpmf_sql
 from touchline.plans.registry import query, sql, view
-from touchline.plans.strength_queries import LR, PRIOR, STEPS, fit_ctes, num, rounded, spaced
+from touchline.plans.strength_queries import LR, PRIOR, fit_ctes, num, rounded, spaced
 
 TRAIN_END = 200
 
@@ -116,11 +116,11 @@ cv AS (SELECT CAST(cutoff - 24 AS INT) AS "window", cutoff AS train_end, max(n_t
 def scores(spark, sf):
     rows = fx.rounded_rows(spark, sf)
     windows = E.cv_windows(rows, min_train=25, test_window=1, step=1)
-    return E.cv_scores(rows, windows, prior=PRIOR, steps=STEPS, tolerance=0)
+    return E.cv_scores(rows, windows, prior=PRIOR)
 
 
 @query("cv_scores", sql(f"""CTE {CV} SELECT "window", train_end, CAST(n_train AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test, round(mae, 6) AS mae, round(log_likelihood, 4) AS log_likelihood,
-  round(ll_naive, 4) AS ll_naive, round(log_likelihood - ll_naive, 4) AS ll_improvement FROM cv""", *LR, "mr"))
+  round(ll_naive, 4) AS ll_naive, round(log_likelihood - ll_naive, 4) AS ll_improvement FROM cv""", *LR, "mr", recursive=True))
 def cv_scores(spark, sf):
     out = scores(spark, sf).drop("train_start", "test_start", "test_end")
     return rounded(rounded(out, "mae"), "log_likelihood", "ll_naive", "ll_improvement", digits=4)
@@ -129,7 +129,7 @@ def cv_scores(spark, sf):
 @query("cv_summary", sql(f"""CTE {CV}, d AS (SELECT *, log_likelihood - ll_naive AS gain FROM cv)
 SELECT round(avg(mae), 6) AS mae_mean, round(stddev_samp(mae), 6) AS mae_sd, round(min(mae), 6) AS mae_min, round(max(mae), 6) AS mae_max, round(avg(log_likelihood), 4) AS ll_mean,
   round(stddev_samp(log_likelihood), 4) AS ll_sd, round(avg(gain), 4) AS gain_mean, round(stddev_samp(gain), 4) AS gain_sd, round(min(gain), 4) AS gain_min, round(max(gain), 4) AS gain_max,
-  bool_and(gain > 0) AS all_beat_naive FROM d""", *LR, "mr"))
+  bool_and(gain > 0) AS all_beat_naive FROM d""", *LR, "mr", recursive=True))
 def cv_summary(spark, sf):
     out = E.cv_summary(scores(spark, sf))
     maes = [c for c in out.columns if c.startswith("mae")]
@@ -149,17 +149,17 @@ bt AS (SELECT cum_round AS round, match_no, mr.home AS home_team, away AS away_t
 
 def backtest(spark, sf):
     rounds = spaced(spark, sf, 2, 1)
-    return E.season_backtest(fx.rounded_rows(spark, sf), rounds, prior=PRIOR, steps=STEPS, tolerance=0, keep=["match_no"])
+    return E.season_backtest(fx.rounded_rows(spark, sf), rounds, prior=PRIOR, keep=["match_no"])
 
 
-@query("season_backtest", sql(f"CTE {BACK} SELECT round, match_no, home_team, away_team, round(lambda_home, 6) AS lambda_home, round(lambda_away, 6) AS lambda_away, goals_home, goals_away FROM bt", *LR, "mr"))
+@query("season_backtest", sql(f"CTE {BACK} SELECT round, match_no, home_team, away_team, round(lambda_home, 6) AS lambda_home, round(lambda_away, 6) AS lambda_away, goals_home, goals_away FROM bt", *LR, "mr", recursive=True))
 def season_backtest(spark, sf):
     return rounded(backtest(spark, sf), "lambda_home", "lambda_away")
 
 
 @query("round_scorecard", sql(f"""CTE {BACK} SELECT round, round(avg(abs(lambda_home - goals_home)), 6) AS mae_home, round(avg(abs(lambda_away - goals_away)), 6) AS mae_away,
   round((avg(abs(lambda_home - goals_home)) + avg(abs(lambda_away - goals_away))) / 2, 6) AS mae, round(sum({logpmf_sql('goals_home', 'lambda_home')} + {logpmf_sql('goals_away', 'lambda_away')}), 4) AS log_likelihood,
-  CAST(count(*) AS BIGINT) AS n_test FROM bt GROUP BY 1""", *LR, "mr"))
+  CAST(count(*) AS BIGINT) AS n_test FROM bt GROUP BY 1""", *LR, "mr", recursive=True))
 def round_scorecard(spark, sf):
     stored = backtest(spark, sf).drop("goals_home", "goals_away")
     actual = fx.rounded_rows(spark, sf).where(F.col("is_home") == 1).select(
