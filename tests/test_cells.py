@@ -100,22 +100,25 @@ def test_rows_without_keys_stay_and_do_not_count(spark, series):
     assert {k: v for k, v in split.items() if k < 9000} == values(series, TRACK)
 
 
-@pytest.mark.parametrize("bins", [2, 7, 64])
+@pytest.mark.parametrize("at_most", [0, 1_000_000])
 @pytest.mark.parametrize("scale", [1e-6, 1.0, 1e9])
-def test_quantiles_are_exact_at_any_scale(series, bins, scale):
+def test_quantiles_are_exact_at_any_scale(series, at_most, scale):
     scaled = series.withColumn("x", F.col("x") * scale)
-    got = {r["entity"]: r for r in quantiles(scaled, ["entity"], "x", [0.05, 0.5, 0.95], ["a", "b", "c"], bins).collect()}
+    found = quantiles(scaled, ["entity"], "x", [0.05, 0.5, 0.95], ["a", "b", "c"], [F.count("x").alias("n")], at_most)
+    got = {r["entity"]: r for r in found.collect()}
     for entity, part in scaled.where("x is not null").toPandas().groupby("entity"):
-        assert np.allclose([got[entity][k] for k in "abc"], np.percentile(part.x.astype(float), [5, 50, 95]), atol=0)
-
-
-@pytest.mark.parametrize("width", [2, 5, 40])
-def test_quantiles_are_exact(series, width):
-    got = {r["entity"]: r for r in quantiles(series, ["entity"], "x", [0.05, 0.5, 0.95], ["a", "b", "c"], width).collect()}
-    pdf = series.where("x is not null").toPandas()
-    for entity, part in pdf.groupby("entity"):
-        want = np.percentile(part.x.astype(float), [5, 50, 95])
-        assert np.allclose([got[entity][k] for k in "abc"], want)
+        assert np.allclose([got[entity][k] for k in "abc"], np.percentile(part.x.astype(float), [5, 50, 95]), atol=0) and got[entity]["n"] == len(part)
+
+
+@pytest.mark.parametrize("values", ["rand(3)", "floor(rand(3) * 3)", "rand(3) * 1e9"])
+def test_quantiles_of_one_large_group(spark, values):
+    """Spread over ranges: values all in [0, 1), mostly ties, and wide."""
+    df = spark.range(200_000).select(F.lit("g").alias("g"), F.expr(values).cast("double").alias("x")).cache()
+    want = np.percentile([r[0] for r in df.select("x").collect()], [1, 50, 97.5])
+    for group in (["g"], []):
+        got = quantiles(df, group, "x", [0.01, 0.5, 0.975], ["a", "b", "c"], at_most=1000).first()
+        assert np.allclose(got[len(group) :], want)
+    df.unpersist()
 
 
 def test_quantiles_of_one_value(spark):

@@ -23,6 +23,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from touchline.session import settle
+
 CELL = "_cell"
 UNITS = ("year", "month", "week", "day", "hour", "minute", "second")
 BLOCK_ROWS = 1024
@@ -281,30 +283,48 @@ def looking_back(
     )
 
 
+#: Most rows of a group whose values one task counts for its quantiles.
+EXACT_ROWS = 1_000_000
+
+
 def quantiles(
     df: DataFrame,
     group: Sequence[str],
     value: str,
     probs: Sequence[float],
     names: Sequence[str],
-    bins: int = 64,
+    also: Sequence[Column] = (),
+    at_most: int = EXACT_ROWS,
 ) -> DataFrame:
-    """Exact quantiles (linear interpolation) per group without gathering a group in one place.
+    """Exact quantiles (linear interpolation) per group, and aggregates `also` beside them. Groups without a value have no row, or with `also` NULLs.
 
-    A sketch per group, combined map-side, cuts it into about `bins` bins of equal size, whatever the range of
-    values. Counts by bin locate the one that holds each wanted order statistic; only those bins are
-    read again and ranked. Equal values are counted, not repeated, so heavy ties stay small.
+    Groups of up to `at_most` rows are counted first: if all are that small, one aggregation does it. Otherwise values are sorted over
+    range partitions, so a large group is spread over tasks.
     """
     group = list(group)
-    present = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_x"))
-    cuts = F.percentile_approx("_x", [k / bins for k in range(1, bins)], 20 * bins)
-    edges = present.groupBy(*group).agg(cuts.alias("_edges"))
-    rows = present.join(edges, group) if group else present.crossJoin(F.broadcast(edges))  # one row
-    rows = rows.select(*group, "_x", F.size(F.filter("_edges", lambda e: e < F.col("_x"))).alias("_bin"))
-    scan = Window.partitionBy(*group).orderBy("_bin")
-    bins = (
-        rows.groupBy(*group, "_bin")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    present = df.where(F.col(value).isNotNull())
+    if largest_group(present, group) <= at_most:
+        rows = df if also else present
+        found = rows.groupBy(*group).agg(*also, F.percentile(F.col(value).cast("double"), [float(p) for p in probs]).alias("_q"))
+        return found.select("*", *[F.get("_q", i).alias(n) for i, n in enumerate(names)]).drop("_q")
+    ranked = _ranked_quantiles(present.select(*group, F.col(value).cast("double").alias("_x")), group, probs, names)
+    if not also:
+        return ranked
+    others = df.groupBy(*group).agg(*also)
+    return others.join(ranked, group, "left") if group else others.crossJoin(F.broadcast(ranked))  # one row
+
+
+def _ranked_quantiles(values: DataFrame, group: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Quantiles of `_x` by rank: values are counted, sorted by (group, value) in ranges, and counts per range say where each rank lies.
+
+    Only the ranges that hold a wanted rank are read again, and ranked range by range. Equal values are counted, not repeated.
+    """
+    counted = values.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = settle(counted.repartitionByRange(*group, "_x").withColumn("_part", F.spark_partition_id()))
+    scan = Window.partitionBy(*group).orderBy("_part")  # a row per range
+    ends = (
+        ranges.groupBy(*group, "_part")
+        .agg(F.sum("_n").alias("_n"))
         .withColumn("_hi", F.sum("_n").over(scan.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
@@ -315,23 +335,16 @@ def quantiles(
         ranks.append(F.struct(F.lit(i).alias("q"), F.lit(0).alias("end"), F.floor(exact).alias("rank"), exact.alias("at")))
         ranks.append(F.struct(F.lit(i).alias("q"), F.lit(1).alias("end"), F.ceil(exact).alias("rank"), exact.alias("at")))
     wanted = (
-        bins.withColumn("_w", F.array(*ranks))
-        .withColumn("_w", F.filter("_w", lambda w: (w["rank"] >= F.col("_lo")) & (w["rank"] < F.col("_hi"))))
+        ends.withColumn("_w", F.filter(F.array(*ranks), lambda w: (w["rank"] >= F.col("_lo")) & (w["rank"] < F.col("_hi"))))
         .where(F.size("_w") > 0)
-        .select(*group, "_bin", "_lo", "_w")
+        .select(*group, "_part", "_lo", "_w")
     )
-    inside = Window.partitionBy(*group, "_bin").orderBy("_x")
+    inside = Window.partitionBy(*group, "_part").orderBy("_x")
     hits = (
-        rows.join(wanted.select(*group, "_bin"), [*group, "_bin"], "left_semi")
-        .groupBy(*group, "_bin", "_x")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_to", F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(wanted, [*group, "_bin"])
-        .withColumn("_w", F.explode("_w"))
-        .where(
-            (F.col("_w.rank") >= F.col("_lo") + F.col("_to") - F.col("_n"))
-            & (F.col("_w.rank") < F.col("_lo") + F.col("_to"))
-        )
+        ranges.join(wanted, [*group, "_part"])
+        .withColumn("_to", F.col("_lo") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_w", F.filter("_w", lambda w: (w["rank"] >= F.col("_to") - F.col("_n")) & (w["rank"] < F.col("_to"))))
+        .select(*group, "_x", F.explode("_w").alias("_w"))
     )
     found = []
     for i, name in enumerate(names):

@@ -42,9 +42,7 @@ def team_strengths(draws: DataFrame) -> DataFrame:
 
 def summarise(long: DataFrame, group: Sequence[str]) -> DataFrame:
     """Mean and exact p5 and p95 of `value` per group, without gathering a group in one task."""
-    group = list(group)
-    means = long.groupBy(*group).agg(F.avg("value").alias("mean"))
-    return means.join(quantiles(long, group, "value", [0.05, 0.95], ["p5", "p95"]), group)
+    return quantiles(long, group, "value", [0.05, 0.95], ["p5", "p95"], [F.avg("value").alias("mean")])
 
 
 def nest_strengths(summary: DataFrame, by: Sequence[str] = ("team_id",), digits: int = 4) -> DataFrame:

@@ -204,7 +204,7 @@ def rate_summary(rates: DataFrame, by: Sequence[str] = ("match_id",)) -> DataFra
     )
     long = rates.select(*by[:-1], F.inline(sides))
     moments = [F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std"), F.count("rate").alias("n_draws")]
-    return long.groupBy(*by).agg(*moments).join(quantiles(long, by, "rate", [0.05, 0.5, 0.95], ["p5", "median", "p95"]), by, "left")
+    return quantiles(long, by, "rate", [0.05, 0.5, 0.95], ["p5", "median", "p95"], moments)
 
 
 def prediction_records(
