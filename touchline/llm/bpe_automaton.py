@@ -22,6 +22,8 @@ of more than `LONGEST_WORD` bytes are run one by one. Repeated rows get equal id
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,8 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import held, no_collection
 
-#: Fixed values of byte-level vocabularies: the pattern that splits a text into words.
-#: White space is the Unicode property, spelled out.
-_S = r"\t-\r \x85\xa0  -     　"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+#: Fixed values of byte-level vocabularies: the pattern that splits a text into words. Classes of characters are filled in below.
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
 COMMON = "\u0558"
 #: Most words in each of a worker's two generations; the longest word that is run with others; bytes run at a time.
 MOST, LONGEST_WORD, CELLS = 250_000, 64, 400_000
@@ -76,6 +76,21 @@ class Table:
         return out
 
 
+def common_pattern() -> re.Pattern:
+    """`WORDS` for texts below `COMMON`, with letters, numbers and white space as ranges."""
+    kinds: dict[str, list[int]] = {"L": [], "N": [], "S": [*range(9, 14), 0x20, 0x85, 0xA0]}
+    for code in range(ord(COMMON)):
+        kinds.get(unicodedata.category(chr(code))[0], []).append(code)
+    kinds["S"] = sorted({c for c in kinds["S"] if chr(c).isspace() and c not in range(28, 32)})
+
+    def ranges(codes: list[int]) -> str:
+        begin = [c for c in codes if c - 1 not in codes]
+        end = [c for c in codes if c + 1 not in codes]
+        return "".join(f"\\u{i:04x}-\\u{j:04x}" for i, j in zip(begin, end))
+
+    return re.compile(re.sub("[LNS]", lambda m: ranges(kinds[m[0]]), WORDS))
+
+
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes: printable Latin-1 for themselves, the others from 256 on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -271,7 +286,7 @@ class Codec:
         self.automaton = Automaton(spec["model"]["vocab"], merges)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.labels = dict(self.automaton.label) | {i: s.encode() for s, i in self.special.items()}
-        self.pattern = regex.compile(WORDS)
+        self.pattern = common_pattern()
         self.library_split = None
         self.path = path
         longest_first = sorted(self.special, key=len, reverse=True)
