@@ -300,3 +300,16 @@ def test_rules_with_odd_rows(spark, frame):
         assert len(rows) == docs.count()
         assert all(r["kept"] == (not r["base_failed"]) for r in rows)
     assert risk_rules.judge(docs.limit(0), labels).count() == 0
+
+
+def test_every_language_is_learned(frame):
+    """More languages than any cap would allow, one of which has long texts only, and rows without ids."""
+    rng = random.Random(9)
+    stems = {f"l{k:02d}": [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.randrange(1000)}{c}".translate(str.maketrans("0123456789", "qwertyuiop")) for c in "xyzuvw"] for k in range(70)}
+    rows = [(100 * k + j, " ".join(rng.choice(words) for _ in range(30)), lang, "s", 0) for k, (lang, words) in enumerate(stems.items()) for j in range(3) if lang != "l07"]
+    rows += [(None, " ".join(rng.choice(stems["l07"]) for _ in range(6000)), "l07", "s", 0)] * 3
+    field = crf_language.fit(frame(rows), held_out=False)
+    assert field.languages == sorted(stems)
+    asked = frame([(k, " ".join(words * 3), None, "s", 0) for k, words in enumerate(stems.values())])
+    got = asked.select("doc_id", crf_language.predict("text", field, asked.sparkSession).alias("l")).select("doc_id", "l.lang_pred").collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id']:02d}" for r in got) >= 66

@@ -7,8 +7,8 @@ that language's training texts). Learned transitions say how likely the language
 each word's distribution over languages; a text gets the language with the largest mean, and that mean as score.
 
 Training texts each have one language; chains for training are spliced from passages of texts of several languages, so that
-transitions are learned on code-switched text. Training uses about `TEXTS` texts a language, picked by a hash, of
-at most `LONGEST_TRAINING` characters each; prediction uses all words of whole texts, in chains of at most `CHAIN` words.
+transitions are learned on code-switched text. Training uses about `TEXTS` texts of every language there is, picked by a hash, of longer ones a
+window of `LONGEST_TRAINING` characters; prediction uses all words of whole texts, in chains of at most `CHAIN` words.
 
 NULL texts and texts without a letter are `und` with score 0. Without training texts all are `und`. Rows
 with NULL or equal ids are separate. NULL languages are not learned. Extra columns are passed through.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import held, in_fold, no_collection
 
-TEXTS, LONGEST_TRAINING, MOST_LANGUAGES, LEXICON = 250, 20_000, 64, 400
+TEXTS, LONGEST_TRAINING, LEXICON = 250, 20_000, 400
 #: Hashed features; words in a chain; chains, epochs and step of training; words a worker remembers.
 SLOTS, CHAIN, CHAINS, EPOCHS, STEP, REMEMBERED = 1 << 16, 256, 1_500, 30, 0.4, 400_000
 UNKNOWN = "und"
@@ -58,14 +58,14 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) ->
     """
     steps, chains, states = emit.shape
     power = np.exp(emit - emit.max(axis=2, keepdims=True))
-    go = np.exp(move)
+    go = np.exp(move).astype(power.dtype)  # single precision where emissions are
     ahead = np.empty_like(power)
     ahead[0] = power[0] / power[0].sum(axis=1, keepdims=True)
     for t in range(1, steps):
         a = (ahead[t - 1] @ go) * power[t]
         ahead[t] = a / a.sum(axis=1, keepdims=True)
-    back = np.ones((chains, states))
-    out, moves = np.zeros_like(power), np.zeros((states, states))
+    back = np.ones((chains, states), power.dtype)
+    out, moves, least = np.zeros_like(power), np.zeros((states, states)), np.finfo(power.dtype).tiny
     for t in range(steps - 1, -1, -1):
         inside = (t < lengths)[:, None]
         both = ahead[t] * back
@@ -75,7 +75,7 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) ->
             earlier = message @ go.T
             total = np.where(inside[:, 0], (ahead[t - 1] * earlier).sum(axis=1), 1)
             moves += go * ((ahead[t - 1] / total[:, None]).T @ message)
-            back = np.where(inside, earlier / np.maximum(earlier.sum(axis=1, keepdims=True), 1e-300), 1)
+            back = np.where(inside, earlier / np.maximum(earlier.sum(axis=1, keepdims=True), least), 1)
     return out, moves
 
 
@@ -152,15 +152,19 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Field | None:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", held_out: bool = True) -> Field | None:
     """A field from a bounded sample of the rows outside the held-out fold (all rows if `held_out` is false)."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    rows = rows.where(F.col("_lang").isNotNull() & (F.col("_lang") != UNKNOWN) & (F.length("_text") > 0) & (F.length("_text") <= LONGEST_TRAINING))
+    rows = rows.where(F.col("_lang").isNotNull() & (F.col("_lang") != UNKNOWN) & (F.length("_text") > 0))
     if held_out:
         rows = rows.where(~in_fold("_id"))
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("_lang").count().collect()
     if not counts:
         return None
     share = F.create_map(*[x for r in counts for x in (F.lit(r["_lang"]), F.lit(min(1.0, TEXTS / r["count"])))])[F.col("_lang")]
-    place = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.where(place < share).select("_text", "_lang").limit(2 * TEXTS * len(counts)).collect()
+    # repeated rows without ids are told apart by their places
+    row = F.when(F.col("_id").isNull(), F.monotonically_increasing_id())
+    mark = F.when(row.isNull(), F.xxhash64("_id", "_text")).otherwise(F.xxhash64("_text", row))
+    place = F.pmod(mark, F.lit(1 << 20)) / float(1 << 20)
+    start = 1 + F.pmod(mark, F.greatest(F.length("_text") - LONGEST_TRAINING + 1, F.lit(1)))
+    picked = rows.withColumns({"_place": place, "_start": start}).where(F.col("_place") < share).select(F.substr("_text", "_start", F.lit(LONGEST_TRAINING)).alias("_text"), "_lang").collect()
     return train([(r["_text"], r["_lang"]) for r in picked])
 
 
