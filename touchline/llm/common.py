@@ -76,7 +76,7 @@ def no_collection() -> Iterator[None]:
             gc.enable()
 
 
-def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
     """Keep the session's Arrow batches below so many bytes: a worker holds several copies of the one it works on."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name, str(64 << 20)).rstrip("bB")) > most_bytes:

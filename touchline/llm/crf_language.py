@@ -29,7 +29,7 @@ from touchline.llm.common import held, in_fold, no_collection
 
 TEXTS, LONGEST_TRAINING, LEXICON = 250, 20_000, 400
 #: Hashed features; words in a chain; chains, epochs and step of training; words a worker remembers.
-SLOTS, CHAIN, CHAINS, EPOCHS, STEP, REMEMBERED = 1 << 16, 256, 1_500, 30, 0.4, 400_000
+SLOTS, CHAIN, CHAINS, EPOCHS, STEP, REMEMBERED = 1 << 16, 256, 1_500, 30, 0.4, 250_000
 UNKNOWN = "und"
 #: Positions of chains computed at once.
 CELLS = 300_000
