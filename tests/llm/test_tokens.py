@@ -36,6 +36,12 @@ def test_piecewise_encoding_equals_the_library(monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_capitals_beside_special_strings():
+    text = "The ÉTÉ <|endoftext|> The. É"  # not lowered as a whole, since a special string is in it
+    ids, = word_cache.PieceCache(WORD).ids([text])
+    assert np.frombuffer(ids, "<u4").tolist() == library(WORD).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 def test_planes_undo(kind):
     rng = np.random.default_rng(1)

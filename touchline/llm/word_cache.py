@@ -70,7 +70,8 @@ class PieceCache:
         out: list[bytes] = []
         for start in range(0, len(words), 1000):
             part = words[start : start + 1000]
-            spelled = " ".join([w if w.isascii() else w.lower().encode().decode("latin-1").translate(self.letters) for w in part])
+            part = map(str.lower, part)  # texts with special strings come here as they are
+            spelled = " ".join([w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in part])
             ids = np.array(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
             at, raw = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist(), ids.tobytes()
             out += [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
