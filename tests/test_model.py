@@ -320,6 +320,20 @@ def test_subsample_is_repeatable_and_exact_in_size(small):
     assert D.subsample(rates, 1000).count() == 200
 
 
+def test_subsample_sorts_only_what_a_task_may_keep(spark, small, monkeypatch):
+    draws, fixtures, _ = small
+    rates = P.goal_rates(fixtures, draws)
+    more = rates.withColumn("league", F.when(F.col("chain") == 1, F.lit("x")))
+    want = {(r["league"], r["match_id"], r["chain"], r["draw"]) for r in D.subsample(more, 9, by=["match_id", "league"]).collect()}
+    assert "mapinarrow" in D.subsample(rates, 9)._jdf.queryExecution().optimizedPlan().toString().lower()
+    mixed = D.S.mixed_uniform(42, F.col("match_id"), F.col("chain"), F.col("draw"))
+    rows = sorted((r["u"], r["chain"], r["draw"], r["match_id"], r["league"]) for r in more.select("*", mixed.alias("u")).collect())
+    plain = {}
+    for _, chain, draw, match, league in rows:
+        plain.setdefault((league, match), []).append((league, match, chain, draw))
+    assert want == {row for group in plain.values() for row in group[:9]} and len(want) == 36
+
+
 def test_drift_penalty_and_centring(small):
     draws, _, _ = small
     centred = D.centre_over_teams(draws)

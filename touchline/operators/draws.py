@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,15 +102,47 @@ def drift_penalty(draws: DataFrame, sd: float = 1.0, columns: Sequence[str] = ("
     return means.groupBy(*SAMPLE).agg(*terms)
 
 
+#: Rows a task looks through at a time for those it may keep, and most that it keeps before it passes them on.
+ROWS_AT_ONCE, ROWS_KEPT = 131_072, 1_000_000
+
+
+def _least(batches: Iterator[pa.RecordBatch], n: int, by: Sequence[str], order: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The first `n` rows of each group among those of a task, or a few more."""
+    kept: list[pa.RecordBatch] = []
+
+    def cut() -> pa.Table:
+        table = pa.Table.from_batches(kept)
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+        keys = pa.table([*table.select(list(by)).columns, pa.array(np.arange(len(table)))], names=[*by, "_row"])
+        rows = keys.group_by(list(by), use_threads=False).aggregate([("_row", "list")])["_row_list"].combine_chunks()
+        sizes = rows.value_lengths().to_numpy()
+        rank = np.arange(len(table)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return table.take(rows.flatten().filter(pa.array(rank < n)))
+
+    size, left = 0, 0
+    for batch in batches:
+        kept.append(batch)
+        size += batch.num_rows
+        if size >= left + max(ROWS_AT_ONCE, left):
+            kept = cut().to_batches()
+            size = left = sum(b.num_rows for b in kept)
+            if size > ROWS_KEPT:
+                yield from kept
+                kept, size, left = [], 0, 0
+    if size:
+        yield from cut().to_batches()
+
+
 def subsample(draws: DataFrame, n: int, *, by: Sequence[str] = ("match_id",), seed: int = 42) -> DataFrame:
     """`n` samples per group without replacement, the same ones on every run.
 
-    Ranked by a hash of the row's identity; the rank limit is applied before the shuffle as well, so
-    each task sends at most `n` rows per group.
+    Ranked by a hash of the row's identity. Each task first drops, as it reads, what cannot be among the first `n` of its own rows, so
+    only about `n` rows per group and task are sorted and shuffled.
     """
     key = by[0]
     mixed = S.mixed_uniform(seed, F.col(key), F.col("chain"), F.col("draw"))
-    w = Window.partitionBy(*by).orderBy("_u", *SAMPLE)
-    return (
-        draws.withColumn("_u", mixed).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_u", "_rank")
-    )
+    rows = draws.withColumn("_u", mixed)
+    keys, order = list(by), ["_u", *SAMPLE]
+    rows = rows.mapInArrow(lambda batches: _least(batches, n, keys, order), rows.schema)
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_u", "_rank")
