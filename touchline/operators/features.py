@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.functions import scalars as S
-from touchline.operators.cells import BLOCK_ROWS, PLAIN_ROWS, Track, looking_back, measured, quantiles, running
+from touchline.operators.cells import BLOCK_ROWS, Track, looking_back, measured, quantiles, running
 from touchline.operators.reshape import require
 
 POSITION = "_pos"
 LAGGED = ("goals", "xG", "goals_against", "xGA", "win", "loss", "draw", "is_home")
 METRICS = ("goals", "xG", "goals_against", "xGA")
+#: A team of up to this many rows may be windowed in one task: with all features a row takes up to 4 kB of its memory.
+TEAM_ROWS = 800_000
 # Window columns of a block, from its ordered window and the row's offset in it.
 BlockColumns = Callable[[WindowSpec, Column], dict[str, Column]]
 
@@ -261,7 +263,7 @@ def feature_table(
     add_rest_days: bool = True,
     fill_method: str = "ffill",
     unit: str = "day",
-    max_entity_rows: int = PLAIN_ROWS,
+    max_entity_rows: int = TEAM_ROWS,
 ) -> DataFrame:
     """All features of team rows in one plan; steps whose inputs are absent are left out.
 
