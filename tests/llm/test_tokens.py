@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,24 @@ def test_automaton_words_split_as_the_library_does():
         assert codec.words(text) == [text[i:j] for _, (i, j) in split(text)], hex(point)
 
 
+@pytest.mark.parametrize("bits", [4, 20])
+def test_runs_of_texts_equal_the_library(monkeypatch, bits):
+    monkeypatch.setattr(bpe_automaton, "MOST", 500)  # generations change many times
+    monkeypatch.setattr(bpe_automaton, "ANSWER_BITS", bits)  # many pairs share a place
+    tokenizer, codec = library(BYTE), bpe_automaton.Codec(BYTE)
+    rng = random.Random(9)
+    blanks = [" ", "  ", "   ", "\n", " \n", "\n ", "\t ", "\x1c", "\xa0 ", " \x85", "\x1f "]
+    words = [*"a b The É é ing 1 23 's 'll , . !! ). ½ ª µ".split(), "x,", "y.z", "don't", "<|endoftext|>"]
+    texts = ["".join(rng.choice(blanks if rng.random() < 0.5 else words) for _ in range(rng.randint(0, 12))) for _ in range(8_000)]
+    run = pa.array([*texts, "", *[t for t in ODD_TEXTS if t is not None]])
+    found = codec.encode_run(run)
+    for text, ids in zip(run.to_pylist(), found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert codec.decode_run(found) == run.to_pylist()
+    broken = [found[0][4:], np.array([codec.special.get("<|endoftext|>", 0), 200, 201], "<u4").tobytes(), b""]
+    assert codec.decode_run(broken) == [tokenizer.decode(np.frombuffer(b, "<u4").tolist(), skip_special_tokens=False) for b in broken]
+
+
 def test_gadgets_on_a_small_vocabulary():
     letters = {"a": 0, "b": 1, "aa": 2, "ab": 3, "aab": 4}
     automaton = bpe_automaton.Automaton(letters, [("a", "a"), ("a", "b"), ("aa", "b")])

@@ -27,16 +27,25 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from touchline.llm.common import held, no_collection
+from touchline.llm.pieces import Memory, Strings, cut, runs
 
 #: Fixed values of byte-level vocabularies: the pattern that splits a text into words. Classes of characters are filled in below.
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
 COMMON = "\u0558"
 #: Most words in each of a worker's two generations; the longest word that is run with others; bytes run at a time.
-MOST, LONGEST_WORD, CELLS = 250_000, 64, 400_000
+MOST, LONGEST_WORD, CELLS = 350_000, 64, 400_000
+#: Logarithm of the number of answers about arcs that are kept.
+ANSWER_BITS = 20
+#: Pieces that are a run of Latin-1 letters, a word together with the space before it, and perhaps a run of signs, another word.
+PLAIN = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<signs>[!-&(-/:-@\\[-`{-~]*)\\z"
+#: Texts that are not cut at spaces: those with characters from `COMMON` on, or with a space inside or at the end of a run of
+#: white space, which the last but one of `WORDS` takes as one word. At other spaces a word begins or white space ends.
+WHOLE = "[^\\x{0}-\\x{557}]|[\\x{9}-\\x{d} \\x{85}\\x{a0}] (?:[\\x{9}-\\x{d} \\x{85}\\x{a0}]|\\z)"
 
 
 class Table:
@@ -169,9 +178,24 @@ class Automaton:
             flat[list(of)] = list(of.values())
         self.cuts = Table({u << 32 | v: rank for (u, v), rank in self.cut.items()})
         self.steps, self.tokens = Table(self.step), np.array(self.token, np.int64)
+        del self.left, self.origin, self.born, self.cut, self.node  # of use to the gadgets only
+        self.asked, self.answers = np.full(1 << ANSWER_BITS, -1, np.int64), np.zeros(1 << ANSWER_BITS, bool)
 
     def follows(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Whether each state has its arc; a walk along copies and added arcs, as in `_has`, for all pairs at once."""
+        """Whether each state has its arc. Answers are kept where their pair's number points to; pairs of the same place take turns."""
+        key = state << 32 | label
+        place = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - ANSWER_BITS)).view(np.int64)
+        ok, new = self.answers[place], np.flatnonzero(self.asked[place] != key)
+        if len(new):
+            found = ok[new] = self._walk(state[new], label[new])
+            # key and answer of one assignment each go by the same order, so of pairs that share a place one leaves both
+            self.asked[place[new]] = key[new]
+            stays = self.asked[place[new]] == key[new]
+            self.answers[place[new[stays]]] = found[stays]
+        return ok
+
+    def _walk(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The same by a walk along copies and added arcs, as in `_has`, for all pairs at once."""
         ok = np.ones(len(state), bool)
         todo, s, label = np.arange(len(state)), state.copy(), label.copy()
         first, until = state.copy(), np.full(len(state), 1 << 40, np.int64)
@@ -272,10 +296,7 @@ class Automaton:
 
 
 class Codec:
-    """A tokenizer file's vocabulary, merges and special tokens; a worker's memory of words.
-
-    When the young generation is full it becomes the old one, so words in use survive.
-    """
+    """A tokenizer file's vocabulary, merges and special tokens; a worker's memory of words."""
 
     def __init__(self, path: str):
         import regex
@@ -285,18 +306,19 @@ class Codec:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.automaton = Automaton(spec["model"]["vocab"], merges)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.labels = dict(self.automaton.label) | {i: s.encode() for s, i in self.special.items()}
+        labels = dict(self.automaton.label) | {i: s.encode() for s, i in self.special.items()}
+        self.known_ids = np.zeros(max(labels, default=-1) + 1, bool)
+        self.known_ids[list(labels)] = True
+        self.labels = Strings.of([labels.get(i, b"") for i in range(len(self.known_ids))], "u1")
         self.pattern = common_pattern()
         self.library_split = None
         self.path = path
         longest_first = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
-        self.fixed = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memory = Memory(LONGEST_WORD)
 
     def words(self, text: str) -> list[str]:
-        """A text's words. Versions of Unicode disagree on letters beyond `COMMON`; there the library splits."""
+        """Words of a text or piece. Versions of Unicode disagree on letters beyond `COMMON`; there the library splits."""
         if text.isascii() or max(text) < COMMON:
             return self.pattern.findall(text)
         if self.library_split is None:
@@ -305,21 +327,21 @@ class Codec:
             self.library_split = Tokenizer.from_file(self.path).pre_tokenizer.pre_tokenize_str
         return [text[begin:end] for _, (begin, end) in self.library_split(text)]
 
-    def _learn(self, wanted: list[str]) -> None:
-        """Words that are not in the young generation: from the old one, or run through the automaton."""
-        new = []
-        for word in wanted:
-            ids = self.fixed.get(word) or self.old.get(word)
-            if ids is None:
-                new.append(word)
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words, run through the automaton, and of special tokens, which no word equals."""
+        raw = [w.encode() for w in words]
+        out = [b""] * len(words)
+        short = []
+        for k, (word, w) in enumerate(zip(words, raw)):
+            if word in self.special:
+                out[k] = np.array([self.special[word]], "<u4").tobytes()
+            elif len(w) > LONGEST_WORD:
+                out[k] = np.array(self.automaton.encode(w), "<u4").tobytes()
             else:
-                self.young[word] = ids
-        raw = [w.encode() for w in new]
-        short = [k for k, w in enumerate(raw) if len(w) <= LONGEST_WORD]
-        self.young.update(zip([new[k] for k in short], self.automaton.encode_many([raw[k] for k in short])))
-        for word, w in zip(new, raw):
-            if len(w) > LONGEST_WORD:
-                self.young[word] = np.array(self.automaton.encode(w), "<u4").tobytes()
+                short.append(k)
+        for k, ids in zip(short, self.automaton.encode_many([raw[k] for k in short])):
+            out[k] = ids
+        return out
 
     def _parts(self, text: str) -> list[str]:
         """Words of a text, and the special tokens in it, which no word equals."""
@@ -329,28 +351,56 @@ class Codec:
             return self.words(text)
         return [w for k, part in enumerate(self.specials.split(text)) if part for w in ([part] if k % 2 else self.words(part))]
 
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
+    def _joined(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of lists of words."""
+        words = list({w for parts in texts for w in parts})
+        ids = dict(zip(words, self.memory.of(words, MOST, self._learn)))
+        return [b"".join(map(ids.__getitem__, parts)) for parts in texts]
+
+    def _spaced(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts whose words are those of their pieces, a space before every piece but the first."""
+        pieces, at, offsets = cut(texts)
+        first = offsets[:-1]
+        split = pc.extract_regex(pieces, PLAIN)
+        plain = split.is_valid()
+        words, signs = (split.filter(plain).field(k).dictionary_encode() for k in range(2))
+        spaced = pc.binary_join_element_wise("", words.dictionary, " ").to_pylist()
+        odd = [self.words(" " + p) for p in pieces.filter(pc.invert(plain)).to_pylist()]
+        odd += [self.words(p) for p in pieces.take(at[first]).to_pylist()]
+        parts = self.memory.of(spaced + signs.dictionary.to_pylist(), MOST, self._learn) + self._joined(odd) + [b""]
+        # a piece is a word and its signs, or one of the odd ones, which the first pieces of texts follow
+        places, plain = np.full((len(pieces) + len(first), 2), len(parts) - 1), plain.to_numpy(zero_copy_only=False)
+        places[: len(pieces)][plain, 0] = words.indices.to_numpy()
+        places[: len(pieces)][plain, 1] = len(spaced) + signs.indices.to_numpy()
+        places[~np.r_[plain, np.zeros(len(first), bool)], 0] = len(parts) - 1 - len(odd) + np.arange(len(odd))
+        both = Strings.of(parts).take(places.ravel())
+        at = at.copy()
+        at[first] = len(pieces) + np.arange(len(first))
+        return Strings(both.values, both.sizes.reshape(-1, 2).sum(1)).take(at).joined(offsets)
+
+    def encode_run(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [self._parts(t) for t in texts]
-        met = set().union(*cut)
-        wanted = [p for p in met if p not in self.young]
-        if len(self.young) + len(wanted) > MOST:
-            self.old, self.young = self.young, {}
-            wanted = list(met)
-        self._learn(wanted)
-        get = self.young.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
-        for p in wanted:
-            if len(p) > LONGEST_WORD:
-                del self.young[p]
-        return out
+        whole = pc.match_substring_regex(texts, WHOLE)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        spaced = iter(self._spaced(texts.filter(pc.invert(whole))))
+        taken_whole = iter(self._joined([self._parts(t) for t in texts.filter(whole).to_pylist()]))
+        return [next(taken_whole if w else spaced) for w in whole.to_pylist()]
 
     def encode(self, text: str) -> bytes:
         """Ids of one text."""
-        return self.encode_texts([text])[0]
+        return self.encode_run(pa.array([text], pa.string()))[0]
+
+    def decode_run(self, ids: list[bytes]) -> list[str]:
+        """The text of each row of ids."""
+        found = Strings.of(ids)
+        if len(found.values) and (int(found.values.max()) >= len(self.known_ids) or not self.known_ids[found.values].all()):
+            raise KeyError("an id that is not in the vocabulary")
+        raw = self.labels.take(found.values).joined(np.r_[0, np.cumsum(found.sizes)])
+        return [r.decode("utf-8", "replace") for r in raw]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decode_run([ids])[0]
 
 
 def codec(path: str) -> Codec:
@@ -364,9 +414,8 @@ def encode(text: str | Column, path: str) -> Column:
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        runs = (texts.slice(k, 256).to_pylist() for k in range(0, len(texts), 256))
         with no_collection():
-            return pa.array([ids for run in runs for ids in c.encode_texts([t or "" for t in run])], pa.binary())
+            return pa.array([ids for run in runs(texts) for ids in c.encode_run(run)], pa.binary())
 
     return ids(text)
 
@@ -377,6 +426,8 @@ def decode(ids: str | Column, path: str) -> Column:
     @F.arrow_udf("string")
     def texts(values: pa.Array) -> pa.Array:
         c = codec(path)
-        return pa.array([None if v is None else c.decode(v) for v in values.to_pylist()], pa.string())
+        parts = (c.decode_run(run.to_pylist()) for run in runs(values.fill_null(b"")))
+        found = [t for part in parts for t in part]
+        return pa.array(found, pa.string(), mask=values.is_null().to_numpy(zero_copy_only=False))
 
     return texts(ids)
