@@ -114,6 +114,16 @@ def test_runs_of_texts_equal_the_library(monkeypatch, bits):
     assert codec.decode_run(broken) == [tokenizer.decode(np.frombuffer(b, "<u4").tolist(), skip_special_tokens=False) for b in broken]
 
 
+def test_only_new_pieces_are_encoded(monkeypatch):
+    cache, asked = word_cache.PieceCache(WORD), []
+    encode = cache._words
+    monkeypatch.setattr(cache, "_words", lambda words: asked.extend(words) or encode(words))
+    texts = ["The cat, the dog.", "the dog! The cat?"] * 500
+    tokenizer = library(WORD)
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:2]]
+    assert cache.ids(texts) == want * 500 and sorted(asked) == ["cat", "dog", "the"]  # letters once, whatever signs follow
+
+
 def test_gadgets_on_a_small_vocabulary():
     letters = {"a": 0, "b": 1, "aa": 2, "ab": 3, "aab": 4}
     automaton = bpe_automaton.Automaton(letters, [("a", "a"), ("a", "b"), ("aa", "b")])

@@ -87,9 +87,9 @@ def _blocks(
 
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
-        for start in range(0, len(doc_ids), 256):
-            encoded = encode_texts(path, batch.column(1).slice(start, 256).to_pylist())
-            for doc_id, raw in zip(doc_ids[start : start + 256], encoded):
+        for start in range(0, len(doc_ids), 2048):
+            encoded = encode_texts(path, batch.column(1).slice(start, 2048))
+            for doc_id, raw in zip(doc_ids[start : start + 2048], encoded):
                 ids = np.frombuffer(raw + end, "<u4")
                 doc_first, at, piece = first, 0, 0
                 while at < len(ids):

@@ -8,26 +8,25 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from touchline.llm.bpe_automaton import byte_letters
 from touchline.llm.common import held, no_collection
+from touchline.llm.pieces import Memory, Strings, cut, runs
 
 #: Most pieces in each of a worker's two generations, and the longest; others are encoded where they occur.
 MOST_PIECES, LONGEST_PIECE = 450_000, 64
 #: A character that stands between pieces when many are encoded in one call.
 MARK = "\x01"
 #: A run of Latin-1 letters, then perhaps a run of signs: two pre-tokens at most, which NFC leaves alone.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+PLAIN = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<signs>[!-&(-/:-@\\[-`{-~]*)\\z"
 
 
 class PieceCache:
-    """Piece -> its ids as little-endian unsigned 32-bit integers.
-
-    When the young generation is full it becomes the old one, so pieces in use survive.
-    """
+    """Ids of pieces as little-endian unsigned 32-bit integers, and a worker's memory of them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,8 +42,7 @@ class PieceCache:
         self.lowers = any(s["type"] == "Lowercase" for s in steps)
         mark = self._encode([MARK])[0]
         self.mark = mark[0] if len(mark) == 1 else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memory = Memory(LONGEST_PIECE)
         self.bare = self._bare_tokenizer(path, spec)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -79,55 +77,51 @@ class PieceCache:
             raise ValueError("a word without an end")
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Put pieces into the young generation: letters and the signs behind them apart where that is the same, the rest as they are."""
-        if self.bare is None:
-            return self._encode_pieces(pieces)
-        found = list(map(PLAIN.fullmatch, pieces))
-        split = [(p, *m.groups()) for p, m in zip(pieces, found) if m]
-        words = {w for _, w, _ in split}
-        known = {w: ids for w in words if (ids := self.young.get(w) or self.old.get(w))}
-        new = [w for w in words if w not in known]
-        known.update(zip(new, self._words(new)))
-        signs = {s for *_, s in split if s not in self.young}
-        self._encode_pieces([p for p, m in zip(pieces, found) if not m] + list(signs))
-        young = self.young
-        young.update([(p, known[w] + young[s]) for p, w, s in split])
-
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        """Encode pieces a hundred at a time, told apart by the mark's id."""
+    def _odd(self, pieces: list[str]) -> list[bytes]:
+        """Ids of any pieces, a hundred at a time, told apart by the mark's id."""
+        found: dict[str, bytes] = {}
         plain = [p for p in pieces if MARK not in p] if self.mark is not None else []
         for start in range(0, len(plain), 100):
             part = plain[start : start + 100]
             ids = np.array(self._encode([f" {MARK} ".join(part)])[0], "<u4")
             at, raw = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
-            self.young.update(zip(part, [raw[i:j] for i, j in zip([0, *(k + 4 for k in at)], [*at, len(raw)])], strict=True))
-        for p in pieces if self.mark is None else [p for p in pieces if MARK in p]:
-            self.young[p] = np.array(self._encode([p])[0], "<u4").tobytes()
-
-    def pieces(self, text: str) -> list[str]:
-        """A text cut at spaces and line feeds. A-Z are lowered first where the tokenizer does so anyway."""
+            found.update(zip(part, [raw[i:j] for i, j in zip([0, *(k + 4 for k in at)], [*at, len(raw)])], strict=True))
+        for p in pieces:
+            if p not in found:
+                found[p] = np.array(self._encode([p])[0], "<u4").tobytes()
+        return [found[p] for p in pieces]
+
+    def _known(self, pieces: pa.Array) -> Strings:
+        """Ids of distinct pieces: letters and the signs behind them apart where that is the same, the rest as they are."""
+        if self.bare is None:
+            return Strings.of(self.memory.of(pieces.to_pylist(), MOST_PIECES, self._odd))
+        split = pc.extract_regex(pieces, PLAIN)
+        plain = split.is_valid()
+        words, signs = (split.filter(plain).field(k).dictionary_encode() for k in range(2))
+        odd = pieces.filter(pc.invert(plain))
+        parts = self.memory.of(words.dictionary.to_pylist(), MOST_PIECES, self._words)
+        parts += self.memory.of(signs.dictionary.to_pylist(), MOST_PIECES, self._odd)
+        parts += self.memory.of(odd.to_pylist(), MOST_PIECES, self._odd)
+        parts.append(b"")
+        places, plain = np.full((len(pieces), 2), len(parts) - 1), plain.to_numpy(zero_copy_only=False)
+        places[plain, 0] = words.indices.to_numpy()
+        places[plain, 1] = len(words.dictionary) + signs.indices.to_numpy()
+        places[~plain, 0] = len(parts) - 1 - len(odd) + np.arange(len(odd))
+        both = Strings.of(parts).take(places.ravel())
+        return Strings(both.values, both.sizes.reshape(-1, 2).sum(1))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts, cut at spaces and line feeds. A-Z are lowered first where the tokenizer does so anyway."""
         if self.lowers:
-            low = text.lower() if text.isascii() else text.encode().lower().decode()
-            text = text if any(s.lower() in low for s in self.special) else low
-        return text.replace("\n", " ").split(" ")
+            low = pc.ascii_lower(texts)
+            for s in self.special:
+                low = pc.if_else(pc.match_substring(low, s.lower()), texts, low)
+            texts = low
+        pieces, at, offsets = cut(pc.replace_substring(texts, "\n", " "))
+        return self._known(pieces).take(at).joined(offsets)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        met = set().union(*cut)
-        wanted = [p for p in met if p not in self.young]
-        if wanted and len(self.young) + len(wanted) > MOST_PIECES:
-            self.old, self.young = self.young, {}
-            wanted = list(met)
-        kept = {p: i for p in wanted if (i := self.old.get(p)) is not None}
-        self.young.update(kept)
-        new = [p for p in wanted if p not in kept]
-        self._learn(new)
-        out = [b"".join(map(self.young.__getitem__, pieces)) for pieces in cut]
-        for p in new:
-            if len(p) > LONGEST_PIECE:
-                del self.young[p]
-        return out
+        return [x for run in runs(pa.array(texts, pa.string())) for x in self.encode(run)]
 
 
 def piece_cache(path: str) -> PieceCache:
@@ -135,10 +129,12 @@ def piece_cache(path: str) -> PieceCache:
     return held(("pieces", path), lambda: PieceCache(path))
 
 
-def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
-    """Ids of every whole text (NULL: of the empty text), 256 texts at a time."""
-    cache, out = piece_cache(path), []
-    for start in range(0, len(texts), 256):
+def encode_texts(path: str, texts: list[str | None] | pa.Array) -> list[bytes]:
+    """Ids of every whole text (NULL: of the empty text)."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    out: list[bytes] = []
+    for run in runs(texts):
+        cache = piece_cache(path)
         with no_collection():
-            out += cache.ids([t or "" for t in texts[start : start + 256]])
+            out += cache.encode(run)
     return out
