@@ -9,8 +9,10 @@ decides the run time. The two tools here split an entity's history instead:
   partitioned on that key, so the join moves only the summaries.
 * `looking_back` cuts it into *blocks* of a fixed number of consecutive rows and copies the last few
   rows of each block into the next one. Any window with a bounded look-back is then local to a block.
+* `overlapping` cuts it into *chunks* of whole cells and copies the cells just before a chunk into it, so that
+  both tools above work inside chunks, and many steps share the one shuffle by (entity, chunk).
 
-Both give the same values as the plain window; only the distribution differs. Where the largest
+All give the same values as the plain window; only the distribution differs. Where the largest
 entity is known to be small (`measured`), the plain window is used instead: it needs one shuffle by
 entity, which all later steps on the same entity share.
 """
@@ -23,9 +25,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from touchline.session import settle
+from touchline.session import settle, small_side
 
 CELL = "_cell"
+CHUNK, OWN = "_chunk", "_own_row"
 UNITS = ("year", "month", "week", "day", "hour", "minute", "second")
 BLOCK_ROWS = 1024
 # Up to this many first / last values a cell is summarised by aggregation, beyond it by its window.
@@ -245,7 +248,7 @@ def running(
         failed_at = F.coalesce(F.col("_rows") + F.col(f"_lr{i}"), F.col(f"_pr{i}"), F.lit(0))
         outputs[name] = F.col("_rows") + F.col("_rn") - 1 - failed_at
     kept = [c for c in df.columns if c not in outputs]
-    return joined.select(*[rows[c] for c in kept], *[c.alias(n) for n, c in outputs.items()])
+    return joined.select(*[rows[c] for c in kept], *[F.when(F.col("_ok"), c).alias(n) for n, c in outputs.items()])
 
 
 def looking_back(
@@ -283,6 +286,44 @@ def looking_back(
     )
 
 
+#: A chunk has so many cells at least, unless the finest unit is coarser.
+CELLS_A_CHUNK = 16
+
+
+def overlapping(df: DataFrame, track: Track, reach: int, rows: int, within: Sequence[str] = ()) -> DataFrame:
+    """The rows by `CHUNK`, about `rows` consecutive ones of an entity, with copies (`OWN` is false) of those before.
+
+    Copied are at least the last `reach` rows of the entity before the chunk, and the last `reach` of each value of `within`.
+    Chunks are made of whole cells, whose counts are all that is looked at: the first unit from the track's on whose largest cell is
+    a small part of a chunk. Rows without entity or time are in chunks of their own.
+    """
+    for unit in UNITS[UNITS.index(track.unit):] if track.cell is None and track.unit in UNITS else [track.unit]:
+        fitted = replace(track, unit=unit)
+        placed = df.where(fitted.placed()).withColumn(CELL, fitted.cell_column())
+        counts = settle(placed.groupBy(*track.entity, *within, CELL).agg(F.count(F.lit(1)).alias("_n")))
+        largest = counts.groupBy(*track.entity, CELL).agg(F.sum("_n").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        if largest * CELLS_A_CHUNK <= rows:
+            break
+    history, whole = Window.partitionBy(*track.entity), Window.partitionBy(*track.entity, CELL)
+    before = F.sum("_n").over(history.orderBy(CELL).rangeBetween(Window.unboundedPreceding, 0)) - F.sum("_n").over(whole)
+    cells = counts.withColumn("_before", before).withColumn("_first", F.floor(F.col("_before") / rows))
+    ahead = lambda w, at: F.max("_first").over(w.orderBy(at).rangeBetween(0, largest + reach - 1))
+    last = [ahead(history, "_before")]
+    if within:
+        apart = Window.partitionBy(*track.entity, *within)
+        cells = cells.withColumn("_apart", F.sum("_n").over(apart.orderBy(CELL).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+        last.append(ahead(apart, "_apart"))
+    cells = cells.withColumn("_last", F.greatest(*last) if within else last[0])
+    keys = [*track.entity, *within, CELL]
+    cells = small_side(cells.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], "_first", "_last"))
+    found = df.withColumn(CELL, fitted.cell_column())
+    found = found.join(cells, [found[k].eqNullSafe(cells[f"_k{j}"]) for j, k in enumerate(keys)], "left")
+    alone = -1 - F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]).bitwiseAND(F.lit((1 << 62) - 1))
+    chunks = F.coalesce(F.sequence("_first", "_last"), F.array(alone))
+    own = F.col("_first").isNull() | (F.col(CHUNK) == F.col("_first"))
+    return found.select(*df.columns, "_first", F.explode(chunks).alias(CHUNK)).select(*df.columns, CHUNK, own.alias(OWN))
+
+
 #: Most rows of a group whose values one task counts for its quantiles.
 EXACT_ROWS = 1_000_000
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.functions import scalars as S
-from touchline.operators.cells import BLOCK_ROWS, Track, looking_back, measured, quantiles, running
+from touchline.operators.cells import BLOCK_ROWS, CHUNK, OWN, Track, looking_back, measured, overlapping, quantiles, running
 from touchline.operators.reshape import require
 
 POSITION = "_pos"
@@ -23,6 +23,8 @@ LAGGED = ("goals", "xG", "goals_against", "xGA", "win", "loss", "draw", "is_home
 METRICS = ("goals", "xG", "goals_against", "xGA")
 #: A team of up to this many rows may be windowed in one task: with all features a row takes up to 4 kB of its memory.
 TEAM_ROWS = 800_000
+#: Rows of a chunk of a larger team.
+CHUNK_ROWS = 65_536
 # Window columns of a block, from its ordered window and the row's offset in it.
 BlockColumns = Callable[[WindowSpec, Column], dict[str, Column]]
 
@@ -214,10 +216,9 @@ def _bounded_features(
 ) -> DataFrame:
     """Lags, weighted means and form from one pass over the blocks."""
     parts = [lag_columns([c for c in LAGGED if c in df.columns], lags)]
-    reach, size = max([*lags, span]), BLOCK_ROWS
+    size = BLOCK_ROWS
     if span > 1:
-        _, near, size = ewm_reach(span)
-        reach = max(reach, 2 * near)
+        _, _, size = ewm_reach(span)
         parts.append(ewm_columns(means, span))
     if form:
         parts.append(form_columns(span))
@@ -225,11 +226,47 @@ def _bounded_features(
     def columns(w: WindowSpec, offset: Column) -> dict[str, Column]:
         return {name: column for part in parts for name, column in part(w, offset).items()}
 
-    out = looking_back(df, track.entity, POSITION, reach, columns, size)
-    if span <= 1:
-        return ewm_features(out, track, means, span)
-    # where no value lies within reach the mean is still the one of the last row that had one
-    return running(out, track, last_until={name: F.col(name) for name in means})
+    return looking_back(df, track.entity, POSITION, _reach(lags, span), columns, size)
+
+
+def _reach(lags: Sequence[int], span: int) -> int:
+    """How many rows back lags, form and weighted means look."""
+    return max([*lags, span, 2 * ewm_reach(span)[1] if span > 1 else 1])
+
+
+def _venue_position() -> Column:
+    """Position of a row within its venue, from the rows before at either; rows without a position have none there."""
+    before = F.when(F.col("is_home") == 1, F.col("_homes")).otherwise(F.col("_aways"))
+    return F.when(F.col(POSITION).isNotNull(), F.coalesce(before, F.lit(0)) + 1)
+
+
+def _split_steps(
+    df: DataFrame, track: Track, lags: Sequence[int], span: int, means: Mapping[str, str], form: bool, venues: Mapping[str, Column],
+    running_values: Mapping[str, Mapping[str, Column]], chunk_rows: int,
+) -> DataFrame:
+    """All of a table's features but ratios, by `CHUNK`: one shuffle of the rows, what came before a chunk is joined on.
+
+    Whatever looks a bounded number of rows back is found inside chunks with the copies they begin with; then copies go, and sums,
+    streaks and last values are carried from chunk to chunk.
+    """
+    rows = overlapping(df, track, _reach(lags, span), chunk_rows, ["is_home"] if venues else [])
+    inside = replace(track, entity=[*track.entity, CHUNK], plain=True)
+    rows = running(rows, inside, position=POSITION, sum_before={"_homes": F.col("is_home"), "_aways": 1 - F.col("is_home")} if venues else {})
+    rows = _bounded_features(rows, inside, lags, span, means, form)
+    if venues:
+        rows = rows.withColumn(POSITION, _venue_position()).drop("_homes", "_aways")
+        if span > 1:
+            rates = ewm_columns({"_rate": "win"}, span)
+            rows = looking_back(rows, [*inside.entity, "is_home"], POSITION, _reach([], span), rates, ewm_reach(span)[2])
+    rows = rows.where(OWN).drop(OWN, POSITION)
+    # weighted means are carried over rows without a value, at each venue apart
+    last = {name: F.col(name if span > 1 else c) for name, c in means.items()}
+    last |= {name: F.when(at, F.col("_rate" if span > 1 else "win")) for name, at in venues.items()}
+    values = {k: dict(v) for k, v in running_values.items()}
+    carry = "last_until" if span > 1 else "last_before"
+    values[carry] = values.get(carry, {}) | last
+    rows = running(rows, replace(track, cell=F.col(CHUNK), plain=False), **values)
+    return rows.withColumns({name: F.when(at, F.col(name)) for name, at in venues.items()}).drop("_rate")
 
 
 def feature_columns(
@@ -267,9 +304,9 @@ def feature_table(
 ) -> DataFrame:
     """All features of team rows in one plan; steps whose inputs are absent are left out.
 
-    The position is computed once together with sums, streaks and rest; lags, means and form then
-    share one block pass. Team sizes are counted first: if none exceeds `max_entity_rows`, every step
-    runs on a single shuffle by team, otherwise histories are split by `unit`.
+    Team sizes are counted first: if none exceeds `max_entity_rows`, every step runs on a single shuffle by team, otherwise on a
+    single shuffle by team and chunk of its history. The position is computed once together with sums, streaks and rest; lags, means
+    and form then share one block pass.
     """
     validate_features(df)
     original = df.columns
@@ -282,31 +319,38 @@ def feature_table(
     runs = {"win_streak": F.col("win") != 0, "loss_streak": F.col("loss") != 0} if flags else {}
     if flags:
         runs["unbeaten_streak"] = (F.col("win") + F.col("draw")) > 0
-    previous = F.struct(F.col("datetime").alias("_at"), *metrics)
-    out = running(
-        df,
-        track,
-        position=POSITION,
-        sum_before={
-            **{f"cumsum_{c}": F.col(c) for c in metrics},
-            # Earlier rows at either venue: the row's position within its own venue follows from them.
-            **({"_homes": F.col("is_home"), "_aways": 1 - F.col("is_home")} if venues else {}),
-        },
-        last_before={"_previous": previous},
-        run_before=runs,
-    )
+    means = {f"rolling_{c}_avg": c for c in metrics}
+    values = {
+        "sum_before": {f"cumsum_{c}": F.col(c) for c in metrics},
+        "last_before": {"_previous": F.struct(F.col("datetime").alias("_at"), *metrics)},
+        "run_before": runs,
+    }
+    if track.plain:
+        # Earlier rows at either venue: the row's position within its own venue follows from them.
+        values["sum_before"] |= {"_homes": F.col("is_home"), "_aways": 1 - F.col("is_home")} if venues else {}
+        out = running(df, track, position=POSITION, **values)
+    else:
+        at = {"home_win_rate": F.col("is_home") == 1, "away_win_rate": F.col("is_home") == 0} if venues else {}
+        out = _split_steps(df, track, lags, rolling_window, means, flags, at, values, min(max_entity_rows, CHUNK_ROWS))
+        track = replace(track, cell=F.col(CHUNK))
     derived = {f"cumsum_{c}": F.when(F.col(f"_previous.{c}").isNotNull(), F.col(f"cumsum_{c}")) for c in metrics}
     if add_rest_days:
         gap = F.unix_micros("datetime") - F.unix_micros("_previous._at")
         derived["days_since_last_match"] = F.floor(gap / F.lit(86_400_000_000)).cast("int")
     out = out.withColumns(derived).drop("_previous")
-    out = _bounded_features(out, track, lags, rolling_window, {f"rolling_{c}_avg": c for c in metrics}, flags)
+    if track.plain:
+        out = _bounded_features(out, track, lags, rolling_window, means, flags)
+        if rolling_window > 1:
+            # where no value lies within reach the mean is still the one of the last row that had one
+            out = running(out, track, last_until={name: F.col(name) for name in means})
+        else:
+            out = ewm_features(out, track, means, rolling_window)
+        if venues:
+            out = out.withColumn(POSITION, _venue_position()).drop("_homes", "_aways")
+            out = venue_win_rates(out, track, rolling_window)
     out = efficiency_ratios(out)
-    if venues:
-        played = F.when(F.col("is_home") == 1, F.col("_homes")).otherwise(F.col("_aways"))
-        out = out.withColumn(POSITION, F.coalesce(played, F.lit(0)) + 1).drop("_homes", "_aways")
-        out = venue_win_rates(out, track, rolling_window)
-    out = out.select(*feature_columns(
+    found = feature_columns(
         original, lags=lags, add_win_rates=add_win_rates, add_form_streaks=add_form_streaks, add_rest_days=add_rest_days
-    ))
-    return fill(out, track, numeric_columns(out, skip=["team"]), fill_method)
+    )
+    out = out.select(*found, *([] if track.plain else [CHUNK]))
+    return fill(out, track, numeric_columns(out, skip=["team", CHUNK]), fill_method).select(*found)
