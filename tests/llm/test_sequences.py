@@ -82,6 +82,20 @@ def test_scores_follow_the_definition(frame, monkeypatch, share):
         assert r["base_score"] == pytest.approx(base, abs=1e-9) and r["score"] == pytest.approx(want, abs=1e-6)
 
 
+def test_what_is_seen_twice_in_a_large_corpus_counts(frame, monkeypatch):
+    """Contexts and next words are not left out for being rare; many batches, parts and turns."""
+    monkeypatch.setattr(suffix_tree, "PART_TOKENS", 50_000)
+    train = ["a b c a " * 50_000] * 3 + ["p q r s t u v a b"] * 2 + ["c q r x"]
+    asked = ["p q r s t u v a b", "q r s t", "a b c", "c q r x"]
+    docs, texts = frame(docs_of(asked)), frame(docs_of(train)).select("text")
+    c, total, weight, states, prob = slow_model(train, suffix_tree.DEPTH, suffix_tree.DISCOUNT, 0)
+    assert (b"p",) in states and total > 400_000
+    for r in suffix_tree.score_texts(docs, suffix_tree.fit(texts)).collect():
+        s = ["<start>", *asked[r["doc_id"]].encode().split(), ""]
+        want = sum(math.log10(prob(tuple(s[max(0, i - suffix_tree.DEPTH) : i]), s[i])) for i in range(1, len(s)))
+        assert r["score"] == pytest.approx(want, abs=1e-6)
+
+
 def test_next_words_are_a_distribution(frame):
     train = ["a b c a b d", "a b c", "b c a b c e f", "a b c a"] * 5
     model = suffix_tree.fit(frame(docs_of(train)).select("text"))
